@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import release, remove, settle
+from .shared import release, remove, settle, small_batches
 from .textbytes import mix, shingle_sets, steps
 
 BOTTOM, CHUNK = 4, 256
@@ -123,9 +123,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
 
     def rows():
         for batch in batches:
-            names = batch.schema.names
-            for values in zip(*(batch.column(i).to_pylist() for i in range(len(names)))):
-                yield dict(zip(names, values))
+            for at in range(0, batch.num_rows, 16):
+                yield from batch.slice(at, 16).to_pylist()
 
     return itertools.groupby(rows(), key=lambda r: tuple(r[k] for k in keys))
 
@@ -211,6 +210,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, depth
     An empty table gives an empty result; extra columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     run, schema = _signatures(words)

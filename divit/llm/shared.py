@@ -18,6 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python a few megabytes at a time, however long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write a phase's rows to the shared folder and read them back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
