@@ -12,7 +12,8 @@ which a region holds the documents whose first shingle is its pivot.
 |x| - ceil(s|x|) pivots of x are no pivots of y. So y's region is met within x's first
 |x| - ceil(s|x|) + 1 pivots, and x is copied into exactly these regions, plus `depth` - 1 more: then
 linked documents meet in `depth` regions at least (in all that they share, if fewer), and pairs that
-meet in fewer are left out without loss. The sizes of the two sets bound the distance as well.
+meet in fewer are left out without loss. For a pair whose sizes are known the windows narrow to what
+those two sizes leave, and the sizes bound the distance as well.
 
 *Recursion.* Regions are joined in two levels. On the first, documents that share their
 `BOTTOM` smallest hashes (Voronoi regions of random pivot tuples) are joined around leaders; every
@@ -160,14 +161,14 @@ def _windows(words: int, percent: int, depth: int, order):
         weight = order.value
         for batch in batches:
             for part in steps(batch, "text"):
-                cells, of, n = [], [], []
+                cells, of, n, at = [], [], [], []
                 for i, s in enumerate(shingle_sets(part.column("text"), words)):
                     keep = len(s) - _ceil(percent, len(s)) + depth
                     rank = np.argsort(weight[(s & np.uint64(len(weight) - 1)).astype(np.int64)], kind="stable")[:keep]
-                    cells.append(s[rank]), of.append(np.full(len(rank), i)), n.append(np.full(len(rank), len(s)))
+                    cells.append(s[rank]), of.append(np.full(len(rank), i)), n.append(np.full(len(rank), len(s))), at.append(np.arange(len(rank)))
                 if cells:
                     i = np.concatenate(of)
-                    yield pa.record_batch([pa.array(_signed(np.concatenate(cells))), part.column("doc").take(pa.array(i)), part.column("cls").take(pa.array(i)), pa.array(np.concatenate(n).astype(np.int32))], names=["cell", "doc", "cls", "n"])
+                    yield pa.record_batch([pa.array(_signed(np.concatenate(cells))), part.column("doc").take(pa.array(i)), part.column("cls").take(pa.array(i)), pa.array(np.concatenate(n).astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32))], names=["cell", "doc", "cls", "n", "rank"])
 
     return run
 
@@ -236,23 +237,28 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, depth
 
     # Second level: window regions.
     named = kept.select("doc").distinct().join(classes.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("cls"))
-    copies = named.join(texts, "doc").mapInArrow(_windows(words, percent, depth, order), "cell long, doc long, cls long, n int")
+    copies = named.join(texts, "doc").mapInArrow(_windows(words, percent, depth, order), "cell long, doc long, cls long, n int, rank int")
     copies = settle(copies, "windows")
     release(spark)
     mixed = copies.groupBy("cell").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("cell")
     open_ = settle(copies.join(mixed, "cell"), "open")
     remove(copies)
     release(spark)
-    need = lambda a, b: F.least(F.lit(depth), F.ceil(F.greatest(a, b) * percent / 100))
-    fits = "100 * least(na, nb) >= {0} * greatest(na, nb)".format(percent)
+    overlap = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"  # what two linked sets of these sizes share at least
+    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and ra < na - {overlap} + {depth} and rb < nb - {overlap} + {depth}"
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs that meet often enough inside the windows that their two sizes leave."""
+        met = pairs.where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        return met.where(f"c >= least({depth}, {overlap})").select("a", "b")
+
     merged = True
     while merged:
         # One member of each class in each region against the region's smallest class.
-        member = open_.groupBy("cell", "cls").agg(F.min(F.struct("n", "doc")).alias("m"))
+        member = open_.groupBy("cell", "cls").agg(F.min(F.struct("n", "doc", "rank")).alias("m"))
         hub = member.groupBy("cell").agg(F.min(F.struct("cls", "m")).alias("h"))
-        star = member.join(hub, "cell").where("cls <> h.cls").select(F.col("m.doc").alias("b"), F.col("h.m.doc").alias("a"), F.col("m.n").alias("nb"), F.col("h.m.n").alias("na"))
-        star = star.where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("c") >= need("na", "nb")).select("a", "b")
-        found = settle(_verified(settle(star, "star"), texts, words, percent), "found")
+        star = member.join(hub, "cell").where("cls <> h.cls").select(F.col("m.doc").alias("b"), F.col("h.m.doc").alias("a"), F.col("m.n").alias("nb"), F.col("h.m.n").alias("na"), F.col("m.rank").alias("rb"), F.col("h.m.rank").alias("ra"))
+        found = settle(_verified(settle(likely(star), "star"), texts, words, percent), "found")
         release(spark)
         merged = not found.isEmpty()
         if merged:
@@ -260,14 +266,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, depth
             of = open_.select("doc", "cls").distinct()
             step = found.join(of.select(F.col("doc").alias("a"), F.col("cls").alias("ca")), "a").join(of.select(F.col("doc").alias("b"), F.col("cls").alias("cb")), "b")
             moved = settle(components(step.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "moved")
-            open_ = open_.join(moved.withColumnRenamed("node", "cls"), "cls", "left").select("cell", "doc", F.coalesce("root", "cls").alias("cls"), "n")
+            open_ = open_.join(moved.withColumnRenamed("node", "cls"), "cls", "left").select("cell", "doc", F.coalesce("root", "cls").alias("cls"), "n", "rank")
             mixed = open_.groupBy("cell").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("cell")
             open_ = settle(open_.join(mixed, "cell"), "open")
             merged = not open_.isEmpty()
     x, y = open_.alias("x"), open_.alias("y")
-    left = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    left = left.where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("c") >= need("na", "nb")).select("a", "b")
-    last = settle(_verified(settle(left, "pairs"), texts, words, percent), "found")
+    left = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.rank").alias("ra"), F.col("y.rank").alias("rb"))
+    last = settle(_verified(settle(likely(left), "pairs"), texts, words, percent), "found")
     release(spark)
 
     joined = rows.join(kept.select("d1", "d2", F.col("doc").alias("rep")), ["d1", "d2"], "left")
