@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import settle, small_batches
 from .subspace_dedup import _usable
 
-HASHES, THRESHOLD, SHARE, STEP = 64, 33, 0.5, 1.25
+HASHES, THRESHOLD, SHARE, STEP, WIDTH = 32, 17, 0.5, 1.15, 0.9
 SEGMENT, QUERIES = 8192, 1024
 
 
@@ -46,26 +46,33 @@ class CollisionIndex:
         self.order = np.argsort(p, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(p, self.order.T, 0).T.copy()
 
-    def verified(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Which vectors collide often enough with a query, after as many rounds as it takes."""
-        n = len(self.x)
+    def verified(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """For each query which vectors collide often enough, after as many rounds as it takes."""
+        n, m = len(self.x), len(queries)
         want = min(n, k + int(SHARE * n))
-        p = (q / np.sqrt(q @ q)) @ self.a[:-1]
-        collisions = np.zeros(n, np.uint8)
-        low = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, p)])
+        p = (queries / np.sqrt((queries * queries).sum(1))[:, None]) @ self.a[:-1]
+        collisions = np.zeros((m, n), np.uint8)
+        low = np.column_stack([np.searchsorted(s, p[:, j]) for j, s in enumerate(self.sorted)])
         high = low.copy()
-        width = 0.5
-        while True:
-            for j in range(HASHES):
-                s, order = self.sorted[j], self.order[j]
-                a, b = np.searchsorted(s, p[j] - width, "left"), np.searchsorted(s, p[j] + width, "right")
-                collisions[order[a : low[j]]] += 1
-                collisions[order[high[j] : b]] += 1
-                low[j], high[j] = min(a, low[j]), max(b, high[j])
-            hit = collisions >= THRESHOLD
-            if int(hit.sum()) >= want or (low == 0).all() and (high == n).all():
-                return hit
+        width, open_ = WIDTH, np.arange(m)
+        while len(open_):
+            a = np.column_stack([np.searchsorted(s, p[open_, j] - width, "left") for j, s in enumerate(self.sorted)])
+            b = np.column_stack([np.searchsorted(s, p[open_, j] + width, "right") for j, s in enumerate(self.sorted)])
+            a, b = np.minimum(a, low[open_]), np.maximum(b, high[open_])
+            for i, q in enumerate(open_):
+                count = collisions[q]
+                for j in range(HASHES):
+                    order, x, y = self.order[j], low[q, j], high[q, j]
+                    if x == y:
+                        count[order[a[i, j] : b[i, j]]] += 1
+                    else:
+                        count[order[a[i, j] : x]] += 1
+                        count[order[y : b[i, j]]] += 1
+            low[open_], high[open_] = a, b
+            enough = (collisions[open_] >= THRESHOLD).sum(1) >= want
+            open_ = open_[~(enough | ((a == 0) & (b == n)).all(1))]
             width *= STEP
+        return collisions >= THRESHOLD
 
 
 def _searched(k: int):
@@ -87,14 +94,16 @@ def _searched(k: int):
             x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
             ids, index = np.array(ids), CollisionIndex(x, largest)
             out: list[tuple[int, int, float]] = []
-            for i, bytes_ in asked:
-                q = np.frombuffer(bytes_, np.float64)
-                hit = np.flatnonzero(index.verified(q, k + 1) & (ids != i))
-                score = x[hit] @ q
-                if len(hit) > k:
-                    least = np.partition(score, len(score) - k)[len(score) - k]
-                    hit, score = hit[score >= least], score[score >= least]
-                out += zip([i] * len(hit), ids[hit].tolist(), score.tolist())
+            for at in range(0, len(asked), 128):
+                some = asked[at : at + 128]
+                q = np.frombuffer(b"".join(r for _, r in some), np.float64).reshape(-1, dim)
+                for (i, _), v, near in zip(some, q, index.verified(q, k + 1)):
+                    hit = np.flatnonzero(near & (ids != i))
+                    score = x[hit] @ v
+                    if len(hit) > k:
+                        least = np.partition(score, len(score) - k)[len(score) - k]
+                        hit, score = hit[score >= least], score[score >= least]
+                    out += zip([i] * len(hit), ids[hit].tolist(), score.tolist())
             cols = list(zip(*out)) or [[], [], []]
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
 

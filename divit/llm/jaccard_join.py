@@ -19,7 +19,7 @@ those two sizes leave, and the sizes bound the distance as well.
 `BOTTOM` smallest hashes (Voronoi regions of random pivot tuples) are joined around leaders; every
 link found contracts its documents into one class. On the second, the window regions that still hold
 more than one class are joined: one member of each class against the region's smallest class first,
-and this again on the contracted classes, until no class merges; then every remaining pair of members
+and this again on the contracted classes, as long as classes merge; then every remaining pair of members
 of different classes that sizes and shared regions leave possible. Each link is an exact comparison of whole
 sets, and a pair is left out only if both documents are already in one class.
 
@@ -43,6 +43,8 @@ from .shared import release, remove, settle, small_batches
 from .textbytes import mix, shingle_sets, steps
 
 BOTTOM, CHUNK = 4, 256
+#: Up to so many ids are broadcast to pick texts (1.6 MB); more are joined by a shuffle.
+WANTED = 200_000
 #: The order of pivots is a table of counts of all shingles of all documents, folded into 2**ORDER_BITS cells: its size never grows.
 ORDER_BITS, SLOTS = 21, 32
 
@@ -191,8 +193,15 @@ def _checked(words: int, percent: int):
     return run
 
 
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, text) of the documents in ids(doc)."""
+    ids = settle(ids.distinct(), "wanted")
+    return settle(texts.join(F.broadcast(ids) if ids.count() <= WANTED else ids, "doc"), "texts")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets link. A document with many partners is dealt out in chunks."""
+    texts = _texts_of(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))), texts)
     pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(64)))
     theirs = pairs.join(texts.withColumnRenamed("doc", "b"), "b").select("a", "chunk", "b", "text")
     own = pairs.select("a", "chunk").distinct().join(texts.withColumnRenamed("doc", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "text")
@@ -225,7 +234,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, depth
     # First level: regions of pivot tuples, in chunks.
     shared = kept.groupBy("home").count().where("count > 1").withColumnRenamed("count", "members")
     dealt = kept.join(shared, "home").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.ceil(F.col("members") / CHUNK)))
-    near = dealt.select("doc", "home", "chunk").distinct().join(texts, "doc").repartition(n_parts, "home", "chunk").sortWithinPartitions("home", "chunk", "doc")
+    dealt = settle(dealt.select("doc", "home", "chunk"), "dealt")
+    near = dealt.join(_texts_of(dealt.select("doc"), texts), "doc").repartition(n_parts, "home", "chunk").sortWithinPartitions("home", "chunk", "doc")
     links = settle(near.mapInArrow(_led(words, percent), "a long, b long"), "links")
     # Chunks of a region meet through their smallest documents.
     heads = dealt.groupBy("home", "chunk").agg(F.min("doc").alias("a"))
@@ -258,10 +268,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, depth
         member = open_.groupBy("cell", "cls").agg(F.min(F.struct("n", "doc", "rank")).alias("m"))
         hub = member.groupBy("cell").agg(F.min(F.struct("cls", "m")).alias("h"))
         star = member.join(hub, "cell").where("cls <> h.cls").select(F.col("m.doc").alias("b"), F.col("h.m.doc").alias("a"), F.col("m.n").alias("nb"), F.col("h.m.n").alias("na"), F.col("m.rank").alias("rb"), F.col("h.m.rank").alias("ra"))
-        found = settle(_verified(settle(likely(star), "star"), texts, words, percent), "found")
+        tried = settle(likely(star), "star")
+        found = settle(_verified(tried, texts, words, percent), "found")
         release(spark)
-        merged = not found.isEmpty()
-        if merged:
+        gained = found.count()
+        merged = gained * 20 >= tried.count()  # what few merges would not make up for another round
+        if gained:
             links = links.unionByName(found)
             of = open_.select("doc", "cls").distinct()
             step = found.join(of.select(F.col("doc").alias("a"), F.col("cls").alias("ca")), "a").join(of.select(F.col("doc").alias("b"), F.col("cls").alias("cb")), "b")
@@ -269,7 +281,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, depth
             open_ = open_.join(moved.withColumnRenamed("node", "cls"), "cls", "left").select("cell", "doc", F.coalesce("root", "cls").alias("cls"), "n", "rank")
             mixed = open_.groupBy("cell").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("cell")
             open_ = settle(open_.join(mixed, "cell"), "open")
-            merged = not open_.isEmpty()
+            merged = merged and not open_.isEmpty()
     x, y = open_.alias("x"), open_.alias("y")
     left = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.rank").alias("ra"), F.col("y.rank").alias("rb"))
     last = settle(_verified(settle(likely(left), "pairs"), texts, words, percent), "found")

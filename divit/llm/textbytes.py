@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step holds; a longer text makes a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -74,7 +74,7 @@ class Hasher:
     """64-bit hashes of any byte ranges of one buffer, in constant time each."""
 
     def __init__(self, buf: np.ndarray) -> None:
-        up, self._down = _powers(1 << max(20, int(len(buf)).bit_length()))
+        up, self._down = _powers(1 << max(18, int(len(buf)).bit_length()))
         self._sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(_TABLE[buf] * up[: len(buf)], out=self._sums[1:])
 

@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Terms are beginnings of words (4 to 8 bytes) and whole words, lower-cased, each also once more for a second and a third occurrence in a text.
-The vector space keeps the `FEATURES` terms that lean most to the labelled class by their likelihood ratio in the examples; document frequencies
+Of examples that are copies or near copies one teaches. The vector space keeps the `FEATURES` terms that lean most to the labelled class by their likelihood ratio in the examples; document frequencies
 are counted over all documents. Examples are at most `EXAMPLES` labelled rows (drawn by a hash), so the index has a bounded size
 and is broadcast. A query's neighbours are exact: blocks of examples are visited by falling bound, until the bound is below the k-th best
 cosine. Neighbours vote with squared cosines against a prior; the votes are calibrated on the examples themselves, each scored without its own vote, by
@@ -21,16 +21,16 @@ from pyspark.sql import functions as F
 from .shared import settle, small_batches
 from .textbytes import LOWER, Hasher, flat, mix, spans, steps
 
-EXAMPLES, FEATURES, NEIGHBOURS, BLOCK, CELLS = 20_000, 1024, 25, 64, 50
+EXAMPLES, FEATURES, NEIGHBOURS, BLOCK, CELLS = 20_000, 256, 25, 64, 50
 #: The least support and signed root of the likelihood ratio that a term needs.
-SUPPORT, LEAN = 5, 4.0
+SUPPORT, LEAN = 5, 5.0
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LEVELS = 3
 
 
-def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term) of the distinct terms of each row, sorted."""
+def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, its length in bytes, 255 for a whole word) of the distinct terms of each row."""
     buf, off = flat(column)
     low = LOWER[buf]
     if len(low):
@@ -39,33 +39,50 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         low = np.where(latin, low + np.uint8(0x20), low)
     begin, end, row = spans(low, off, _WORD[low])
     hasher = Hasher(low)
-    rows, terms = [row], [mix(hasher(begin, end) + np.uint64(1))]
+    rows, terms, sizes = [row], [mix(hasher(begin, end) + np.uint64(1))], [np.full(len(row), 255)]
     for n in range(4, 9):
         long_ = end - begin >= n
-        rows.append(row[long_]), terms.append(hasher(begin[long_], begin[long_] + n))
-    row, term = np.concatenate(rows), np.concatenate(terms)
+        rows.append(row[long_]), terms.append(hasher(begin[long_], begin[long_] + n)), sizes.append(np.full(int(long_.sum()), n))
+    row, term, size = np.concatenate(rows), np.concatenate(terms), np.concatenate(sizes)
     order = np.lexsort((term, row))
-    row, term = row[order], term[order]
+    row, term, size = row[order], term[order], size[order]
     if not len(row):
-        return row, term
+        return row, term, size
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])])
     at = np.flatnonzero(new)
     times = np.diff(np.concatenate([at, [len(row)]]))
-    row, term = row[at], term[at]
-    more = [(row[times >= k], mix(term[times >= k] + np.uint64(k))) for k in range(2, _LEVELS + 1)]
-    return np.concatenate([row, *(m[0] for m in more)]), np.concatenate([term, *(m[1] for m in more)])
+    row, term, size = row[at], term[at], size[at]
+    more = [(row[times >= k], mix(term[times >= k] + np.uint64(k)), size[times >= k]) for k in range(2, _LEVELS + 1)]
+    return tuple(np.concatenate([x, *(m[i] for m in more)]) for i, x in enumerate((row, term, size)))
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Beside each row a hash of its four smallest word hashes: copies and most near copies share it."""
+    for batch in batches:
+        for part in steps(batch, "text"):
+            row, term, size = _terms(part.column("text"))
+            row, term = row[size == 255], term[size == 255]
+            order = np.lexsort((term, row))
+            row, term = row[order], term[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            key = np.zeros(part.num_rows, np.uint64)
+            for k in range(4):
+                at = place == k
+                key[row[at]] = mix(key[row[at]] ^ term[at])
+            yield pa.record_batch([part.column("text"), part.column("label"), part.column("doc"), pa.array(key.view(np.int64))], names=["text", "label", "doc", "alike"])
 
 
 def _support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many rows of each label have each term, summed batch by batch."""
+    """How many rows of each label have each term and which (as an exclusive or of hashes), summed step by step."""
     for batch in batches:
         for part in steps(batch, "text"):
-            row, term = _terms(part.column("text"))
-            label = np.asarray(part.column("label"))[row]
-            t, at = np.unique(term, return_inverse=True)
+            row, term, size = _terms(part.column("text"))
+            label, who = np.asarray(part.column("label"))[row], mix(np.asarray(part.column("doc")).astype(np.uint64) + np.uint64(1))[row]
+            t, first, at = np.unique(term, return_index=True, return_inverse=True)
             pos = np.bincount(at, weights=label, minlength=len(t)).astype(np.int64)
-            n = np.bincount(at, minlength=len(t))
-            yield pa.record_batch([pa.array(t.view(np.int64)), pa.array(n), pa.array(pos)], names=["term", "n", "pos"])
+            rows = np.zeros(len(t), np.uint64)
+            np.bitwise_xor.at(rows, at, who)
+            yield pa.record_batch([pa.array(t.view(np.int64)), pa.array(np.bincount(at, minlength=len(t))), pa.array(pos), pa.array(rows.view(np.int64)), pa.array(size[first].astype(np.int32))], names=["term", "n", "pos", "rows", "size"])
 
 
 def _vectors(features: np.ndarray):
@@ -74,7 +91,7 @@ def _vectors(features: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
-                row, term = _terms(part.column("text"))
+                row, term, _ = _terms(part.column("text"))
                 at = np.minimum(np.searchsorted(features, term), max(0, len(features) - 1))
                 hit = features[at] == term if len(features) else np.zeros(len(term), bool)
                 row, at = row[hit], at[hit]
@@ -184,11 +201,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", exam
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     teach = labels.where(f"`{id_col}` is not null and `{label_col}` is not null and ({train})").groupBy(F.col(id_col).cast("long").alias("t_doc")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
     drawn = settle(teach.orderBy(F.xxhash64(F.lit(7), "t_doc"), "t_doc").limit(examples), "drawn")
-    drawn_texts = rows.join(F.broadcast(drawn), F.col("doc") == F.col("t_doc"))  # at most `examples` rows of 12 bytes
+    drawn_texts = rows.join(F.broadcast(drawn), F.col("doc") == F.col("t_doc")).where("text is not null").select("text", "label", "doc")  # at most `examples` rows of 12 bytes
+    marked = drawn_texts.mapInArrow(_alike, "text string, label int, doc long, alike long")
+    drawn_texts = settle(marked.groupBy("alike").agg(F.min_by(F.struct("text", "label", "doc"), "doc").alias("r")).select("r.*"), "examples")
+    drawn = settle(drawn.join(drawn_texts.select(F.col("doc").alias("t_doc")), "t_doc", "left_semi"), "drawn")
     totals = drawn_texts.agg(F.count("*").alias("n"), F.sum("label").alias("pos")).first()
     n, pos = totals["n"], totals["pos"] or 0
     prior = pos / n if n else 0.49
-    support = drawn_texts.select("text", "label").mapInArrow(_support, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    support = drawn_texts.mapInArrow(_support, "term long, n long, pos long, rows long, size int").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.bit_xor("rows").alias("rows"), F.max("size").alias("size"))
     neg = n - pos
     with_, without = F.col("pos") / F.lit(max(1, pos)), (F.col("n") - F.col("pos")) / F.lit(max(1, neg))
     safe = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
@@ -196,6 +216,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", exam
     e = [F.col("n") * prior, F.col("n") * (1 - prior), (F.lit(n) - F.col("n")) * prior, (F.lit(n) - F.col("n")) * (1 - prior)]
     ratio = 2 * (safe(k[0], e[0]) + safe(k[1], e[1]) + safe(k[2], e[2]) + safe(k[3], e[3]))
     lean = support.where((F.col("n") >= SUPPORT) & (with_ > without)).withColumn("lean", ratio).where(F.col("lean") >= LEAN**2)
+    lean = lean.groupBy("n", "pos", "rows", "lean").agg(F.max_by("term", F.struct("size", "term")).alias("term"))  # of terms of the same rows the longest
     chosen = [r.term for r in lean.orderBy(F.desc("lean"), "term").limit(FEATURES).select("term").collect()]
     features = np.sort(np.array(chosen, np.int64).view(np.uint64)) if chosen else np.zeros(0, np.uint64)
     vectors = settle(rows.mapInArrow(_vectors(features), "doc long, terms array<int>"), "vectors")
