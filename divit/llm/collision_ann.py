@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import settle, small_batches
 from .subspace_dedup import _usable
 
-HASHES, THRESHOLD, SHARE, STEP, WIDTH = 32, 17, 0.5, 1.15, 0.9
+HASHES, THRESHOLD, SHARE, STEP, WIDTH = 64, 34, 0.5, 1.15, 0.9
 SEGMENT, QUERIES = 8192, 1024
 
 
