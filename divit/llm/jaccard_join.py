@@ -272,7 +272,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, depth
         found = settle(_verified(tried, texts, words, percent), "found")
         release(spark)
         gained = found.count()
-        merged = gained * 20 >= tried.count()  # what few merges would not make up for another round
+        merged = 0 < gained and gained * 20 >= tried.count()  # what few merges would not make up for another round
         if gained:
             links = links.unionByName(found)
             of = open_.select("doc", "cls").distinct()
