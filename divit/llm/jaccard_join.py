@@ -2,8 +2,8 @@
 
 The metric is the Jaccard distance d = 1 - J on sets of word shingles; the join radius is e = 1 - s.
 Pivots that are documents separate nothing here: unrelated texts lie at a distance of about 1 from
-each of them, so a window of 2e would copy every document into every region (the README has
-figures). The pivots are therefore the singleton sets {g} of the corpus' own shingles. A document x
+each of them, so a window of 2e would copy every document into every region (an argument, not
+a measurement: no figures were kept). The pivots are therefore the singleton sets {g} of the corpus' own shingles. A document x
 lies at 1 - 1/|x| from each pivot inside it and at 1 from all others, and ties among its nearest
 pivots are broken by one global order of the pivots, rarest first. That gives Voronoi regions in
 which a region holds the documents whose first shingle is its pivot.
