@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are beginnings of words (4 to 8 bytes) and whole words, lower-cased, each also once more for a second and a third occurrence in a text.
-Of examples that are copies or near copies one teaches. The vector space keeps the `FEATURES` terms that lean most to the labelled class by their likelihood ratio in the examples; document frequencies
-are counted over all documents. Examples are at most `EXAMPLES` labelled rows (drawn by a hash), so the index has a bounded size
+Terms are beginnings of words (4 to 8 bytes) and whole words, lower-cased, each also once more for each further occurrence in a text.
+Of examples that are copies or near copies one teaches. The vector space keeps every term that leans to the labelled class by its likelihood ratio in the examples (`SUPPORT`, `LEAN`), however many pass; other terms
+count for nothing, and texts without any kept term share one score. Document frequencies are counted over all documents. Examples are at most `EXAMPLES` labelled rows (drawn by a hash), so the index has a bounded size
 and is broadcast. A query's neighbours are exact: blocks of examples are visited by falling bound, until the bound is below the k-th best
 cosine. Neighbours vote with squared cosines against a prior; the votes are calibrated on the examples themselves, each scored without its own vote, by
 pooling adjacent violators over all of them.
@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 from .shared import settle, small_batches
 from .textbytes import LOWER, Hasher, flat, mix, spans, steps
 
-EXAMPLES, FEATURES, NEIGHBOURS, BLOCK, CELLS = 20_000, 256, 25, 64, 50
+EXAMPLES, NEIGHBOURS, BLOCK, CELLS = 20_000, 25, 64, 50
 #: The least support and signed root of the likelihood ratio that a term needs.
 SUPPORT, LEAN = 5, 5.0
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_LEVELS = 3
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,8 +51,9 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(new)
     times = np.diff(np.concatenate([at, [len(row)]]))
     row, term, size = row[at], term[at], size[at]
-    more = [(row[times >= k], mix(term[times >= k] + np.uint64(k)), size[times >= k]) for k in range(2, _LEVELS + 1)]
-    return tuple(np.concatenate([x, *(m[i] for m in more)]) for i, x in enumerate((row, term, size)))
+    again = np.repeat(np.arange(len(row)), times - 1)
+    nth = np.arange(len(again)) - np.repeat(np.cumsum(times - 1) - (times - 1), times - 1) + 2
+    return np.concatenate([row, row[again]]), np.concatenate([term, mix(term[again] + nth.astype(np.uint64))]), np.concatenate([size, size[again]])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +217,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", exam
     ratio = 2 * (safe(k[0], e[0]) + safe(k[1], e[1]) + safe(k[2], e[2]) + safe(k[3], e[3]))
     lean = support.where((F.col("n") >= SUPPORT) & (with_ > without)).withColumn("lean", ratio).where(F.col("lean") >= LEAN**2)
     lean = lean.groupBy("n", "pos", "rows", "lean").agg(F.max_by("term", F.struct("size", "term")).alias("term"))  # of terms of the same rows the longest
-    chosen = [r.term for r in lean.orderBy(F.desc("lean"), "term").limit(FEATURES).select("term").collect()]
+    chosen = [r.term for r in lean.select("term").collect()]  # bounded by the examples' vocabulary
     features = np.sort(np.array(chosen, np.int64).view(np.uint64)) if chosen else np.zeros(0, np.uint64)
     vectors = settle(rows.mapInArrow(_vectors(features), "doc long, terms array<int>"), "vectors")
 

@@ -62,6 +62,22 @@ def test_toxicity_separates_held_out_rows(spark, sf):
     assert auc > 0.8
 
 
+def test_toxicity_keeps_all_leaning_terms(spark):
+    import pyarrow as pa
+
+    from divit.llm.toxicity import _terms, score_toxicity
+
+    assert len(_terms(pa.array(["abc " * 9]))[1]) == 9
+    many = [f"{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}" for i in range(300)]
+    bad = [(i * 10 + j, f"{w} filler{i * 10 + j}", 1) for i, w in enumerate(many) for j in range(10)]
+    good = [(10_000 + i, f"plain clean{i}", 0) for i in range(9000)]
+    docs = spark.createDataFrame([r[:2] for r in bad + good], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in bad + good], "doc_id long, toxic int")
+    asked = docs.unionByName(spark.createDataFrame([(50_000 + i, f"{w} unseen") for i, w in enumerate(many)], "doc_id long, text string"))
+    found = {r.doc_id: r.predicted for r in score_toxicity(asked, labels).where("doc_id >= 50000").collect()}
+    assert len(found) == 300 and all(found.values())
+
+
 def test_packing_round_trip(spark, sf):
     from tokenizers import Tokenizer
     import sys
