@@ -5,12 +5,14 @@ encoding (decimal, hex, base32, base64, base64url, alphanumeric) is inferred fro
 case are words of some language rather than an encoding and no candidates. Each candidate's digits go through chi-squared
 uniformity over the alphabet (folded until five are expected in a cell), a runs test about the middle, and lag-one
 serial correlation; the three p-values combine by Fisher's method. Random strings have uniform p-values, other strings
-p-values near 0. So over all documents, per encoding and length class, twice the number above 1/2 estimates the random
-strings, and the least threshold at which the others' share among the accepted is at most `rate` is taken.
+p-values near 0. So over the distinct strings of all documents, per encoding and length class, twice the number above 1/2 estimates the
+random strings, and the least threshold at which the others' share among the accepted is at most `rate` is taken. Classes of fewer than
+`FEW` distinct strings are pooled with the other lengths of their encoding, then with all encodings.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -30,7 +32,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _WORDS = ("passw", "secret", "token", "api_key", "apikey")
 
-SHORTEST, BINS = 20, 20
+SHORTEST, BINS, FEW = 20, 20, 20
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _DIGITS = "0123456789"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -97,19 +99,23 @@ def randomness(token: str, encoding: str) -> float:
     return math.exp(-x) * (1 + x + x * x / 2)
 
 
-def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
-    """(start, end, encoding, p) of runs that overlap none of the spans in `taken`."""
+def _name(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float, int]]:
+    """(start, end, encoding, p, hash of the string) of runs that overlap none of the spans in `taken`."""
     out = []
     for m in _RUN.finditer(text):
         if any(a < m.end() and m.start() < b for a, b, _ in taken):
             continue
         encoding = encoding_of(m[0])
         if encoding:
-            out.append((m.start(), m.end(), encoding, randomness(m[0], encoding)))
+            out.append((m.start(), m.end(), encoding, randomness(m[0], encoding), _name(m[0])))
     return out
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("p", pa.float64())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("p", pa.float64()), ("name", pa.int64())]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,8 +124,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base, more = [], []
             for text in part.column("text").to_pylist():
                 b = base_spans(text or "")
-                base.append([{"start": s, "end": e, "kind": k, "p": None} for s, e, k in b])
-                more.append([{"start": s, "end": e, "kind": k, "p": p} for s, e, k, p in candidates(text or "", b)])
+                base.append([{"start": s, "end": e, "kind": k, "p": None, "name": None} for s, e, k in b])
+                more.append([{"start": s, "end": e, "kind": k, "p": p, "name": h} for s, e, k, p, h in candidates(text or "", b)])
             yield pa.record_batch([part.column("doc"), pa.array(base, _SPANS), pa.array(more, _SPANS)], names=["doc", "base", "more"])
 
 
@@ -127,13 +133,18 @@ _LENGTH_CLASS = "cast(least(6, floor(log2(c.end - c.start))) as int)"
 
 
 def thresholds(scanned: DataFrame, rate: float) -> dict[tuple[str, int], float]:
-    """Per (encoding, length class) the least accepted p-value; a few dozen rows of counts reach the driver."""
-    counts = scanned.selectExpr("explode(more) c").selectExpr("c.kind k", f"{_LENGTH_CLASS} l", f"least({BINS - 1}, cast(floor(c.p * {BINS}) as int)) b").groupBy("k", "l", "b").count()
+    """Per (encoding, length class) the least accepted p-value; each distinct string counts once. A few dozen rows of counts reach the driver."""
+    distinct = scanned.selectExpr("explode(more) c").selectExpr("c.kind k", f"{_LENGTH_CLASS} l", f"least({BINS - 1}, cast(floor(c.p * {BINS}) as int)) b", "c.name name").distinct()
     bins: dict[tuple[str, int], list[int]] = {}
-    for r in counts.collect():
+    for r in distinct.groupBy("k", "l", "b").count().collect():
         bins.setdefault((r.k, r.l), [0] * BINS)[r.b] = r["count"]
     out = {}
-    for key, n in bins.items():
+    for key, own in bins.items():
+        pools = (own, *([sum(c) for c in zip(*(n for other, n in bins.items() if fits(other)))] for fits in (lambda o: o[0] == key[0], lambda o: True)))
+        n = next((n for n in pools if sum(n) >= FEW), None)
+        if n is None:  # too few strings in all tables to estimate shares: accept what the tests don't reject at `rate`
+            out[key] = rate
+            continue
         random = 2 * sum(n[BINS // 2 :])
         ok = [i for i in range(BINS // 2 + 1) if (kept := sum(n[i:])) and 1 - min(kept, random * (1 - i / BINS)) / kept <= rate]
         if ok:
@@ -150,7 +161,7 @@ def scan_secrets(docs: DataFrame, rate: float = 0.1, id_col: str = "doc_id", tex
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    span = "array<struct<start:int,end:int,kind:string,p:double>>"
+    span = "array<struct<start:int,end:int,kind:string,p:double,name:bigint>>"
     scanned = settle(rows.mapInArrow(_scan, f"doc long, base {span}, more {span}"), "scanned")
     least = thresholds(scanned, rate)
     cut = "case " + " ".join(f"when c.kind = '{k}' and {_LENGTH_CLASS} = {n} then c.p >= {p}" for (k, n), p in least.items()) + " else false end" if least else "false"
@@ -169,7 +180,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.1, id_col: s
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("doc", F.lit(None).cast("long"))
-    span = "array<struct<start:int,end:int,kind:string,p:double>>"
+    span = "array<struct<start:int,end:int,kind:string,p:double,name:bigint>>"
     least = thresholds(settle(rows.mapInArrow(_scan, f"doc long, base {span}, more {span}"), "scanned"), rate)
     at = docs.columns.index(text_col)
     size_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
@@ -178,7 +189,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.1, id_col: s
         if not text:
             return text
         base = base_spans(text)
-        found = [(s, e) for s, e, _ in base] + [(s, e) for s, e, k, p in candidates(text, base) if p >= least.get((k, min(6, int(math.log2(e - s)))), 2.0)]
+        found = [(s, e) for s, e, _ in base] + [(s, e) for s, e, k, p, _ in candidates(text, base) if p >= least.get((k, min(6, int(math.log2(e - s)))), 2.0)]
         out, done, pos = [], 0, 0
         for s, e in sorted(found):
             if s >= done:

@@ -207,6 +207,25 @@ def test_secret_scan(spark, sf):
     assert {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in Q.op10_secret_scan(spark, sf).collect()} == want
 
 
+def test_secret_thresholds_count_distinct_strings(spark):
+    import random
+    import string
+
+    from divit.llm.secret_scan import candidates, redact, scan_secrets, thresholds
+
+    def cut(rows):
+        more = [(1, [(0, 24, "alnum", p, name)]) for p, name in rows]
+        return thresholds(spark.createDataFrame(more, "doc long, more array<struct<start:int,end:int,kind:string,p:double,name:bigint>>"), 0.1)["alnum", 4]
+
+    uniform = [((i + 0.5) / 2000, i) for i in range(2000)]
+    assert cut(uniform) == cut(uniform + [(0.37, -1)] * 5000) == 0.0
+    assert cut([(0.0001, i) for i in range(2000)] + [(0.62, -1)] * 5000) > 0.0
+    draw = random.Random(5)
+    lone = next(t for _ in range(10_000) if (t := "".join(draw.choices(string.ascii_letters + string.digits, k=24))) and (c := candidates(t, [])) and 0.2 < c[0][3] < 0.45)
+    docs = spark.createDataFrame([(1, f"see {lone} here")], "doc_id long, text string")
+    assert [s.kind for s in scan_secrets(docs).first().spans] == ["random"] and lone not in redact(docs).first().text
+
+
 def odd(spark, tmp_path, rows):
     spark.createDataFrame(rows, ODD).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(3, 1, 0), (2, 0, 1), (None, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
