@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_digests import DIGESTS
 from .shared import settle, small_batches
 
 #: Equivalent spellings.
@@ -70,6 +71,44 @@ KNOWN = {
     "MIT (notice)": "Released under the MIT License.",
 }
 
+_BSD = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {0}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {1}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {2}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {3} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_NAMES = "Neither the name of the copyright {0} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_UNLICENSE = 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License", "GFDL": "GNU Free Documentation License"}
+#: Names that notices give to a licence.
+NAMED = {
+    "MIT": ["MIT License", "MIT"], "ISC": ["ISC License", "ISC"], "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License", "Modified BSD License", "BSD-3-Clause"], "BSD": ["BSD License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0"], "Unlicense": ["Unlicense"],
+    "MPL-1.1": ["Mozilla Public License, Version 1.1", "MPL 1.1", "MPL-1.1"], "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero 1.0 Universal", "CC0-1.0"],
+} | {f"{k}-{v}": [f"{_GNU[k]}, version {n}" for n in {v, v.removesuffix(".0")}] + [f"{_GNU[k]} v{v}", f"{k} v{v.removesuffix('.0')}", f"{k} {v}", f"{k}-{v}"]
+     for k, vs in {"GPL": ("1.0", "2.0", "3.0"), "LGPL": ("2.0", "2.1", "3.0"), "AGPL": ("3.0",), "GFDL": ("1.2", "1.3")}.items() for v in vs} | {
+    f"CC-{k.upper()}-{v}": [f"CC {k.upper()} {v}", f"CC-{k.upper()}-{v}", f"Creative Commons {w} {v}", f"Creative Commons {w} {v} International License"]
+    for k, w in {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}.items() for v in ("2.0", "3.0", "4.0")}
+_VERBS = [f"{a}{b} under " for a in ("", "This work is ", "This software is ", "This project is ") for b in ("licensed", "released", "distributed")] + ["License: "]
+
+
+def _known_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the built-in texts: whole licences with and without a title line, and notices."""
+    out = list(KNOWN.items())
+    whole = [("MIT", KNOWN["MIT"], ["MIT License", "The MIT License", "The MIT License (MIT)"]), ("ISC", KNOWN["ISC"], ["ISC License", "The ISC License"])]
+    for a, b, c in (("", "", ""), ("1. ", "2. ", "3. ")):
+        for one in ("HOLDER", "OWNER"):
+            whole.append(("BSD-2-Clause", _BSD.format(a, b, "", one), ["BSD 2-Clause License", "The BSD 2-Clause License"]))
+            whole += [("BSD-3-Clause", _BSD.format(a, b, c + _NAMES.format(n), one), ["BSD 3-Clause License", "The BSD 3-Clause License"]) for n in ("holder", "holders")]
+    for tail in ("", " For more information, please refer to <https://unlicense.org>", " For more information, please refer to <http://unlicense.org/>", " For more information, please refer to <https://unlicense.org/>"):
+        whole.append(("Unlicense", _UNLICENSE + tail, ["The Unlicense", "Unlicense"]))
+    for i, text, titles in whole:
+        out += [(i, text)] + [(i, f"{t}\n{text}") for t in titles]
+    for i, names in NAMED.items():
+        out += [(f"{i} (notice)", f"{v}{the}{n}") for n in names for v in _VERBS for the in ("", "the ")]
+        out.append((f"{i} (notice)", f"SPDX-License-Identifier: {i}"))
+        if i.split("-")[0] in _GNU:
+            out += [(f"{i} (notice)", f"SPDX-License-Identifier: {i}-{x}") for x in ("only", "or-later")]
+    return out
+
+
 _LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLANK = bytes(b if b >= 128 or chr(b).isalnum() or b == 10 else 32 for b in range(256))
 _NOTICE = re.compile(rb"^[ \t\r]*(?:\xc2\xa9|\(c\)|copyright(?![a-z]))[^\n]*", re.M)
@@ -95,8 +134,9 @@ def digest(text: str) -> str:
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """(license_id, sha256) of the known texts."""
-    return spark.createDataFrame([(k, digest(v)) for k, v in (known or KNOWN).items()], "license_id string, sha256 string")
+    """(license_id, sha256) of the known texts; by default, of all built-in ones."""
+    rows = [(k, digest(v)) for k, v in (known.items() if known else _known_texts())]
+    return spark.createDataFrame(sorted({*rows, *([] if known else [(i, h) for i, h, _ in DIGESTS])}), "license_id string, sha256 string")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, longest: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,7 +150,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, longest: int
     spark = docs.sparkSession
     small_batches(spark)
     if known is None:
-        known, longest = known_digests(spark), max(len(canonical(v).encode()) for v in KNOWN.values())
+        known, longest = known_digests(spark), max(*(len(canonical(v).encode()) for _, v in _known_texts()), *(n for _, _, n in DIGESTS))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch], bound=longest or 1 << 62) -> Iterator[pa.RecordBatch]:

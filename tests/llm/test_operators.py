@@ -158,6 +158,16 @@ def test_license_scan(spark):
     assert got == {1: ("MIT", ""), 2: (None, "MIT (notice)"), 3: (None, ""), 4: (None, ""), 5: (None, "")}
 
 
+def test_license_scan_knows_common_licences(spark):
+    from divit.llm.license_scan import _BSD, _NAMES, _UNLICENSE, KNOWN, scan_licenses
+
+    whole = {"MIT": "MIT License\n\nCopyright (c) 2020 A\n\n" + KNOWN["MIT"], "ISC": "ISC License\n" + KNOWN["ISC"], "BSD-2-Clause": _BSD.format("1. ", "2. ", "", "HOLDER"), "BSD-3-Clause": "BSD 3-Clause License\n" + _BSD.format("* ", "* ", "* " + _NAMES.format("holder"), "HOLDER"), "Unlicense": _UNLICENSE}
+    lines = {"GPL-2.0 (notice)": "This work is licensed under the GNU General Public License, version 2.", "CC-BY-4.0 (notice)": "Licensed under CC BY 4.0.", "BSD-3-Clause (notice)": "Released under the BSD 3-Clause License.", "AGPL-3.0 (notice)": "SPDX-License-Identifier: AGPL-3.0-or-later"}
+    docs = [(i, t) for i, t in enumerate([*whole.values(), *(f"A text.\n{t}\nMore." for t in lines.values())])]
+    got = [r.license_id or r.line_licenses for r in scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [*whole, *lines]
+
+
 def test_url_rules(spark, sf):
     rules = [(v, *r.split("/", 1)) for v, r in Q.RULES]
     for r in Q.op7_url_filter(spark, sf).collect():
