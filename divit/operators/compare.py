@@ -19,24 +19,25 @@ def train_minus_test(pars: DataFrame, is_test: str) -> DataFrame:
     return rows.where(f"not ({is_test})").join(test, "norm", "left_anti")
 
 
-def align(pairs: DataFrame, left: str = "a", right: str = "b", key: str = "id") -> DataFrame:
-    """Opcodes of longest-matching-block alignment of two token arrays, one row per block; null arrays count as empty.
+def align(pairs: DataFrame, left: str = "a", right: str = "b", key: str = "id", line: str | None = None) -> DataFrame:
+    """Opcodes of longest-matching-block alignment of two token arrays, one row per block; null arrays count as empty. `line`, a long column, is kept beside `key`.
 
     Replaced blocks of equal length are split into pairs of one token. Nothing in the JVM expresses the block search.
     """
     kind = pairs.schema[key].dataType.simpleString()
+    names = [key, line] if line else [key]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for i, a, b in zip(frame[key], frame[left], frame[right]):
+            for *i, a, b in zip(*(frame[c] for c in names), frame[left], frame[right]):
                 a, b = list(a) if a is not None else [], list(b) if b is not None else []
                 for op, a0, a1, b0, b1 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
                     cuts = [(x, x + 1, y, y + 1) for x, y in zip(range(a0, a1), range(b0, b1))] if op == "replace" and a1 - a0 == b1 - b0 else [(a0, a1, b0, b1)]
-                    out += [(i, op, x0, y0, " ".join(a[x0:x1]), " ".join(b[y0:y1])) for x0, x1, y0, y1 in cuts]
-            yield pd.DataFrame(out, columns=[key, "op", "left_pos", "right_pos", "left", "right"])
+                    out += [(*i, op, x0, y0, " ".join(a[x0:x1]), " ".join(b[y0:y1])) for x0, x1, y0, y1 in cuts]
+            yield pd.DataFrame(out, columns=[*names, "op", "left_pos", "right_pos", "left", "right"])
 
-    return pairs.select(key, left, right).mapInPandas(run, f"{key} {kind}, op string, left_pos long, right_pos long, left string, right string")
+    return pairs.select(*names, left, right).mapInPandas(run, f"{key} {kind}, {f'{line} long, ' if line else ''}op string, left_pos long, right_pos long, left string, right string")
 
 
 def coverage_rollup(toks: DataFrame, lexicon: DataFrame, by: str) -> DataFrame:

@@ -62,6 +62,14 @@ def test_align(spark):
     assert [tuple(r)[1:] for r in compare.align(df).orderBy("left_pos", "right_pos").collect()] == [("equal", 0, 0, "a", "a"), ("replace", 1, 1, "b", "x"), ("equal", 2, 2, "c", "c"), ("insert", 3, 3, "", "d")]
 
 
+def test_align_tokens_takes_every_line(spark, tmp_path):
+    from divit.plans.catalogue import QUERIES
+
+    spark.createDataFrame([(1, "\na b\nc"), (2, "\na x"), (4, "z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["align_tokens"](spark, str(tmp_path)).orderBy("id", "par", "left_pos").collect()
+    assert [(r.id, r.par, r.op, r.left, r.right) for r in rows] == [(1, 1, "equal", "a", "a"), (1, 1, "replace", "b", "x"), (1, 2, "delete", "c", "")]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"ok\xff end")
     assert files.read_txt(spark, str(tmp_path / "a.txt")).first().text == "ok end"
