@@ -1,35 +1,33 @@
 """N-gram Jaccard join: pivots, Voronoi regions with boundary windows, and recursive exact joins of regions.
 
-The metric is the Jaccard distance d = 1 - J on sets of word shingles; the join radius is e = 1 - s.
-Pivots that are documents separate nothing here: unrelated texts lie at a distance of about 1 from
-each of them, so a window of 2e would copy every document into every region (an argument, not
-a measurement: no figures were kept). The pivots are therefore the singleton sets {g} of the corpus' own shingles. A document x
-lies at 1 - 1/|x| from each pivot inside it and at 1 from all others, and ties among its nearest
-pivots are broken by one global order of the pivots, rarest first. That gives Voronoi regions in
-which a region holds the documents whose first shingle is its pivot.
-
-*Windows.* If d(x, y) <= e, then by the triangle inequality in the set-difference metric at most
-|x| - ceil(s|x|) pivots of x are no pivots of y. So y's region is met within x's first
-|x| - ceil(s|x|) + 1 pivots, and x is copied into exactly these regions, plus `depth` - 1 more: then
-linked documents meet in `depth` regions at least (in all that they share, if fewer), and pairs that
-meet in fewer are left out without loss. For a pair whose sizes are known the windows narrow to what
-those two sizes leave, and the sizes bound the distance as well.
-
-*Recursion.* Regions are joined in two levels. On the first, documents that share their
-`BOTTOM` smallest hashes (Voronoi regions of random pivot tuples) are joined around leaders; every
-link found contracts its documents into one class. On the second, the window regions that still hold
-more than one class are joined: one member of each class against the region's smallest class first,
-and this again on the contracted classes, as long as classes merge; then every remaining pair of members
-of different classes that sizes and shared regions leave possible. Each link is an exact comparison of whole
-sets, and a pair is left out only if both documents are already in one class.
-
-Hot groups: equal sets are one document before any join; first-level regions are dealt out in chunks
-of `CHUNK` documents; the first rounds of the second level aggregate (region, class) before they meet.
+The metric is the symmetric difference |x ^ y| of sets of word shingles: documents link (Jaccard >= s) exactly where
+|x ^ y| <= H(x, y) = (1 - s) / (1 + s) * (|x| + |y|). It is invariant under re-centring: |x ^ y| = |(x ^ p) ^ (y ^ p)|
+for every pivot p, so a region around a pivot can be joined on the differences from it, which are small near it.
+
+*First level, pivot: the empty set.* Seen from there documents are their own sets. By the triangle inequality linked sets
+share all but H of their elements, so they meet in `depth` of their |x| - ceil(s|x|) + `depth` rarest shingles (all they share, if
+fewer): a document is copied into the cells of these, its window. For a pair of known sizes the windows narrow and sizes bound the distance too.
+
+*Pivots of cells.* In each cell with documents of two classes the smallest one is the pivot; all others are compared with it exactly, and links
+contract documents into classes until few are won. Then cells of at most `SMALL` documents are joined pair by pair of classes. In larger ones
+a document belongs to the Voronoi region of the cell's pivot or of the empty set, whichever is nearer, and to both where the two distances
+differ by at most 2 H: linked documents share a region (triangle inequality).
+
+*Recursion.* In the pivot's region x becomes x ^ p. Linked x, y share all but H/2 elements of the smaller of the two differences, so they
+meet in their H + 1 rarest elements, or in the cell of those that differ by less than that; these cells are joined as before,
+with pivots of their own. Cells of the same pivot are one region, however many there are. In the region of the empty set documents meet a second
+time, in the cell of two common shingles. After `LEVELS` levels what still shares a cell is compared pair by pair: that needs texts
+which differ by much the same elements at each level without linking.
+
+Each link is an exact comparison of whole sets of 64-bit shingle hashes, and a pair is left out only if both documents are in one class
+already or can't link. Sets are told apart by 64-bit digests. Equal sets are one document before any join. Hot groups: a task sends equal sets
+once; cells are grouped by partial aggregation, members meet only pivots, and a pivot's members are dealt out in chunks of `CHUNK`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -39,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import release, remove, settle, small_batches
+from .shared import fresh, quoted, release, remove, settle, small_batches
 from .textbytes import mix, shingle_sets, steps
 
-BOTTOM, CHUNK = 4, 256
+CHUNK, SMALL, LEVELS, SEEN = 256, 64, 4, 100_000
 #: Up to so many ids are broadcast to pick texts (1.6 MB); more are joined by a shuffle.
 WANTED = 200_000
 #: The order of pivots is a table of counts of all shingles of all documents, folded into 2**ORDER_BITS cells: its size never grows.
@@ -62,34 +60,36 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(both) - inter)
 
 
+def _digest(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
 
 
 def _signatures(words: int):
-    """Per document: size, a 128-bit digest of its set, its first-level region; and per task the counts of shingles."""
+    """Per document: size and digest of its set; and per task the counts of shingles."""
     side = 1 << ORDER_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(side, np.uint32)
         for batch in batches:
             for part in steps(batch, "text"):
-                size, d1, d2, home = [], [], [], []
+                size, name = [], []
                 for s in shingle_sets(part.column("text"), words):
                     np.add.at(counts, (s & np.uint64(side - 1)).astype(np.int64), 1)
-                    d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                    h = np.uint64(len(s[:BOTTOM]))
-                    for g in s[:BOTTOM]:
-                        h = mix(np.array([h ^ g]))[0]
-                    size.append(len(s)), d1.append(int(d[0])), d2.append(int(d[1])), home.append(int(_signed(np.array([h]))[0]))
-                none = pa.nulls(len(size), pa.binary())
-                yield pa.record_batch([part.column("doc"), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(home, pa.int64()), pa.nulls(len(size), pa.int32()), none], names=["doc", "size", "d1", "d2", "home", "slot", "counts"])
+                    size.append(len(s)), name.append(_digest(s))
+                yield pa.record_batch([part.column("doc"), part.column("key"), pa.array(size, pa.int64()), pa.array(name, pa.int64()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names=_SIGNATURE)
         if counts.any():
             blobs = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SLOTS, -1)]
             null = pa.nulls(SLOTS, pa.int64())
-            yield pa.record_batch([null, null, null, null, null, pa.array(range(SLOTS), pa.int32()), pa.array(blobs, pa.binary())], names=["doc", "size", "d1", "d2", "home", "slot", "counts"])
+            yield pa.record_batch([null, null, null, null, pa.array(range(SLOTS), pa.int32()), pa.array(blobs, pa.binary())], names=_SIGNATURE)
+
+    return run, "doc long, key long, size long, name long, slot int, counts binary"
 
-    return run, "doc long, size long, d1 long, d2 long, home long, slot int, counts binary"
+
+_SIGNATURE = ["doc", "key", "size", "name", "slot", "counts"]
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +122,6 @@ def _logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator[dict]]]:
     """Rows of a sorted partition, group by group."""
-    import itertools
 
     def rows():
         for batch in batches:
@@ -132,181 +131,242 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
     return itertools.groupby(rows(), key=lambda r: tuple(r[k] for k in keys))
 
 
-def _sets(texts: list[str], words: int) -> list[np.ndarray]:
-    return [s for part in steps(pa.record_batch([pa.array(texts, pa.string())], names=["text"]), "text") for s in shingle_sets(part.column("text"), words)]
+def _ranked(s: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A set by the order of pivots: rarest first, ties by hash."""
+    return s[np.argsort(weight[(s & np.uint64(len(weight) - 1)).astype(np.int64)], kind="stable")]
 
 
-def _led(words: int, percent: int):
-    """First level: join each chunk of a region around leaders."""
+def _windows(words: int, percent: int, depth: int, order):
+    """Copies of each document's set for the cells in its window; a task sends equal sets once (again after `SEEN` others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, ("home", "chunk")):
-            leaders: list[tuple[int, np.ndarray]] = []
-            a, b = [], []
-            for r in rows:
-                s = _sets([r["text"]], words)[0]
-                for doc, t in leaders:
-                    if _linked(s, t, percent):
-                        a.append(r["doc"]), b.append(doc)
-                        break
-                else:
-                    leaders.append((r["doc"], s))
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        weight, seen = order.value, set()
+        for batch in batches:
+            for part in steps(batch, "text"):
+                cells, name, n, at = [], [], [], []
+                for s in shingle_sets(part.column("text"), words):
+                    if not len(s) or (d := _digest(s)) in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(d)
+                    kept = _ranked(s, weight)[: len(s) - _ceil(percent, len(s)) + depth]
+                    cells.append(kept), name.append(np.full(len(kept), d)), n.append(np.full(len(kept), len(s), np.int32)), at.append(np.arange(len(kept), dtype=np.int32))
+                if cells:
+                    yield pa.record_batch([pa.array(c) for c in (_signed(np.concatenate(cells)), np.concatenate(name), np.concatenate(n), np.concatenate(at))], names=["cell", "doc", "n", "rank"])
 
-    return run
+    return run, "cell long, doc long, n int, rank int"
 
 
-def _windows(words: int, percent: int, depth: int, order):
-    """Copies of each document for the regions in its window."""
+def _whole(words: int):
+    """(doc, set): the sorted hashes of each document's set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = order.value
         for batch in batches:
             for part in steps(batch, "text"):
-                cells, of, n, at = [], [], [], []
-                for i, s in enumerate(shingle_sets(part.column("text"), words)):
-                    keep = len(s) - _ceil(percent, len(s)) + depth
-                    rank = np.argsort(weight[(s & np.uint64(len(weight) - 1)).astype(np.int64)], kind="stable")[:keep]
-                    cells.append(s[rank]), of.append(np.full(len(rank), i)), n.append(np.full(len(rank), len(s))), at.append(np.arange(len(rank)))
-                if cells:
-                    i = np.concatenate(of)
-                    yield pa.record_batch([pa.array(_signed(np.concatenate(cells))), part.column("doc").take(pa.array(i)), part.column("cls").take(pa.array(i)), pa.array(np.concatenate(n).astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32))], names=["cell", "doc", "cls", "n", "rank"])
+                yield pa.record_batch([part.column("doc"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), words)], pa.binary())], names=["doc", "set"])
+
+    return run, "doc long, set binary"
 
-    return run
 
+def _compared(percent: int, order):
+    """Exact comparison of a document with its candidates; its own row comes first in each group.
 
-def _checked(words: int, percent: int):
-    """Exact comparison of one document with each of its candidates; its own row comes first in each group."""
+    With an order of pivots, each candidate's part in the region of the document and in that of the empty set too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = None if order is None else order.value
         for (a, _), rows in _groups(batches, ("a", "chunk")):
-            own, found = [], []
+            own, out = None, []
             for r in rows:
-                s = _sets([r["text"]], words)[0]
+                s = np.frombuffer(r["set"], np.uint64)
                 if r["b"] is None:
-                    own.append(s)
-                elif any(_linked(s, t, percent) for t in own):
-                    found.append(r["b"])
-            if found:
-                yield pa.record_batch([pa.array([a] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
-
-    return run
+                    own = s
+                    continue
+                linked = _linked(own, s, percent)
+                if weight is None:
+                    if linked:
+                        out.append((a, r["b"], True, len(s), False, None))
+                    continue
+                radius = (100 - percent) * (len(s) + 100 * len(s) // percent) // (100 + percent)
+                apart = np.setxor1d(own, s, assume_unique=True)
+                cells = None
+                if len(apart) <= len(s) + 2 * radius:
+                    cells = _ranked(apart, weight)[: radius + 1]
+                    if len(apart) <= radius:
+                        cells = np.append(cells, np.uint64(0))
+                    cells = _signed(mix(cells ^ mix(np.array([a]).astype(np.uint64)))).tolist()
+                out.append((a, r["b"], linked, len(s), len(apart) >= len(s) - 2 * radius, cells))
+                if len(out) >= 1024:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), _COMPARED)], names=_COMPARED_NAMES)
+                    out = []
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), _COMPARED)], names=_COMPARED_NAMES)
+
+    return run, "a long, b long, linked boolean, n int, far boolean, cells array<long>"
+
+
+_COMPARED = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
+_COMPARED_NAMES = ["a", "b", "linked", "n", "far", "cells"]
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int, order=None) -> DataFrame:
+    """The pairs (a, b) that link, or with an order all of them with b's regions. A document with many partners is dealt out in chunks."""
+    many = pairs.groupBy("a").count().where(f"count > {CHUNK}")
+    pairs = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("count", F.lit(1)) / CHUNK)).alias("chunk"))
+    theirs = pairs.join(sets.withColumnRenamed("doc", "b"), "b").select("a", "chunk", "b", "set")
+    own = pairs.select("a", "chunk").distinct().join(sets.withColumnRenamed("doc", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "set")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = own.unionByName(theirs).repartition(n, "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    run, schema = _compared(percent, order)
+    return both.mapInArrow(run, schema)
 
 
 def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc, text) of the documents in ids(doc)."""
-    ids = settle(ids.distinct(), "wanted")
-    return settle(texts.join(F.broadcast(ids) if ids.count() <= WANTED else ids, "doc"), "texts")
+    """(name, text) of the rows in ids(key, name)."""
+    ids = settle(ids, "wanted")
+    return texts.join(F.broadcast(ids) if ids.count() <= WANTED else ids, "key").select("name", "text")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets link. A document with many partners is dealt out in chunks."""
-    texts = _texts_of(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))), texts)
-    pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(64)))
-    theirs = pairs.join(texts.withColumnRenamed("doc", "b"), "b").select("a", "chunk", "b", "text")
-    own = pairs.select("a", "chunk").distinct().join(texts.withColumnRenamed("doc", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "text")
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = own.unionByName(theirs).repartition(n, "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-    return both.mapInArrow(_checked(words, percent), "a long, b long")
+def _open(copies: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """copies(cell, doc, ...) -> those in cells with documents of two classes, with their class."""
+    named = copies.withColumn("cls", F.col("doc")) if classes is None else copies.join(classes.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("cls", F.coalesce("root", "doc")).drop("root")
+    mixed = named.groupBy("cell").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min("doc").alias("pivot"), F.count("*").alias("members")).where("low < high").drop("low", "high")
+    return named.join(mixed, "cell")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The class of each document under links of Jaccard similarity >= percent / 100 between sets of `words`-word shingles.
+def _likely(pairs: DataFrame, percent: int, depth: int) -> DataFrame:
+    """Pairs (a, b, na, nb, ra, rb) that meet often enough inside the windows that their two sizes leave."""
+    overlap = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"  # what two linked sets of these sizes share at least
+    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and ra < na - {overlap} + {depth} and rb < nb - {overlap} + {depth}"
+    met = pairs.where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+    return met.where(f"c >= least({depth}, {overlap})").select("a", "b")
 
-    Returns one row per input row: `id_col`, n_shingles (size of its set), component_id (the smallest
-    id that links reach). Texts without words, null texts and null ids link with nothing (a null id
-    gets a null component_id). Fewer than `words` words: the whole sequence is one shingle. Rows that
-    repeat an id are one document with several texts. Ties don't matter: classes are a function of the links.
-    An empty table gives an empty result; extra columns are not read.
+
+def _all_pairs(open_: DataFrame) -> DataFrame:
+    """Pairs of members of different classes in the same cell."""
+    x, y = open_.alias("x"), open_.alias("y")
+    both = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.cls") != F.col("y.cls")))
+    return both.select(*(F.col(f"{t}.{c}").alias(n + u) for c, n in (("doc", ""), ("n", "n"), ("rank", "r")) for t, u in (("x", "a"), ("y", "b"))))
+
+
+def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """source(doc, key, text) -> a row (doc, key, size, name of its set) for each of its rows, and (name, root) of the sets with links.
+
+    `key` is a hash of whatever tells the texts of rows apart.
     """
-    spark = docs.sparkSession
+    spark = source.sparkSession
     small_batches(spark)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     run, schema = _signatures(words)
     first = settle(source.mapInArrow(run, schema), "signatures")
-    rows = first.where("slot is null").select("doc", "size", "d1", "d2", "home")
+    rows = first.where("slot is null").select("doc", "key", "size", "name")
     order = spark.sparkContext.broadcast(_order(first.where("slot is not null").select("slot", "counts")))
-    full = rows.where("doc is not null and size > 0")
-    kept = settle(full.groupBy("d1", "d2").agg(F.min(F.struct("doc", "home", "size")).alias("m")).select("d1", "d2", "m.doc", "m.home", "m.size"), "distinct")
-    texts = source.where("doc is not null and text is not null")
-
-    # First level: regions of pivot tuples, in chunks.
-    shared = kept.groupBy("home").count().where("count > 1").withColumnRenamed("count", "members")
-    dealt = kept.join(shared, "home").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.ceil(F.col("members") / CHUNK)))
-    dealt = settle(dealt.select("doc", "home", "chunk"), "dealt")
-    near = dealt.join(_texts_of(dealt.select("doc"), texts), "doc").repartition(n_parts, "home", "chunk").sortWithinPartitions("home", "chunk", "doc")
-    links = settle(near.mapInArrow(_led(words, percent), "a long, b long"), "links")
-    # Chunks of a region meet through their smallest documents.
-    heads = dealt.groupBy("home", "chunk").agg(F.min("doc").alias("a"))
-    meet = heads.join(heads.groupBy("home").agg(F.min("a").alias("b")), "home").where("a <> b").select("a", "b")
-    if not (meet := settle(meet, "heads")).isEmpty():
-        links = settle(links.unionByName(_verified(meet, texts, words, percent)), "links")
-    release(spark)
-    classes = settle(components(links), "classes")
+    texts = source.where("text is not null").select("key", "text")
 
-    # Second level: window regions.
-    named = kept.select("doc").distinct().join(classes.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("cls"))
-    copies = named.join(texts, "doc").mapInArrow(_windows(words, percent, depth, order), "cell long, doc long, cls long, n int, rank int")
-    copies = settle(copies, "windows")
-    release(spark)
-    mixed = copies.groupBy("cell").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("cell")
-    open_ = settle(copies.join(mixed, "cell"), "open")
+    run, schema = _windows(words, percent, depth, order)
+    copies = settle(texts.mapInArrow(run, schema), "windows")
+    open_ = _open(copies, None).groupBy("cell", "doc", "n", "rank", "cls").agg(F.min("pivot").alias("pivot"))
+    open_ = settle(open_, "open")
     remove(copies)
     release(spark)
-    overlap = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"  # what two linked sets of these sizes share at least
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and ra < na - {overlap} + {depth} and rb < nb - {overlap} + {depth}"
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs that meet often enough inside the windows that their two sizes leave."""
-        met = pairs.where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        return met.where(f"c >= least({depth}, {overlap})").select("a", "b")
+    wanted = rows.join(open_.select(F.col("doc").alias("name")).distinct(), "name", "left_semi").groupBy("name").agg(F.min("key").alias("key"))
+    run, schema = _whole(words)
+    sets = settle(_texts_of(wanted, texts).select(F.col("name").alias("doc"), "text").mapInArrow(run, schema), "sets").dropDuplicates(["doc"])
+    sets = settle(sets, "sets")
+    release(spark)
 
-    merged = True
+    # Around pivots, as long as classes merge.
+    links, classes, merged = None, None, True
     while merged:
-        # One member of each class in each region against the region's smallest class.
-        member = open_.groupBy("cell", "cls").agg(F.min(F.struct("n", "doc", "rank")).alias("m"))
-        hub = member.groupBy("cell").agg(F.min(F.struct("cls", "m")).alias("h"))
-        star = member.join(hub, "cell").where("cls <> h.cls").select(F.col("m.doc").alias("b"), F.col("h.m.doc").alias("a"), F.col("m.n").alias("nb"), F.col("h.m.n").alias("na"), F.col("m.rank").alias("rb"), F.col("h.m.rank").alias("ra"))
-        tried = settle(likely(star), "star")
-        found = settle(_verified(tried, texts, words, percent), "found")
+        met = open_.where("doc <> pivot and cls <> pivot_cls" if "pivot_cls" in open_.columns else "doc <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+        tried = settle(met.agg(F.count("*").alias("c")).where(f"c >= {depth}").select("a", "b"), "star")
+        found = settle(_compare(tried, sets, percent).select("a", "b"), "found")
         release(spark)
         gained = found.count()
         merged = 0 < gained and gained * 20 >= tried.count()  # what few merges would not make up for another round
         if gained:
-            links = links.unionByName(found)
-            of = open_.select("doc", "cls").distinct()
-            step = found.join(of.select(F.col("doc").alias("a"), F.col("cls").alias("ca")), "a").join(of.select(F.col("doc").alias("b"), F.col("cls").alias("cb")), "b")
-            moved = settle(components(step.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "moved")
-            open_ = open_.join(moved.withColumnRenamed("node", "cls"), "cls", "left").select("cell", "doc", F.coalesce("root", "cls").alias("cls"), "n", "rank")
-            mixed = open_.groupBy("cell").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("cell")
-            open_ = settle(open_.join(mixed, "cell"), "open")
+            links = found if links is None else links.unionByName(found)
+            classes = settle(components(links), "classes")
+            open_ = _open(open_.drop("pivot", "pivot_cls", "cls", "members"), classes)
+            of = classes.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+            open_ = settle(open_.join(of, "pivot", "left").withColumn("pivot_cls", F.coalesce("pivot_root", "pivot")).drop("pivot_root"), "open")
             merged = merged and not open_.isEmpty()
-    x, y = open_.alias("x"), open_.alias("y")
-    left = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.cls") < F.col("y.cls"))).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.rank").alias("ra"), F.col("y.rank").alias("rb"))
-    last = settle(_verified(settle(likely(left), "pairs"), texts, words, percent), "found")
-    release(spark)
 
-    joined = rows.join(kept.select("d1", "d2", F.col("doc").alias("rep")), ["d1", "d2"], "left")
-    several = full.groupBy("doc").agg(F.min("d1").alias("x1"), F.max("d1").alias("y1"), F.min("d2").alias("x2"), F.max("d2").alias("y2")).where("x1 <> y1 or x2 <> y2").select("doc")
-    own = joined.where("rep is not null").join(several, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    final = components(links.unionByName(last).unionByName(own))
-    out = joined.join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("doc").isNull(), None).when(F.col("size") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc")).cast("long").alias("component_id"))
+    # Small cells pair by pair, large ones by regions and again.
+    level = 0
+    while not open_.isEmpty():
+        open_ = settle(_open(open_.select("cell", "doc", "n", "rank"), classes), "open")
+        last = level == LEVELS
+        small = _all_pairs(open_ if last else open_.where(f"members <= {SMALL}"))
+        small = _likely(small, percent, depth) if level == 0 and not last else small.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+        found = _compare(settle(small, "pairs"), sets, percent).select("a", "b")
+        big = open_.where(f"members > {SMALL}").where(F.lit(not last))
+        met = settle(big.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "members")
+        parts = settle(_compare(met, sets, percent, order), "regions")
+        found = settle(found.unionByName(parts.where("linked").select("a", "b")), "found")
+        release(spark)
+        links = found if links is None else links.unionByName(found)
+        if last:
+            break
+        near = parts.where("cells is not null").select(F.explode("cells").alias("cell"), F.col("b").alias("doc"), "n", F.lit(0).alias("rank"))
+        far = big.join(parts.where("far").select(F.col("a").alias("pivot"), F.col("b").alias("doc")), ["pivot", "doc"], "left_semi").select("cell", "doc", "n")
+        if level == 0:
+            twice = F.col("n") * percent > 100 * depth
+            other = open_.select(F.col("doc").alias("o_doc"), F.col("cell").alias("o_cell"))
+            both = far.where(twice).join(other, (F.col("doc") == F.col("o_doc")) & (F.col("cell") != F.col("o_cell")))
+            both = both.select(F.xxhash64(F.least("cell", "o_cell"), F.greatest("cell", "o_cell")).alias("cell"), "doc", "n").distinct()
+            far = both.unionByName(far.where(~twice))
+        if not found.isEmpty():
+            classes = settle(components(links), "classes")
+        open_ = settle(_open(near.unionByName(far.withColumn("rank", F.lit(0))), classes), "open")
+        level += 1
+    return rows, (None if links is None else components(links).select(F.col("node").alias("name"), "root"))
 
 
-def near_duplicates_removed(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep one document of each class: the one whose id is the class id; all columns stay.
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The class of each document under links of Jaccard similarity >= percent / 100 between sets of `words`-word shingles.
 
-    Of rows that repeat an id, one stays if their class keeps it. Documents without words and with a
-    null id have no class and all stay.
+    Returns one row per input row: `id_col`, n_shingles (size of its set), component_id (the smallest
+    id that links reach). Texts without words and null texts link with nothing. Fewer than `words` words: the whole sequence is one
+    shingle. Rows that repeat an id are one document with several texts. A row without an id links like any other, but gets a null component_id
+    and never gives one. Ties don't matter: classes are a function of the links. An empty table gives an empty result; extra columns are not read.
+    """
+    text = F.col(quoted(text_col)).cast("string")
+    rows, roots = _classes(docs.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.xxhash64(text).alias("key"), text.alias("text")), words, percent, depth)
+    full = rows.where("doc is not null and size > 0")
+    several = full.groupBy("doc").agg(F.min("name").alias("a"), F.max("name").alias("z")).where("a <> z").select("doc", "a")
+    own = full.join(several, "doc").where("name <> a").select("a", F.col("name").alias("b"))
+    if not own.isEmpty():
+        both = own if roots is None else own.unionByName(roots.select(F.col("root").alias("a"), F.col("name").alias("b")))
+        roots = components(both).select(F.col("node").alias("name"), "root")
+    named = rows.withColumn("root", F.col("name")) if roots is None else rows.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    least = named.where("doc is not null and size > 0").groupBy("root").agg(F.min("doc").alias("least"))
+    out = named.join(least, "root", "left")
+    return out.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("doc").isNull(), None).when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc")).cast("long").alias("component_id"))
+
+
+def near_duplicates_removed(docs: DataFrame, words: int = 5, percent: int = 80, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Keep one row of each class: the one with the smallest id (nulls last; of these the smallest hash of its columns); all columns stay.
+
+    Classes are of rows, by their texts: of rows that repeat an id each is judged for itself, rows with a null id as well, and of rows equal
+    in all columns one stays. Rows without words (null, empty, white space alone) are in no class and all stay. An empty table gives no
+    rows. Columns of any name and type but maps are carried along.
     """
-    of = jaccard_components(docs, words, percent, id_col=id_col, text_col=text_col)
-    gone = of.where(f"`{id_col}` is not null and n_shingles > 0 and component_id <> `{id_col}`").select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
-    word = F.trim(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t\n\x0b\x0c\r", "     ")) != ""
-    loose = left.where(~word | F.col(id_col).isNull())
-    whole = left.where(word & F.col(id_col).isNotNull())
-    names = docs.columns
-    firsts = whole.groupBy(id_col).agg(F.min_by(F.struct(*names), F.xxhash64(text_col)).alias("_row")).select("_row.*")
-    return firsts.select(*names).unionByName(loose.select(*names))
+    key, one, at = (fresh(docs, n) for n in ("key", "one", "at"))
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    keyed = docs.withColumn(key, F.xxhash64(*columns))
+    rows, roots = _classes(keyed.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.col(key).alias("key"), F.col(quoted(text_col)).cast("string").alias("text")), words, percent, depth)
+    rows = rows.where("size > 0")
+    named = rows.withColumn("root", F.col("name")) if roots is None else rows.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    named = settle(named.groupBy("root", "key").agg(F.min("doc").alias("doc"), F.count("*").alias("times")), "rows")
+    first = named.groupBy("root").agg(F.min("doc").alias("least"))
+    firsts = named.join(first, "root").where("doc <=> least").groupBy("root").agg(F.min("key").alias("kept"))
+    marked = named.join(firsts, "root").where("key <> kept or times > 1")
+    # Few rows beside the texts: those that go, and those of which one of several equal ones stays.
+    marked = settle(marked.select(F.col("key").alias(at), (F.col("key") == F.col("kept")).alias(one)).distinct(), "marked")
+    marks = F.broadcast(marked) if marked.count() <= WANTED else marked
+    met = keyed.join(marks, F.col(key) == F.col(at), "left")
+    alone = met.where(F.col(at).isNull()).select(*columns)
+    again = met.where(F.col(one)).dropDuplicates([key]).select(*columns)
+    return alone.unionByName(again)

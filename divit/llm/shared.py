@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests), a temporary folder, set once."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary folder in local mode (tests), and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a shared folder")
         found = f"file://{tempfile.mkdtemp(prefix='divit-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -23,6 +25,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def quoted(column: str) -> str:
+    """A column's name for F.col, whatever it holds."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has (names don't differ by case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write a phase's rows to the shared folder and read them back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
