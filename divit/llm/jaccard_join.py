@@ -40,7 +40,7 @@ from .graph import components
 from .shared import fresh, quoted, release, remove, settle, small_batches
 from .textbytes import mix, shingle_sets, steps
 
-CHUNK, SMALL, LEVELS, SEEN = 256, 64, 4, 100_000
+CHUNK, SMALL, LEVELS, SEEN = 256, 64, 3, 100_000
 #: Up to so many ids are broadcast to pick texts (1.6 MB); more are joined by a shuffle.
 WANTED = 200_000
 #: The order of pivots is a table of counts of all shingles of all documents, folded into 2**ORDER_BITS cells: its size never grows.
@@ -136,6 +136,17 @@ def _ranked(s: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return s[np.argsort(weight[(s & np.uint64(len(weight) - 1)).astype(np.int64)], kind="stable")]
 
 
+def _recentred(apart: np.ndarray, pivot: np.ndarray, usual: float, weight: np.ndarray) -> np.ndarray:
+    """A difference from a pivot by how many of its region are likely to share each element, fewest first, ties by hash.
+
+    An element outside the pivot is about as frequent there as anywhere; one of the pivot is missing in all that haven't got it, when
+    `usual` is the count of most elements of the pivot.
+    """
+    count = np.exp2(weight[(apart & np.uint64(len(weight) - 1)).astype(np.int64)] / 4.0) - 1
+    own = pivot[np.minimum(np.searchsorted(pivot, apart), len(pivot) - 1)] == apart
+    return apart[np.lexsort((apart, np.where(own, np.maximum(1.0, usual - count), count)))]
+
+
 def _windows(words: int, percent: int, depth: int, order):
     """Copies of each document's set for the cells in its window; a task sends equal sets once (again after `SEEN` others)."""
 
@@ -178,11 +189,13 @@ def _compared(percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = None if order is None else order.value
         for (a, _), rows in _groups(batches, ("a", "chunk")):
-            own, out = None, []
+            own, usual, out = None, 0.0, []
             for r in rows:
                 s = np.frombuffer(r["set"], np.uint64)
                 if r["b"] is None:
                     own = s
+                    if weight is not None:
+                        usual = np.median(np.exp2(weight[(own & np.uint64(len(weight) - 1)).astype(np.int64)] / 4.0))
                     continue
                 linked = _linked(own, s, percent)
                 if weight is None:
@@ -193,7 +206,7 @@ def _compared(percent: int, order):
                 apart = np.setxor1d(own, s, assume_unique=True)
                 cells = None
                 if len(apart) <= len(s) + 2 * radius:
-                    cells = _ranked(apart, weight)[: radius + 1]
+                    cells = _recentred(apart, own, usual, weight)[: radius + 1]
                     if len(apart) <= radius:
                         cells = np.append(cells, np.uint64(0))
                     cells = _signed(mix(cells ^ mix(np.array([a]).astype(np.uint64)))).tolist()
@@ -223,10 +236,24 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int, order=None) -> Dat
     return both.mapInArrow(run, schema)
 
 
-def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(name, text) of the rows in ids(key, name)."""
-    ids = settle(ids, "wanted")
-    return texts.join(F.broadcast(ids) if ids.count() <= WANTED else ids, "key").select("name", "text")
+class _Sets:
+    """The sets of the documents that meet in pairs, hashed from their texts when they first do."""
+
+    def __init__(self, rows: DataFrame, texts: DataFrame, words: int) -> None:
+        self.rows, self.texts, self.words, self.known = rows, texts, words, None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(doc, set) of all documents in pairs(a, b), and perhaps of others."""
+        ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+        if self.known is not None:
+            ids = ids.join(self.known.select("doc"), "doc", "left_anti")
+        wanted = settle(self.rows.join(ids.withColumnRenamed("doc", "name"), "name", "left_semi").groupBy("name").agg(F.min("key").alias("key")), "wanted")
+        if n := wanted.count():
+            run, schema = _whole(self.words)
+            texts = self.texts.join(F.broadcast(wanted) if n <= WANTED else wanted, "key").select(F.col("name").alias("doc"), "text").dropDuplicates(["doc"])
+            new = settle(texts.mapInArrow(run, schema), "sets")
+            self.known = new if self.known is None else self.known.unionByName(new)
+        return self.known if self.known is not None else ids.select("doc", F.lit(None).cast("binary").alias("set"))
 
 
 def _open(copies: DataFrame, classes: DataFrame | None) -> DataFrame:
@@ -270,18 +297,14 @@ def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[D
     open_ = settle(open_, "open")
     remove(copies)
     release(spark)
-    wanted = rows.join(open_.select(F.col("doc").alias("name")).distinct(), "name", "left_semi").groupBy("name").agg(F.min("key").alias("key"))
-    run, schema = _whole(words)
-    sets = settle(_texts_of(wanted, texts).select(F.col("name").alias("doc"), "text").mapInArrow(run, schema), "sets").dropDuplicates(["doc"])
-    sets = settle(sets, "sets")
-    release(spark)
+    sets = _Sets(rows, texts, words)
 
     # Around pivots, as long as classes merge.
     links, classes, merged = None, None, True
     while merged:
         met = open_.where("doc <> pivot and cls <> pivot_cls" if "pivot_cls" in open_.columns else "doc <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b"))
         tried = settle(met.agg(F.count("*").alias("c")).where(f"c >= {depth}").select("a", "b"), "star")
-        found = settle(_compare(tried, sets, percent).select("a", "b"), "found")
+        found = settle(_compare(tried, sets.of(tried), percent).select("a", "b"), "found")
         release(spark)
         gained = found.count()
         merged = 0 < gained and gained * 20 >= tried.count()  # what few merges would not make up for another round
@@ -300,10 +323,11 @@ def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[D
         last = level == LEVELS
         small = _all_pairs(open_ if last else open_.where(f"members <= {SMALL}"))
         small = _likely(small, percent, depth) if level == 0 and not last else small.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-        found = _compare(settle(small, "pairs"), sets, percent).select("a", "b")
+        small = settle(small, "pairs")
+        found = _compare(small, sets.of(small), percent).select("a", "b")
         big = open_.where(f"members > {SMALL}").where(F.lit(not last))
         met = settle(big.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "members")
-        parts = settle(_compare(met, sets, percent, order), "regions")
+        parts = settle(_compare(met, sets.of(met), percent, order), "regions")
         found = settle(found.unionByName(parts.where("linked").select("a", "b")), "found")
         release(spark)
         links = found if links is None else links.unionByName(found)
