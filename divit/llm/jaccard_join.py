@@ -14,8 +14,8 @@ a document belongs to the Voronoi region of the cell's pivot or of the empty set
 differ by at most 2 H: linked documents share a region (triangle inequality).
 
 *Recursion.* In the pivot's region x becomes x ^ p. Linked x, y share all but H/2 elements of the smaller of the two differences, so they
-meet in their H + 1 rarest elements, or in the cell of those that differ by less than that; these cells are joined as before,
-with pivots of their own. Cells of the same pivot are one region, however many there are. In the region of the empty set documents meet a second
+meet in their H + 1 rarest elements, or in the cell of those that differ by less than that. A region of at most `REGION` documents is joined in one
+piece from these small differences; larger ones are cut into those cells, which are joined as before, with pivots of their own. Cells of the same pivot are one region, however many there are. In the region of the empty set documents meet a second
 time, in the cell of two common shingles. After `LEVELS` levels what still shares a cell is compared pair by pair: that needs texts
 which differ by much the same elements at each level without linking.
 
@@ -38,9 +38,12 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import fresh, quoted, release, remove, settle, small_batches
+from .subspace_dedup import _forest
 from .textbytes import mix, shingle_sets, steps
 
 CHUNK, SMALL, LEVELS, SEEN = 256, 64, 3, 100_000
+#: Regions of up to so many documents, and bytes of their differences, are joined in one piece; larger ones are cut into cells.
+REGION, REGION_BYTES = 2048, 32 << 20
 #: Up to so many ids are broadcast to pick texts (1.6 MB); more are joined by a shuffle.
 WANTED = 200_000
 #: The order of pivots is a table of counts of all shingles of all documents, folded into 2**ORDER_BITS cells: its size never grows.
@@ -189,7 +192,7 @@ def _compared(percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = None if order is None else order.value
         for (a, _), rows in _groups(batches, ("a", "chunk")):
-            own, usual, out = None, 0.0, []
+            own, usual, out, held = None, 0.0, [], 0
             for r in rows:
                 s = np.frombuffer(r["set"], np.uint64)
                 if r["b"] is None:
@@ -200,28 +203,64 @@ def _compared(percent: int, order):
                 linked = _linked(own, s, percent)
                 if weight is None:
                     if linked:
-                        out.append((a, r["b"], True, len(s), False, None))
+                        out.append((a, r["b"], True, len(s), False, None, None))
                     continue
                 radius = (100 - percent) * (len(s) + 100 * len(s) // percent) // (100 + percent)
                 apart = np.setxor1d(own, s, assume_unique=True)
-                cells = None
+                cells = raw = None
                 if len(apart) <= len(s) + 2 * radius:
                     cells = _recentred(apart, own, usual, weight)[: radius + 1]
                     if len(apart) <= radius:
                         cells = np.append(cells, np.uint64(0))
+                    raw = apart.tobytes()
                     cells = _signed(mix(cells ^ mix(np.array([a]).astype(np.uint64)))).tolist()
-                out.append((a, r["b"], linked, len(s), len(apart) >= len(s) - 2 * radius, cells))
-                if len(out) >= 1024:
+                out.append((a, r["b"], linked, len(s), len(apart) >= len(s) - 2 * radius, cells, raw))
+                held += len(raw or b"")
+                if len(out) >= 1024 or held >= 1 << 24:
+                    held = 0
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), _COMPARED)], names=_COMPARED_NAMES)
                     out = []
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), _COMPARED)], names=_COMPARED_NAMES)
 
-    return run, "a long, b long, linked boolean, n int, far boolean, cells array<long>"
+    return run, "a long, b long, linked boolean, n int, far boolean, cells array<long>, apart binary"
 
 
-_COMPARED = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
-_COMPARED_NAMES = ["a", "b", "linked", "n", "far", "cells"]
+_COMPARED = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.binary())
+_COMPARED_NAMES = ["a", "b", "linked", "n", "far", "cells", "apart"]
+
+
+def _region(percent: int):
+    """Links within each region of a pivot: |x ^ y| of all its members at once, from their differences from the pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, ("a",)):
+            rows = list(rows)
+            ids, cls, n = (np.array([r[c] for r in rows], np.int64) for c in ("doc", "cls", "n"))
+            apart = [np.frombuffer(r["apart"], np.uint64) for r in rows]
+            del rows
+            size = np.array([len(d) for d in apart], np.float32)
+            _, place, times = np.unique(np.concatenate(apart), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(ids)), size.astype(np.int64))
+            del apart
+            met = times[place] > 1
+            row, place = row[met], (np.cumsum(times > 1) - 1)[place[met]]
+            order = np.argsort(place, kind="stable")
+            row, place = row[order], place[order]
+            both = np.zeros((len(ids), len(ids)), np.float32)
+            width = max(1, (1 << 22) // len(ids))
+            for at in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+                here = slice(*np.searchsorted(place, [at, at + width]))
+                x = np.zeros((len(ids), width), np.float32)
+                x[row[here], place[here] - at] = 1
+                both += x @ x.T
+            i, j = np.nonzero((100 + percent) * (size[:, None] + size - 2 * both) <= (100 - percent) * (n[:, None] + n))
+            new = (i < j) & (cls[i] != cls[j])
+            root = _forest(len(ids), i[new], j[new])
+            moved = np.flatnonzero(root != np.arange(len(ids)))
+            yield pa.record_batch([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["a", "b"])
+
+    return run
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, order=None) -> DataFrame:
@@ -256,29 +295,39 @@ class _Sets:
         return self.known if self.known is not None else ids.select("doc", F.lit(None).cast("binary").alias("set"))
 
 
-def _open(copies: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """copies(cell, doc, ...) -> those in cells with documents of two classes, with their class."""
-    named = copies.withColumn("cls", F.col("doc")) if classes is None else copies.join(classes.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("cls", F.coalesce("root", "doc")).drop("root")
-    mixed = named.groupBy("cell").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min("doc").alias("pivot"), F.count("*").alias("members")).where("low < high").drop("low", "high")
-    return named.join(mixed, "cell")
+def _named(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows(doc, ...) with their class."""
+    return rows.join(classes.select(F.col("node").alias("doc"), F.col("root").alias("cls")), "doc", "left").withColumn("cls", F.coalesce("cls", "doc"))
+
+
+def _mixed(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Those of rows(key, cls, ...) whose key has two classes."""
+    return rows.join(rows.groupBy(*key).agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select(*key), key, "left_semi")
 
 
 def _likely(pairs: DataFrame, percent: int, depth: int) -> DataFrame:
-    """Pairs (a, b, na, nb, ra, rb) that meet often enough inside the windows that their two sizes leave."""
+    """Pairs (a, b, na, nb, ra, rb) that meet often enough (`depth`) inside the windows that their two sizes leave."""
     overlap = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"  # what two linked sets of these sizes share at least
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and ra < na - {overlap} + {depth} and rb < nb - {overlap} + {depth}"
+    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    if depth > 1:
+        fits += f" and ra < na - {overlap} + {depth} and rb < nb - {overlap} + {depth}"
     met = pairs.where(fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
     return met.where(f"c >= least({depth}, {overlap})").select("a", "b")
 
 
-def _all_pairs(open_: DataFrame) -> DataFrame:
-    """Pairs of members of different classes in the same cell."""
-    x, y = open_.alias("x"), open_.alias("y")
-    both = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.cls") != F.col("y.cls")))
+def _pairs_in(named: DataFrame, last: bool) -> DataFrame:
+    """Pairs of members of different classes in the same cell. Cells are small ones, but for the last level."""
+    if last:
+        x, y = named.alias("x"), named.alias("y")
+        both = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.cls") != F.col("y.cls")))
+        return both.select(*(F.col(f"{t}.{c}").alias(n + u) for c, n in (("doc", ""), ("n", "n"), ("rank", "r")) for t, u in (("x", "a"), ("y", "b"))))
+    cells = named.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("doc", "cls", "n", "rank"))).alias("m"))
+    first = cells.select(F.posexplode("m").alias("at", "x"), "m").where("at + 1 < size(m)")
+    both = first.select("x", F.explode(F.expr("filter(slice(m, at + 2, size(m)), y -> y.cls <> x.cls)")).alias("y"))
     return both.select(*(F.col(f"{t}.{c}").alias(n + u) for c, n in (("doc", ""), ("n", "n"), ("rank", "r")) for t, u in (("x", "a"), ("y", "b"))))
 
 
-def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
+def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """source(doc, key, text) -> a row (doc, key, size, name of its set) for each of its rows, and (name, root) of the sets with links.
 
     `key` is a hash of whatever tells the texts of rows apart.
@@ -293,59 +342,61 @@ def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[D
 
     run, schema = _windows(words, percent, depth, order)
     copies = settle(texts.mapInArrow(run, schema), "windows")
-    open_ = _open(copies, None).groupBy("cell", "doc", "n", "rank", "cls").agg(F.min("pivot").alias("pivot"))
-    open_ = settle(open_, "open")
+    met = copies.groupBy("cell").agg(F.min("doc").alias("pivot"), F.max("doc").alias("high"), F.count("*").alias("members")).where("pivot < high").drop("high")
+    open_ = settle(copies.join(met, "cell").groupBy("cell", "doc", "n", "rank").agg(F.min("pivot").alias("pivot"), F.min("members").alias("members")), "open")
     remove(copies)
     release(spark)
     sets = _Sets(rows, texts, words)
 
-    # Around pivots, as long as classes merge.
-    links, classes, merged = None, None, True
-    while merged:
-        met = open_.where("doc <> pivot and cls <> pivot_cls" if "pivot_cls" in open_.columns else "doc <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-        tried = settle(met.agg(F.count("*").alias("c")).where(f"c >= {depth}").select("a", "b"), "star")
-        found = settle(_compare(tried, sets.of(tried), percent).select("a", "b"), "found")
-        release(spark)
-        gained = found.count()
-        merged = 0 < gained and gained * 20 >= tried.count()  # what few merges would not make up for another round
-        if gained:
-            links = found if links is None else links.unionByName(found)
-            classes = settle(components(links), "classes")
-            open_ = _open(open_.drop("pivot", "pivot_cls", "cls", "members"), classes)
-            of = classes.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-            open_ = settle(open_.join(of, "pivot", "left").withColumn("pivot_cls", F.coalesce("pivot_root", "pivot")).drop("pivot_root"), "open")
-            merged = merged and not open_.isEmpty()
+    # Around pivots first: links contract documents into classes.
+    met = open_.where("doc <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("c"))
+    met = settle(met.where(f"c >= {depth}").select("a", "b"), "star")
+    links = settle(_compare(met, sets.of(met), percent).select("a", "b"), "found")
+    classes = settle(components(links), "classes")
 
-    # Small cells pair by pair, large ones by regions and again.
+    # Then small cells pair by pair, and large ones by regions and again.
     level = 0
     while not open_.isEmpty():
-        open_ = settle(_open(open_.select("cell", "doc", "n", "rank"), classes), "open")
         last = level == LEVELS
-        small = _all_pairs(open_ if last else open_.where(f"members <= {SMALL}"))
-        small = _likely(small, percent, depth) if level == 0 and not last else small.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+        named = _named(open_, classes)
+        small = _pairs_in(named if last else named.where(f"members <= {SMALL}"), last)
+        small = _likely(small, percent, depth if level == 0 else 1)
         small = settle(small, "pairs")
         found = _compare(small, sets.of(small), percent).select("a", "b")
-        big = open_.where(f"members > {SMALL}").where(F.lit(not last))
+        big = settle(_mixed(named.where(f"members > {SMALL}"), ["cell"]).where(F.lit(not last)), "big")
         met = settle(big.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "members")
         parts = settle(_compare(met, sets.of(met), percent, order), "regions")
         found = settle(found.unionByName(parts.where("linked").select("a", "b")), "found")
         release(spark)
-        links = found if links is None else links.unionByName(found)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            classes = settle(components(links), "classes")
         if last:
             break
-        near = parts.where("cells is not null").select(F.explode("cells").alias("cell"), F.col("b").alias("doc"), "n", F.lit(0).alias("rank"))
-        far = big.join(parts.where("far").select(F.col("a").alias("pivot"), F.col("b").alias("doc")), ["pivot", "doc"], "left_semi").select("cell", "doc", "n")
+        # Only regions and cells that still hold two classes go on.
+        near = _mixed(_named(parts.where("cells is not null").withColumnRenamed("b", "doc"), classes), ["a"])
+        held = near.groupBy("a").agg(((F.count("*") <= REGION) & (F.sum(F.length("apart")) <= REGION_BYTES)).alias("fits"))
+        near = settle(near.join(held, "a"), "near")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        inside = near.where("fits").select("a", "doc", "cls", "n", "apart").repartition(n, "a").sortWithinPartitions("a", "doc").mapInArrow(_region(percent), "a long, b long")
+        if not (inside := settle(inside, "inside")).isEmpty():
+            links = links.unionByName(inside)
+            classes = settle(components(links), "classes")
+        near = near.where("not fits").select(F.explode("cells").alias("cell"), "doc", "n", F.lit(0).alias("rank"))
+        far = _mixed(_named(parts.where("far").withColumnRenamed("b", "doc"), classes), ["a"]).select(F.col("a").alias("pivot"), "doc")
+        far = big.join(far, ["pivot", "doc"], "left_semi").select("cell", "doc", "n")
         if level == 0:
             twice = F.col("n") * percent > 100 * depth
             other = open_.select(F.col("doc").alias("o_doc"), F.col("cell").alias("o_cell"))
             both = far.where(twice).join(other, (F.col("doc") == F.col("o_doc")) & (F.col("cell") != F.col("o_cell")))
             both = both.select(F.xxhash64(F.least("cell", "o_cell"), F.greatest("cell", "o_cell")).alias("cell"), "doc", "n").distinct()
             far = both.unionByName(far.where(~twice))
-        if not found.isEmpty():
-            classes = settle(components(links), "classes")
-        open_ = settle(_open(near.unionByName(far.withColumn("rank", F.lit(0))), classes), "open")
+        named = settle(_named(near.unionByName(far.withColumn("rank", F.lit(0))), classes), "copies")
+        met = named.groupBy("cell").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min("doc").alias("pivot"), F.count("*").alias("members")).where("low < high")
+        open_ = settle(named.drop("cls").join(met.drop("low", "high"), "cell"), "open")
         level += 1
-    return rows, (None if links is None else components(links).select(F.col("node").alias("name"), "root"))
+
+    return rows, classes.select(F.col("node").alias("name"), "root")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,9 +413,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, depth
     several = full.groupBy("doc").agg(F.min("name").alias("a"), F.max("name").alias("z")).where("a <> z").select("doc", "a")
     own = full.join(several, "doc").where("name <> a").select("a", F.col("name").alias("b"))
     if not own.isEmpty():
-        both = own if roots is None else own.unionByName(roots.select(F.col("root").alias("a"), F.col("name").alias("b")))
+        both = own.unionByName(roots.select(F.col("root").alias("a"), F.col("name").alias("b")))
         roots = components(both).select(F.col("node").alias("name"), "root")
-    named = rows.withColumn("root", F.col("name")) if roots is None else rows.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    named = rows.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     least = named.where("doc is not null and size > 0").groupBy("root").agg(F.min("doc").alias("least"))
     out = named.join(least, "root", "left")
     return out.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("doc").isNull(), None).when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc")).cast("long").alias("component_id"))
@@ -382,7 +433,7 @@ def near_duplicates_removed(docs: DataFrame, words: int = 5, percent: int = 80,
     keyed = docs.withColumn(key, F.xxhash64(*columns))
     rows, roots = _classes(keyed.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.col(key).alias("key"), F.col(quoted(text_col)).cast("string").alias("text")), words, percent, depth)
     rows = rows.where("size > 0")
-    named = rows.withColumn("root", F.col("name")) if roots is None else rows.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    named = rows.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     named = settle(named.groupBy("root", "key").agg(F.min("doc").alias("doc"), F.count("*").alias("times")), "rows")
     first = named.groupBy("root").agg(F.min("doc").alias("least"))
     firsts = named.join(first, "root").where("doc <=> least").groupBy("root").agg(F.min("key").alias("kept"))
