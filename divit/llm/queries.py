@@ -33,8 +33,8 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document."""
-    scores = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), TAUGHT)
-    return scores.select("doc_id", (~F.expr(TAUGHT)).alias("held_out"), "score", "predicted")
+    scores = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), TAUGHT, evidence=True)
+    return scores.select("doc_id", (~F.expr(TAUGHT)).alias("held_out"), "score", "predicted", F.slice("evidence", 1, 3).alias("evidence"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

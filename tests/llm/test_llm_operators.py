@@ -62,32 +62,56 @@ def test_toxicity_separates_held_out_rows(spark, sf):
     assert auc > 0.8
 
 
-def test_toxicity_keeps_all_leaning_terms(spark):
-    import pyarrow as pa
+def test_toxicity_learns_every_word(spark):
+    from divit.llm.toxicity import score_toxicity
 
-    from divit.llm.toxicity import _terms, score_toxicity
-
-    assert len(_terms(pa.array(["abc " * 9]))[1]) == 9
     many = [f"{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}" for i in range(300)]
     bad = [(i * 10 + j, f"{w} filler{i * 10 + j}", 1) for i, w in enumerate(many) for j in range(10)]
     good = [(10_000 + i, f"plain clean{i}", 0) for i in range(9000)]
     docs = spark.createDataFrame([r[:2] for r in bad + good], "doc_id long, text string")
     labels = spark.createDataFrame([(d, y) for d, _, y in bad + good], "doc_id long, toxic int")
     asked = docs.unionByName(spark.createDataFrame([(50_000 + i, f"{w} unseen") for i, w in enumerate(many)], "doc_id long, text string"))
-    found = {r.doc_id: r.predicted for r in score_toxicity(asked, labels).where("doc_id >= 50000").collect()}
+    found = {r.doc_id: r.predicted for r in score_toxicity(asked, labels, examples=20_000).where("doc_id >= 50000").collect()}
     assert len(found) == 300 and all(found.values())
 
 
+def test_toxicity_neighbours_are_exact():
+    from divit.llm.toxicity import BlockMaxIndex
+
+    r = np.random.Generator(np.random.PCG64(3))
+    scale = r.uniform(1, 9, 400)
+    vectors = [(np.sort(r.choice(400, n, replace=False)), r.integers(1, 5, n).astype(float)) for n in r.integers(1, 60, 500)]
+    vectors[7] = vectors[11] = vectors[300]
+    index = BlockMaxIndex(vectors, scale, 2.0)
+    full = np.zeros((500, 400))
+    for i, (w, t) in enumerate(vectors):
+        full[i, w] = (1 + np.log(t)) * scale[w]
+    unit_ = full / np.linalg.norm(full, axis=1)[:, None]
+    for q in (0, 7, 11, 123, 499):
+        for without in (-1, q):
+            unknown = np.array([1.0, 3.0])
+            cos = unit_ @ full[q] / np.sqrt((full[q] ** 2).sum() + (((1 + np.log(unknown)) * 2.0) ** 2).sum())
+            want = sorted((-round(float(c), 9), i) for i, c in enumerate(cos) if c > 0 and i != without)[:25]
+            assert [(round(s, 7), i) for s, i in index.nearest(*vectors[q], 25, unknown, without)] == [(round(-s, 7), i) for s, i in want]
+
+
+def test_toxicity_scores_texts_alone(spark):
+    from divit.llm.toxicity import score_toxicity
+
+    rows = [(i, f"awful {'nasty' if i % 3 else 'vile'} thing number {i}" if i % 4 == 0 else f"nice calm thing number {i}", i % 4 == 0) for i in range(200)]
+    docs = spark.createDataFrame([(d + k * 1000, t) for d, t, _ in rows for k in (0, 1)] + [(None, rows[0][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(y)) for d, _, y in rows], "doc_id long, toxic int")
+    by_text = {}
+    for r in docs.join(score_toxicity(docs, labels), "doc_id").collect():
+        by_text.setdefault(r.text, set()).add((r.score, r.predicted))
+    assert all(len(v) == 1 for v in by_text.values())
+    assert all(next(iter(by_text[t]))[1] == int(y) for _, t, y in rows)
+
+
 def test_packing_round_trip(spark, sf):
     from tokenizers import Tokenizer
-    import sys
+    import public_tokenizers as mod
 
-    sys.path.insert(0, "/opt/tokenizers/..")
-    from importlib.util import module_from_spec, spec_from_file_location
-
-    spec = spec_from_file_location("public_tokenizers", "/opt/tokenizers/__init__.py")
-    mod = module_from_spec(spec)
-    spec.loader.exec_module(mod)
     tok = Tokenizer.from_file(str(mod.path("byte_bpe_50k.json")))
     want = {d[0]: tok.encode(d[1] or "", add_special_tokens=False).ids + [0] for d in table(sf, "documents")}
     rows = Q.op3_packing(spark, sf).collect()
@@ -253,3 +277,67 @@ def test_odd_and_empty_tables(spark, tmp_path, name, rows):
         assert not found
     elif name.startswith(per_row):
         assert len(found) == {"op4": 5, "op7": 3, "op9": 3}.get(name[:3], len(ROWS))
+
+
+def test_packing_ids_are_those_of_tokenizers():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from divit.llm.packing import _encoder
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode, r = _encoder(None), random.Random(8)
+    signs = "ab cdE.,'’\n\t\r\u00a0\u0085\u2003 0123é漢😀ſ{}<|>ا\u0301"
+    for text in ["", "a<|endoftext|>b", "<|endoftext|>", "  x  ", "it's 12 O’clock\n\n", "\u00a0 \u00a0x"] + ["".join(r.choices(signs, k=r.randrange(40))) for _ in range(3000)]:
+        assert encode(text) == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_propagation_is_personalised_pagerank(spark):
+    from divit.llm.url_filter import propagate
+
+    links = [("trust", "a", "b"), ("trust", "b", "c"), ("trust", "c", "a"), ("trust", "b", "d"), ("distrust", "x", "a"), ("distrust", "a", "x")]
+    seeds = [("trust", "a", 3.0), ("distrust", "x", 2.0)]
+    got = {(r.kind, r.host): r.mass for r in propagate(spark.createDataFrame(links, "kind string, src string, dst string"), spark.createDataFrame(seeds, "kind string, host string, seed double"), left=1e-6).collect()}
+    mass = {(k, h): 0.15 * s for k, h, s in seeds}
+    for _ in range(200):
+        new = {(k, h): 0.15 * s for k, h, s in seeds}
+        for k, a, b in links:
+            n = sum(1 for e in links if e[:2] == (k, a))
+            new[k, b] = new.get((k, b), 0.0) + 0.85 * mass.get((k, a), 0.0) / n
+        mass = new
+    assert got.keys() == mass.keys() and all(abs(got[k] - mass[k]) < 1e-4 for k in mass)
+
+
+def test_distrust_runs_along_links_of_other_hosts_and_all_ancestors(spark):
+    from divit.llm.url_filter import filter_urls
+
+    pages = [(1, "http://bad.net/es/1", ""), (2, "http://bad.net/es/2", ""), (3, "http://friend.org/x", '<a href="//bad.net/es/1">x</a>'), (4, "http://calm.org/x", '<a href="http://fine.com/">x</a>')]
+    pages += [(5, "http://good.com/a", ""), (6, "http://a.b.c.d.spam.info/x", '<a href=https://bad.net/y>'), (7, "nothing", None), (8, None, None)]
+    pages += [(i, "http://bad.net/es/", "") for i in range(20, 26)]  # enough to outweigh what a page without a rule starts with
+    rows = {r.page_id: r for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), Q.RULES).collect()}
+    assert [rows[i].verdict for i in (1, 2, 3, 4, 5, 7, 8)] == ["block", "block", "block", "allow", "allow", "allow", "allow"]
+    assert rows[3].distrust > 0 and rows[6].distrust > 0 and rows[7].host == "" and rows[8].path == ""
+
+
+def test_planted_keys_are_found(spark):
+    import random
+
+    from divit.llm.secret_scan import redact, scan_secrets
+
+    r = random.Random(4)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(r.choices(signs, k=40)) for _ in range(60)]
+    natural = ["/" + "/".join(r.choice(["usr", "local", "share", "Docs", "v2", "lib64"]) for _ in range(8)) for _ in range(200)]
+    docs = [(i, f"see {k} for more") for i, k in enumerate(keys)] + [(1000 + i, f"path {t} here") for i, t in enumerate(natural)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {x.doc_id: len(x.spans) for x in scan_secrets(df).collect()}
+    hit = sum(found[i] > 0 for i in range(60))
+    miss = sum(found[1000 + i] > 0 for i in range(200))
+    print("planted keys found", hit, "of 60; natural strings taken", miss, "of 200")
+    assert hit >= 48 and miss <= 20
+    lone = [(i, f"see {k} for more") for i, k in enumerate(keys[:5])]
+    assert sum(len(x.spans) for x in scan_secrets(spark.createDataFrame(lone, "doc_id long, text string")).collect()) >= 4
+    left = {x.doc_id: x.text for x in redact(df).collect()}
+    assert all((keys[i] in left[i]) == (found[i] == 0) for i in range(60))
