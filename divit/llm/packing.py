@@ -21,16 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import quoted, small_batches
 
 BATCH_TOKENS, CUT = 2_000_000, 4
 #: Texts of these characters alone go through the faster of two libraries that hold the same vocabulary.
-_COMMON = re.compile(r"[^\x00-ԯ]")
+_COMMON = r"[^\x00-ԯ]"
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str | None):
-    """text -> ids. Strings of special tokens are ordinary text."""
+    """text -> ids, those of Tokenizer.encode(text, add_special_tokens=False): a text that holds the string of a special token gets its id."""
     import base64
     import os
 
@@ -39,7 +39,8 @@ def _encoder(path: str | None):
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    special = [t.content for t in slow.get_added_tokens_decoder().values()]
+    odd = re.compile("|".join([_COMMON, *map(re.escape, special)]))
     ranks = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks):
         return lambda text: slow.encode(text, add_special_tokens=False).ids
@@ -48,7 +49,7 @@ def _encoder(path: str | None):
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return lambda text: slow.encode(text, add_special_tokens=False).ids if _COMMON.search(text) else fast.encode_ordinary(text)
+    return lambda text: slow.encode(text, add_special_tokens=False).ids if odd.search(text) else fast.encode_ordinary(text)
 
 
 class Rooms:
@@ -203,7 +204,7 @@ def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, tokeniz
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.col(quoted(text_col)).cast("string").alias("text"))
     schema = ", ".join(f"`{n}` long" for n in _NAMES[:-1]) + ", ids array<int>"
     out = rows.mapInArrow(_pack(window, end_id, tokenizer_path, with_ids), schema)
     return out if with_ids else out.drop("ids")
