@@ -2,10 +2,10 @@
 
 A url that no rule fits is judged by its host. Trust starts at hosts with pages that a rule allows and runs along
 links (personalised PageRank); distrust starts at hosts with blocked pages and runs against them. Edges are the distinct pairs
-of hosts that pages link with absolute addresses, and, both ways, a host and its parent domain: pages that only link
+of hosts that pages link with absolute or protocol-relative addresses, and, both ways, a host and its parent domain: pages that only link
 within their own host still get what their site's other hosts have. Both start with the number of pages behind them, so their masses compare;
 a host is blocked where its distrust exceeds `ratio` times the sum of its trust and of what its pages without a rule would start with. Mass at hosts
-without edges stays out of circulation.
+without edges goes no further. Rounds end when the mass under way is at most `LEFT` of what started.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .shared import settle
 
-DAMPING, ROUNDS, RATIO = 0.85, 12, 1.0
+#: Propagation ends when the mass still under way is at most LEFT of all that started; STRIDE rounds run between two looks.
+DAMPING, LEFT, STRIDE, RATIO = 0.85, 1e-3, 4, 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,16 +40,31 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank of several kinds at once: edges(kind, src, dst), seeds(kind, host, seed) -> (kind, host, mass)."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, left: float = LEFT) -> DataFrame:
+    """Personalised PageRank of several kinds at once: edges(kind, src, dst), seeds(kind, host, seed) -> (kind, host, mass).
+
+    What arrives at a host in each round stays there by 1 - damping and goes on by damping, until at most `left` of all seeds is under way.
+    Hosts without edges of a kind keep what arrives, and pass nothing on. No seeds: no rows.
+    """
     degree = edges.groupBy("kind", "src").agg(F.count("*").alias("degree"))
     flow = settle(edges.join(degree, ["kind", "src"]).select("kind", "src", "dst", (F.lit(damping) / F.col("degree")).alias("rate")), "flow")
-    start = settle(seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("mass")), "seeds")
-    mass = start
-    for _ in range(rounds):
-        sent = mass.withColumnRenamed("host", "src").join(flow, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("rate")).alias("mass"))
-        mass = settle(sent.unionByName(start).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "mass")
-    return mass
+    moving = settle(seeds.select("kind", "host", F.col("seed").cast("double").alias("mass")), "seeds")
+    start = total = moving.agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0]
+    arrived = moving
+    while total > left * start:
+        rounds = []
+        for _ in range(STRIDE):
+            sent = moving.withColumnRenamed("host", "src").join(flow, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("rate")).alias("mass"))
+            moving = sent.groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+            rounds.append(moving)
+        both = rounds[0].withColumn("turn", F.lit(1))
+        for k, r in enumerate(rounds[1:], 2):
+            both = both.unionByName(r.withColumn("turn", F.lit(k)))
+        both = settle(both, "mass")
+        moving = both.where(f"turn = {STRIDE}").drop("turn")
+        arrived = settle(arrived.unionByName(both.drop("turn")).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "arrived")
+        total = moving.agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0]
+    return arrived.groupBy("kind", "host").agg(((1 - damping) * F.sum("mass")).alias("mass"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], ratio: float = RATIO, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -62,12 +78,12 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], ratio: float
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     parsed = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("ruled", verdict)
     parsed = settle(parsed, "urls")
-    targets = F.array_distinct(F.regexp_extract_all(F.col(html_col), F.lit(r"""(?i)href\s*=\s*["']?https?://([^/?#"'\s<>]+)"""), F.lit(1)))
+    targets = F.array_distinct(F.regexp_extract_all(F.col(html_col), F.lit(r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""), F.lit(1)))
     linked = pages.select(host.alias("src"), F.explode(targets).alias("dst")).select("src", F.translate("dst", _UPPER, _LOWER).alias("dst"))
-    parent = F.substring(F.col("host"), F.instr("host", ".") + 1, F.length("host"))
-    hosts = parsed.where("host <> ''").select("host").distinct()
-    up = hosts.where(F.size(F.split("host", r"\.")) >= 3).select("host", parent.alias("parent"))
-    up = up.unionByName(up.where(F.size(F.split("parent", r"\.")) >= 3).select(F.col("parent").alias("host"), F.substring(F.col("parent"), F.instr("parent", ".") + 1, F.length("parent")).alias("parent")))
+    hosts = parsed.where("host <> ''").select(F.split("host", r"\.").alias("p")).where("size(p) >= 3").distinct()
+    # Each host with its parent, and so on up to two labels.
+    chain = "transform(sequence(1, size(p) - 2), i -> struct(array_join(slice(p, i, size(p)), '.') as host, array_join(slice(p, i + 1, size(p)), '.') as parent))"
+    up = hosts.select(F.explode(F.expr(chain)).alias("e")).select("e.host", "e.parent").distinct()
     both = up.select(F.col("host").alias("src"), F.col("parent").alias("dst")).unionByName(up.select(F.col("parent").alias("src"), F.col("host").alias("dst")))
     forward = linked.unionByName(both).where("src <> '' and dst <> '' and src <> dst").distinct()
     edges = forward.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(forward.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
