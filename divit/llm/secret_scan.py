@@ -6,8 +6,8 @@ case are words of some language rather than an encoding and no candidates. Each
 uniformity over the alphabet (folded until five are expected in a cell), a runs test about the middle, and lag-one
 serial correlation; the three p-values combine by Fisher's method. Random strings have uniform p-values, other strings
 p-values near 0. So over the distinct strings of all documents, per encoding and length class, twice the number above 1/2 estimates the
-random strings, and the least threshold at which the others' share among the accepted is at most `rate` is taken. Classes of fewer than
-`FEW` distinct strings are pooled with the other lengths of their encoding, then with all encodings.
+random strings, and the least threshold at which the others' share among the accepted is at most `rate` is taken. Shares of small classes are
+shrunk towards those of all classes together, so that a lone secret is judged by these.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle, small_batches
+from .shared import quoted, settle, small_batches
 from .textbytes import steps
 
 #: Fixed patterns, with the shortest length that counts.
@@ -32,8 +32,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _WORDS = ("passw", "secret", "token", "api_key", "apikey")
 
-SHORTEST, BINS, FEW = 20, 20, 20
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Runs shorter than SHORTEST give the chi-squared test fewer than four cells of five expected digits. A class' shares are shrunk towards those of
+#: all classes, which count as FEW more strings.
+SHORTEST, BINS, FEW, LONE = 20, 20, 20, 0.01
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
 _DIGITS = "0123456789"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
@@ -105,9 +107,12 @@ def _name(token: str) -> int:
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float, int]]:
     """(start, end, encoding, p, hash of the string) of runs that overlap none of the spans in `taken`."""
-    out = []
+    out, at, reach = [], 0, -1  # reach: the furthest end of the spans that begin before a run ends
     for m in _RUN.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b, _ in taken):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach > m.start():
             continue
         encoding = encoding_of(m[0])
         if encoding:
@@ -139,16 +144,15 @@ def thresholds(scanned: DataFrame, rate: float) -> dict[tuple[str, int], float]:
     for r in distinct.groupBy("k", "l", "b").count().collect():
         bins.setdefault((r.k, r.l), [0] * BINS)[r.b] = r["count"]
     out = {}
+    whole = [sum(c) for c in zip(*bins.values())]
     for key, own in bins.items():
-        pools = (own, *([sum(c) for c in zip(*(n for other, n in bins.items() if fits(other)))] for fits in (lambda o: o[0] == key[0], lambda o: True)))
-        n = next((n for n in pools if sum(n) >= FEW), None)
-        if n is None:  # too few strings in all tables to estimate shares: accept what the tests don't reject at `rate`
-            out[key] = rate
+        if sum(whole) < FEW:  # too few strings in all tables to estimate shares: accept what the tests don't reject at the level LONE
+            out[key] = LONE
             continue
+        n = [c + FEW * w / sum(whole) for c, w in zip(own, whole)]
         random = 2 * sum(n[BINS // 2 :])
         ok = [i for i in range(BINS // 2 + 1) if (kept := sum(n[i:])) and 1 - min(kept, random * (1 - i / BINS)) / kept <= rate]
-        if ok:
-            out[key] = min(ok) / BINS
+        out[key] = min(ok) / BINS if ok else 0.5
     return out
 
 
@@ -160,7 +164,7 @@ def scan_secrets(docs: DataFrame, rate: float = 0.1, id_col: str = "doc_id", tex
     An empty table gives no rows; extra columns are not read.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.col(quoted(text_col)).cast("string").alias("text"))
     span = "array<struct<start:int,end:int,kind:string,p:double,name:bigint>>"
     scanned = settle(rows.mapInArrow(_scan, f"doc long, base {span}, more {span}"), "scanned")
     least = thresholds(scanned, rate)
@@ -176,10 +180,12 @@ def scan_secrets(docs: DataFrame, rate: float = 0.1, id_col: str = "doc_id", tex
 def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The documents with each span of secrets (joined where they overlap) replaced by `mark`; all rows and columns stay.
 
-    Decisions use the thresholds over all documents. `chars_col`, where there is one, gets the new length.
+    Decisions use the thresholds over all documents and a text alone, so rows that repeat an id or a text are each redacted. Null and
+    empty texts stay as they are, null ids too, and columns of any name are carried along. `chars_col`, where there is one, gets the new
+    length of texts that change. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("doc", F.lit(None).cast("long"))
+    rows = docs.select(F.col(quoted(text_col)).cast("string").alias("text")).withColumn("doc", F.lit(None).cast("long"))
     span = "array<struct<start:int,end:int,kind:string,p:double,name:bigint>>"
     least = thresholds(settle(rows.mapInArrow(_scan, f"doc long, base {span}, more {span}"), "scanned"), rate)
     at = docs.columns.index(text_col)
