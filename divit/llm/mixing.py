@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle, small_batches
+from .shared import fresh, quoted, settle, small_batches
 from .textbytes import steps, word_counts
 
 BUCKET, FAN = 4096, 16
@@ -103,7 +103,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     spark = docs.sparkSession
     small_batches(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(source_col).cast("string").alias("src"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.col(quoted(source_col)).cast("string").alias("src"), F.col(quoted(text_col)).cast("string").alias("text"))
     sizes = settle(rows.mapInArrow(_sizes, "doc long, src string, size long"), "sizes")
     targets = settle(source_targets(sizes, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
@@ -138,11 +138,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents as the mix takes them: a row for each copy, with all columns; rows with no copy go.
 
-    Rows that repeat id, source and size all get the number of copies that each of them has.
+    Rows that repeat id, source and size all get the number of copies that each of them has. A null source is a source of its own; null ids are ids
+    like any other; null and empty texts have size 0 and come as often as their draw says. Columns of any name are carried along. An empty table gives no rows.
     """
+    size, copy, p_doc, p_src, p_size, p_copies = (fresh(docs, n) for n in ("size_of", "copy", "p_doc", "p_src", "p_size", "p_copies"))
     plan = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    plan = plan.select(F.col(id_col).alias("_doc"), F.col(source_col).alias("_src"), F.col("size").alias("_size"), F.col("copies").alias("_copies")).distinct().where("_copies > 0")
-    words = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    sized = docs.withColumn("_size_of", words.cast("long"))
-    on = sized[id_col].eqNullSafe(F.col("_doc")) & sized[source_col].eqNullSafe(F.col("_src")) & (F.col("_size_of") == F.col("_size"))
-    return sized.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    plan = plan.select(F.col(quoted(id_col)).alias(p_doc), F.col(quoted(source_col)).alias(p_src), F.col("size").alias(p_size), F.col("copies").alias(p_copies)).distinct().where(F.col(p_copies) > 0)
+    words = F.size(F.filter(F.split(F.coalesce(F.col(quoted(text_col)), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    sized = docs.withColumn(size, words.cast("long"))
+    on = F.col(quoted(id_col)).eqNullSafe(F.col(p_doc)) & F.col(quoted(source_col)).eqNullSafe(F.col(p_src)) & (F.col(size) == F.col(p_size))
+    return sized.join(plan, on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(p_copies).cast("int")))).select(*(F.col(quoted(c)) for c in docs.columns))
