@@ -12,34 +12,42 @@ from divit.llm.jaccard_join import near_duplicates_removed
 from divit.llm.mixing import mixed
 from divit.llm.packing import pack_documents
 from divit.llm.secret_scan import redact
-from divit.llm.shared import settle
+from divit.llm.shared import fresh, settle
 from divit.llm.toxicity import score_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out the documents that are likelier toxic than not; all labels may teach. Rows that repeat an id go together if any of them is toxic."""
-    scores = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = scores.where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """Leave out the documents that are likelier toxic than not; all labels may teach.
+
+    Rows are judged by their texts alone: rows with equal texts stay or go together, whatever their ids (null ones too). Null and empty texts stay
+    unless most labelled rows are toxic. Columns of any name are carried along; an empty table gives no rows.
+    """
+    scores = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), key=True)
+    gone, text = fresh(docs, "gone"), F.xxhash64(F.col("text").cast("string"))
+    out = settle(scores.where("predicted = 1").select(F.col("key").alias(gone)).distinct(), "toxic")
+    return docs.join(out, text == F.col(gone), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class under Jaccard >= 0.8 of five-word shingles."""
+    """One document of each class under Jaccard >= 0.8 of five-word shingles: that of the smallest id.
+
+    Rows with a null id count too, texts without words all stay, and of wholly equal rows one stays.
+    """
     return near_duplicates_removed(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark."""
+    """All documents, with their secrets replaced by a mark. Null and empty texts stay as they are; n_chars follows the text."""
     return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy of a document that the mix of the sources takes."""
+    """A row for each copy of a document that the mix of the sources takes. A null source is a source of its own; an empty table gives no rows."""
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their token ids, in sequences of at most 1024."""
+    """Pieces of documents with their token ids, in sequences of at most 1024. A null or empty text is its end id alone; repeated rows are packed each."""
     return pack_documents(docs)
 
 
@@ -51,7 +59,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Scores, exact joins of texts and tokenisation are beyond SQL; tests hold the stages against brute force.
+#: Scores, exact joins of texts and tokenisation are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
