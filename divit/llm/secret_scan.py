@@ -215,4 +215,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = 0.1, id_col: s
                 columns[size_at] = pa.array(sizes, batch.schema.field(size_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # Spark can't hand columns with dots in their names to Arrow functions
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

