@@ -95,34 +95,34 @@ def _signatures(words: int):
 _SIGNATURE = ["doc", "key", "size", "name", "slot", "counts"]
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for slot, group, blob in zip(*(batch.column(c).to_pylist() for c in ("slot", "grp", "counts"))):
-            x = np.frombuffer(zlib.decompress(blob), np.uint32)
-            x = x.astype(np.uint64) if len(x) == (1 << ORDER_BITS) // SLOTS else np.frombuffer(x.tobytes(), np.uint64)
-            sums[slot, group] = sums[slot, group] + x if (slot, group) in sums else x
-    for (slot, _), x in sums.items():
-        yield pa.record_batch([pa.array([slot], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], names=["slot", "counts"])
+def _summed(last: bool):
+    """Sums of tables slot by slot; the last ones as logarithms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for slot, group, blob in zip(*(batch.column(c).to_pylist() for c in ("slot", "grp", "counts"))):
+                x = zlib.decompress(blob)
+                x = np.frombuffer(x, np.uint32).astype(np.uint64) if len(x) == 4 * (1 << ORDER_BITS) // SLOTS else np.frombuffer(x, np.uint64)
+                sums[slot, group] = sums[slot, group] + x if (slot, group) in sums else x
+        for (slot, _), x in sums.items():
+            if last:
+                x = np.minimum(255, np.round(4 * np.log2(1 + x.astype(np.float64)))).astype(np.uint8)
+            yield pa.record_batch([pa.array([slot], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], names=["slot", "counts"])
+
+    return run
 
 
 def _order(tables: DataFrame) -> np.ndarray:
     """The logarithm of each cell's count in eighths: one byte a cell, summed in two levels on the executors."""
-    part = tables.withColumn("grp", F.monotonically_increasing_id() % 16).repartition(SLOTS * 4, "slot", "grp").mapInArrow(_summed, "slot int, counts binary")
-    whole = part.withColumn("grp", F.lit(0).cast("long")).repartition(SLOTS, "slot").mapInArrow(_summed, "slot int, counts binary")
-    log = whole.mapInArrow(_logs, "slot int, logs binary")
+    part = tables.withColumn("grp", F.monotonically_increasing_id() % 16).repartition(SLOTS * 4, "slot", "grp").mapInArrow(_summed(False), "slot int, counts binary")
+    log = part.withColumn("grp", F.lit(0).cast("long")).repartition(SLOTS, "slot").mapInArrow(_summed(True), "slot int, counts binary")
     out = np.zeros((SLOTS, (1 << ORDER_BITS) // SLOTS), np.uint8)
     for row in log.collect():  # SLOTS rows of bounded size
-        out[row.slot] = np.frombuffer(zlib.decompress(row.logs), np.uint8)
+        out[row.slot] = np.frombuffer(zlib.decompress(row.counts), np.uint8)
     return out.reshape(-1)
 
 
-def _logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        logs = [zlib.compress(np.minimum(255, np.round(4 * np.log2(1 + np.frombuffer(zlib.decompress(b), np.uint64).astype(np.float64)))).astype(np.uint8).tobytes(), 6) for b in batch.column("counts").to_pylist()]
-        yield pa.record_batch([batch.column("slot"), pa.array(logs, pa.binary())], names=["slot", "logs"])
-
-
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator[dict]]]:
     """Rows of a sorted partition, group by group."""
 

@@ -99,6 +99,13 @@ def _frequencies(words):
     return run
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after another, and which range each is of."""
+    n = (end - begin).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + (begin - (np.cumsum(n) - n))[of], of
+
+
 class BlockMaxIndex:
     """Postings of unit vectors in blocks of examples, with each word's largest weight in each block.
 
@@ -115,12 +122,14 @@ class BlockMaxIndex:
         norm = np.sqrt(np.bincount(place, weights=weight**2, minlength=len(order)))
         weight = weight / norm[place]
         by = np.lexsort((place, word))
+        word = word[by]
         self.place, self.weight = place[by].astype(np.int32), weight[by]
-        cell = word[by] * max(1, self.blocks) + self.place // block
-        self.start = np.searchsorted(cell, np.arange(len(scale) * self.blocks + 1)).astype(np.int32)
-        self.top = np.zeros(len(scale) * self.blocks)
-        np.maximum.at(self.top, cell, self.weight)
-        self.top = self.top.reshape(len(scale), self.blocks)
+        cell = word * max(1, self.blocks) + self.place // block
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+        self.start = np.append(first, len(cell)).astype(np.int32)  # cells: the postings of a word in a block
+        self.in_block = (self.place[first] // block).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(word[first], np.arange(len(scale) + 1)).astype(np.int32)
 
     def nearest(self, words: np.ndarray, times: np.ndarray, k: int, unknown: np.ndarray | None = None, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of the largest cosine above 0, as (cosine, example), best first; ties to the smaller example."""
@@ -130,19 +139,21 @@ class BlockMaxIndex:
         if not len(words) or not norm or not self.size:
             return []
         weight = weight / norm
-        bound = weight @ self.top[words]
+        which, of = _ranges(self.cells[words], self.cells[words + 1])
+        in_block, weight = self.in_block[which], weight[of]
+        bound = np.bincount(in_block, weights=weight * self.top[which], minlength=self.blocks)
         visit = np.argsort(-bound, kind="stable")
         visit = visit[bound[visit] > 0]
         scores = np.zeros(self.size)
         at, wave, least = 0, 4, 0.0
         while at < len(visit) and bound[visit[at]] >= least - 1e-9:
             some = visit[at : at + wave]
-            some = some[bound[some] >= least - 1e-9]
+            now = np.zeros(self.blocks, bool)
+            now[some[bound[some] >= least - 1e-9]] = True
             at, wave = at + wave, 2 * wave
-            cell = (words[:, None] * self.blocks + some).ravel()
-            begin, n = self.start[cell], self.start[cell + 1] - self.start[cell]
-            which = np.repeat(begin - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            scores += np.bincount(self.place[which], weights=self.weight[which] * np.repeat(np.repeat(weight, len(some)), n), minlength=self.size)
+            here = now[in_block]
+            post, of = _ranges(self.start[which[here]], self.start[which[here] + 1])
+            scores += np.bincount(self.place[post], weights=self.weight[post] * weight[here][of], minlength=self.size)
             if len(scores) > k + 1:
                 least = float(np.partition(scores, -k - 1)[-k - 1])  # one more than k: `without` may be among them
         found = np.flatnonzero(scores > 0)
@@ -157,11 +168,12 @@ def _vote(found: list[tuple[float, int]], labels: np.ndarray, prior: float) -> f
     return float((w @ labels[[i for _, i in found]] + 1e-6 * prior) / (w.sum() + 1e-6)) if found else prior
 
 
-def _alone(shared, k: int):
+def _alone(shared, others, k: int):
     """The vote on each example by the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, vectors, labels, prior = shared.value[:4]
+        index, labels, prior = shared.value[:3]
+        vectors = others.value
         for batch in batches:
             places = batch.column(0).to_pylist()
             votes = [_vote(index.nearest(*vectors[i], k, without=i), labels, prior) for i in places]
@@ -175,7 +187,7 @@ _NEAR = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), (
 
 def _scored(shared, k: int, knots, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, _, labels, prior, docs, known = shared.value
+        index, labels, prior, docs, known = shared.value
         seen: dict[int, tuple] = {}
         for batch in batches:
             for part in steps(batch, "text"):
@@ -190,7 +202,7 @@ def _scored(shared, k: int, knots, keep: bool):
                     if key not in seen:
                         h = hit[a:b]
                         found = index.nearest(place[a:b][h], times[a:b][h], k, times[a:b][~h])
-                        if len(seen) > 20_000:
+                        if len(seen) > (1_000 if keep else 20_000):
                             seen.clear()
                         seen[key] = _vote(found, labels, prior), [{"example": int(docs[j]), "cosine": s, "label": int(labels[j])} for s, j in found] if keep else None
                     votes.append(seen[key][0]), near.append(seen[key][1])
@@ -262,8 +274,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", taug
     sample = [r for r in sample if r.terms]
     vectors = [(np.searchsorted(known, np.array(r.terms, np.int64).view(np.uint64)), np.array(r.times, np.float64)) for r in sample]
     index = BlockMaxIndex(vectors, scale, float(np.log((1 + total) / 2) + 1))
-    shared = spark.sparkContext.broadcast((index, vectors, np.array([r.label for r in sample], np.float64), prior, [r.doc for r in sample], known))
-    alone = spark.range(0, len(sample), 1, max(1, len(sample) // 128)).mapInArrow(_alone(shared, neighbours), "vote double, label long").collect()  # a row per example
+    others = spark.sparkContext.broadcast(vectors)
+    shared = spark.sparkContext.broadcast((index, np.array([r.label for r in sample], np.float64), prior, [r.doc for r in sample], known))
+    alone = spark.range(0, len(sample), 1, max(1, len(sample) // 128)).mapInArrow(_alone(shared, others, neighbours), "vote double, label long").collect()  # a row per example
+    others.destroy()
+    words.destroy()
     cells = [(v, 1.0, float(y)) for v, y in sorted((r.vote, r.label) for r in alone)]
     knots = _calibration(cells, prior)
     out = rows.mapInArrow(_scored(shared, neighbours, knots, evidence), "doc long, key long, score double, evidence array<struct<example:long,cosine:double,label:int>>")
