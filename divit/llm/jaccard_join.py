@@ -216,7 +216,7 @@ def _compared(percent: int, order):
                     cells = _signed(mix(cells ^ mix(np.array([a]).astype(np.uint64)))).tolist()
                 out.append((a, r["b"], linked, len(s), len(apart) >= len(s) - 2 * radius, cells, raw))
                 held += len(raw or b"")
-                if len(out) >= 1024 or held >= 1 << 24:
+                if len(out) >= 256 or held >= 1 << 22:
                     held = 0
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), _COMPARED)], names=_COMPARED_NAMES)
                     out = []
@@ -248,15 +248,19 @@ def _region(percent: int):
             order = np.argsort(place, kind="stable")
             row, place = row[order], place[order]
             both = np.zeros((len(ids), len(ids)), np.float32)
-            width = max(1, (1 << 22) // len(ids))
+            width = max(1, (1 << 20) // len(ids))
             for at in range(0, int(place[-1]) + 1 if len(place) else 0, width):
                 here = slice(*np.searchsorted(place, [at, at + width]))
                 x = np.zeros((len(ids), width), np.float32)
                 x[row[here], place[here] - at] = 1
                 both += x @ x.T
-            i, j = np.nonzero((100 + percent) * (size[:, None] + size - 2 * both) <= (100 - percent) * (n[:, None] + n))
-            new = (i < j) & (cls[i] != cls[j])
-            root = _forest(len(ids), i[new], j[new])
+            root = np.arange(len(ids))
+            for at in range(0, len(ids), 256):
+                some = slice(at, at + 256)
+                i, j = np.nonzero((100 + percent) * (size[some, None] + size - 2 * both[some]) <= (100 - percent) * (n[some, None] + n))
+                i += at
+                new = (i < j) & (cls[i] != cls[j])
+                root = _forest(len(ids), np.append(i[new], np.arange(len(ids))), np.append(j[new], root))
             moved = np.flatnonzero(root != np.arange(len(ids)))
             yield pa.record_batch([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["a", "b"])
 

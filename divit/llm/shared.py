@@ -42,7 +42,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """Write a phase's rows to the shared folder and read them back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/divit/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "none").parquet(path)  # mostly hashes, which nothing compresses; and codecs hold memory outside the heap
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import quoted, settle, small_batches
 from .textbytes import LOWER, Hasher, flat, mix, spans, steps
 
-TAUGHT, EXAMPLES, NEIGHBOURS, BLOCK, PULL = 20_000, 2_048, 25, 64, 3.0
+TAUGHT, EXAMPLES, NEIGHBOURS, BLOCK, PULL = 20_000, 1_024, 25, 64, 3.0
 #: A word of fewer labelled rows has no lean.
 SUPPORT = 5
 _WORD = np.zeros(256, bool)
