@@ -173,11 +173,16 @@ def _windows(words: int, percent: int, depth: int, order):
 
 
 def _whole(words: int):
-    """(doc, set): the sorted hashes of each document's set as bytes."""
+    """(doc, set): the sorted hashes of each document's set as bytes; a task sends those of repeated rows once (again after `SEEN` others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            for part in steps(batch, "text"):
+            names = batch.column("doc").to_pylist()
+            new = [i for i, d in enumerate(names) if d not in seen and not seen.add(d)]
+            if len(seen) >= SEEN:
+                seen.clear()
+            for part in steps(batch.take(pa.array(new, pa.int64())), "text"):
                 yield pa.record_batch([part.column("doc"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), words)], pa.binary())], names=["doc", "set"])
 
     return run, "doc long, set binary"
@@ -293,8 +298,8 @@ class _Sets:
         wanted = settle(self.rows.join(ids.withColumnRenamed("doc", "name"), "name", "left_semi").groupBy("name").agg(F.min("key").alias("key")), "wanted")
         if n := wanted.count():
             run, schema = _whole(self.words)
-            texts = self.texts.join(F.broadcast(wanted) if n <= WANTED else wanted, "key").select(F.col("name").alias("doc"), "text").dropDuplicates(["doc"])
-            new = settle(texts.mapInArrow(run, schema), "sets")
+            texts = self.texts.join(F.broadcast(wanted) if n <= WANTED else wanted, "key").select(F.col("name").alias("doc"), "text")
+            new = settle(texts.mapInArrow(run, schema).dropDuplicates(["doc"]), "sets")
             self.known = new if self.known is None else self.known.unionByName(new)
         return self.known if self.known is not None else ids.select("doc", F.lit(None).cast("binary").alias("set"))
 
@@ -346,8 +351,9 @@ def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[D
 
     run, schema = _windows(words, percent, depth, order)
     copies = settle(texts.mapInArrow(run, schema), "windows")
-    met = copies.groupBy("cell").agg(F.min("doc").alias("pivot"), F.max("doc").alias("high"), F.count("*").alias("members")).where("pivot < high").drop("high")
-    open_ = settle(copies.join(met, "cell").groupBy("cell", "doc", "n", "rank").agg(F.min("pivot").alias("pivot"), F.min("members").alias("members")), "open")
+    copies_by = copies.repartition("cell")  # one shuffle for the grouping and the join
+    met = copies_by.groupBy("cell").agg(F.min("doc").alias("pivot"), F.max("doc").alias("high"), F.count("*").alias("members")).where("pivot < high").drop("high")
+    open_ = settle(copies_by.join(met.hint("merge"), "cell").groupBy("cell", "doc", "n", "rank").agg(F.min("pivot").alias("pivot"), F.min("members").alias("members")), "open")
     remove(copies)
     release(spark)
     sets = _Sets(rows, texts, words)
@@ -412,7 +418,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, depth
     and never gives one. Ties don't matter: classes are a function of the links. An empty table gives an empty result; extra columns are not read.
     """
     text = F.col(quoted(text_col)).cast("string")
-    rows, roots = _classes(docs.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.xxhash64(text).alias("key"), text.alias("text")), words, percent, depth)
+    rows, roots = _classes(docs.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.xxhash64(F.col(quoted(id_col)), text).alias("key"), text.alias("text")), words, percent, depth)
     full = rows.where("doc is not null and size > 0")
     several = full.groupBy("doc").agg(F.min("name").alias("a"), F.max("name").alias("z")).where("a <> z").select("doc", "a")
     own = full.join(several, "doc").where("name <> a").select("a", F.col("name").alias("b"))
