@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def suffix_candidates(words: DataFrame, shortest: int = 2, longest: int = 4, support: int = 20) -> DataFrame:
+def suffix_candidates(words: DataFrame, shortest: int = 2, longest: int = 8, support: int = 20) -> DataFrame:
     """(suffix, words): endings that leave at least two letters, with the number of distinct words that bear them."""
     ends = words.select("k", F.explode(F.sequence(F.lit(shortest), F.lit(longest))).alias("size")).where(F.length("k") >= F.col("size") + 2)
     return ends.groupBy(F.expr("right(k, size)").alias("suffix")).agg(F.count(F.lit(1)).alias("words")).where(F.col("words") >= support)
@@ -14,7 +14,7 @@ def suffix_candidates(words: DataFrame, shortest: int = 2, longest: int = 4, sup
 
 def root_vote(words: DataFrame, suffixes: DataFrame, evidence: int = 2) -> DataFrame:
     """(root, evidence): words that, with at least so many of the suffixes, make other words. Joins by the stripped form; no pairs of roots and suffixes are made."""
-    ends = words.select("k", F.explode(F.sequence(F.lit(2), F.lit(4))).alias("size")).where(F.length("k") >= F.col("size") + 2)
+    ends = words.select("k", F.explode(F.sequence(F.lit(2), F.lit(8))).alias("size")).where(F.length("k") >= F.col("size") + 2)
     cut = ends.select(F.expr("left(k, length(k) - size)").alias("root"), F.expr("right(k, size)").alias("suffix")).join(suffixes.select("suffix"), "suffix", "left_semi")
     voted = cut.join(words.select(F.col("k").alias("root")), "root", "left_semi").groupBy("root").agg(F.count(F.lit(1)).alias("evidence"))
     return voted.where(F.col("evidence") >= evidence)

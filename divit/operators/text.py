@@ -19,6 +19,8 @@ def paragraphs(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
 def tokens(df: DataFrame, *keep: str, text: str = "text", around: int = 0) -> DataFrame:
     """One row per word: `keep`, par, pos (from 0), w (as written), k (key); l1, r1 ... are the keys `around` it, '#' beyond the ends."""
     words = paragraphs(df, *keep, text=text).select(*keep, "par", F.regexp_extract_all("ptext", F.lit(WORD), F.lit(0)).alias("words"))
+    if not around:  # no neighbours: plain rows, lower-cased in generated code
+        return words.select(*keep, "par", F.posexplode("words").alias("pos", "w")).select(*keep, "par", F.col("pos").cast("long").alias("pos"), "w", turkish_lower(F.col("w")).alias("k"))
     keyed = words.withColumn("keys", F.transform("words", turkish_lower))
 
     def item(w: Column, i: Column) -> Column:

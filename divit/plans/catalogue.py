@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from divit.functions.normalize import eastern_digits, flat, no_apostrophe, ottoman_punctuation, roman_number
-from divit.operators import compare, context, lexicon, suffix, vocabulary
+from divit.functions import ottoman
+from divit.operators import compare, context, evaluate, lexicon, suffix, vocabulary
 from divit.operators.text import paragraphs, tokens
+from divit.plans.oracle import GIVEN
 from divit.plans.oracle import ORACLE as ORACLE
 from divit.sources.files import chapters, html_text
 
@@ -34,6 +36,11 @@ def doc_words(spark: SparkSession, sf: str) -> DataFrame:
     return doc_tokens(spark, sf).select("k").distinct()
 
 
+def given(spark: SparkSession) -> DataFrame:
+    """Keys that exercise what the tables' languages lack."""
+    return spark.createDataFrame([(k,) for k in GIVEN], "k string")
+
+
 def bench_words(spark: SparkSession, sf: str) -> DataFrame:
     return tokens(table(spark, sf, "benchmark")).select("k").distinct()
 
@@ -48,7 +55,7 @@ def bench_lexicon(spark: SparkSession, sf: str) -> DataFrame:
 
 def lexicons(spark: SparkSession, sf: str) -> DataFrame:
     talk = vocabulary.majority(vocabulary.counts(tokens(table(spark, sf, "conversations")), "k", "w"), 0, 1)
-    return lexicon.prioritized(bench_lexicon(spark, sf), talk)
+    return lexicon.prioritized(talk, bench_lexicon(spark, sf))
 
 
 @query
@@ -132,13 +139,13 @@ def prioritized_lexicon(spark, sf):
 @query
 def flat_index(spark, sf):
     """D11."""
-    return lexicon.flat_index(doc_words(spark, sf))
+    return lexicon.flat_index(doc_words(spark, sf).union(given(spark)))
 
 
 @query
 def apostrophe_index(spark, sf):
     """D12."""
-    return lexicon.apostrophe_index(doc_words(spark, sf))
+    return lexicon.apostrophe_index(doc_words(spark, sf).union(given(spark)))
 
 
 @query
@@ -149,7 +156,7 @@ def exact_or_flat_lookup(spark, sf):
 
 @query
 def longest_prefix_root(spark, sf):
-    """J05, J06."""
+    """The longest root that begins a word; no suffixes are peeled."""
     return lexicon.longest_prefix(doc_words(spark, sf), bench_words(spark, sf))
 
 
@@ -170,7 +177,7 @@ def skeleton_blocks(spark, sf):
 
 @query
 def fuzzy_top3_levenshtein(spark, sf):
-    """J24, J26."""
+    """J24, with the edit distance as a stand-in cost."""
     unknown = doc_words(spark, sf).join(bench_words(spark, sf), "k", "left_anti")
     return lexicon.fuzzy(unknown, bench_words(spark, sf))
 
@@ -193,8 +200,8 @@ def work_separation(spark, sf):
 @query
 def context_features(spark, sf):
     """X01, A26."""
-    toks = doc_tokens(spark, sf, around=1)
-    return context.context_features(toks.join(vocabulary.ambiguous(doc_pairs(spark, sf)).select("k"), "k", "left_semi"))
+    # Counted before they meet the ambiguous keys, which are the commonest words.
+    return context.context_features(doc_tokens(spark, sf, around=1)).join(vocabulary.ambiguous(doc_pairs(spark, sf)).select("k"), "k", "left_semi")
 
 
 @query
@@ -213,15 +220,14 @@ def loo_outcomes(spark, sf):
 @query
 def foreign_islands(spark, sf):
     """Runs of words that the benchmark lacks."""
-    toks = doc_tokens(spark, sf, "doc_id")
-    return context.islands(toks, doc_words(spark, sf).join(bench_words(spark, sf), "k", "left_anti"), "doc_id", "par")
+    return context.islands(doc_tokens(spark, sf, "doc_id"), bench_words(spark, sf), "doc_id", "par")
 
 
 @query
-def concordance_2(spark, sf):
-    """X11: benchmark words of four letters or fewer in documents, with two words on either side."""
-    short = bench_words(spark, sf).where("length(k) <= 4")
-    return doc_tokens(spark, sf, "doc_id", around=2).join(short, "k", "left_semi").select("doc_id", "par", "pos", "k", F.concat_ws(" ", "l2", "l1", "w", "r1", "r2").alias("line"))
+def concordance_5(spark, sf):
+    """X11: benchmark words in documents, with five words on either side."""
+    names = [f"l{i}" for i in range(5, 0, -1)] + ["w"] + [f"r{i}" for i in range(1, 6)]
+    return doc_tokens(spark, sf, "doc_id", around=5).join(bench_words(spark, sf), "k", "left_semi").select("doc_id", "par", "pos", "k", F.concat_ws(" ", *names).alias("line"))
 
 
 @query
@@ -239,7 +245,7 @@ def root_vote(spark, sf):
 
 @query
 def kfold_accuracy(spark, sf):
-    """A30, A31."""
+    """A30, A31, with capitalisation as a stand-in for a learned spelling."""
     return suffix.kfold_spelling(doc_pairs(spark, sf))
 
 
@@ -286,7 +292,7 @@ def align_tokens(spark, sf):
 @query
 def eastern_digit_texts(spark, sf):
     """K01, N21."""
-    return table(spark, sf, "benchmark").select("item_id", eastern_digits(ottoman_punctuation(F.col("text"))).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", eastern_digits(ottoman_punctuation(F.col("text"))).alias("text"))
 
 
 @query
@@ -305,7 +311,7 @@ def chapter_chunks(spark, sf):
 
 @query
 def html_texts(spark, sf):
-    """S04, S21."""
+    """S04."""
     return table(spark, sf, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
@@ -318,13 +324,62 @@ def registry_latest(spark, sf):
 
 @query
 def unknown_rank(spark, sf):
-    """Words of documents that no lexicon has, with whether they occur in lower case, the most frequent 500."""
+    """Words of documents that no lexicon has, with whether they occur in lower case, the most frequent 100,000."""
     n = doc_tokens(spark, sf).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("w") == F.col("k")).cast("int")).alias("lower"))
-    return n.join(lexicons(spark, sf).select("k"), "k", "left_anti").orderBy(F.desc("n"), "k").limit(500)
+    return n.join(lexicons(spark, sf).select("k"), "k", "left_anti").orderBy(F.desc("n"), "k").limit(100_000)
 
 
 @query
 def verse_lookup(spark, sf):
-    """(conv_id, turn) as a verse address."""
-    asked = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 100).alias("conv_id"), F.lit(1).cast("long").alias("turn"))
-    return asked.join(table(spark, sf, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    """(conv_id, turn) as a verse address; each row asks for the verse after it."""
+    verses = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    asked = verses.select("conv_id", F.col("turn").alias("from_turn"), (F.col("turn") + 1).alias("turn"))
+    return asked.join(verses, ["conv_id", "turn"])
+
+
+@query
+def word_forms(spark, sf):
+    """The normal forms of all words."""
+    words = doc_tokens(spark, sf).select("w").distinct().union(given(spark))
+    k = ottoman.key_lower(F.col("w"))
+    return words.select("w", k.alias("key"), ottoman.plain_key(k).alias("plain"), ottoman.hamza_less(k).alias("hamza_less"), ottoman.macron_to_circumflex(F.col("w")).alias("circumflex"),
+                        ottoman.phrase_key(F.col("w")).alias("phrase"), ottoman.latin_sound_key(k).alias("sound"), ottoman.latin_consonants(F.col("w")).alias("consonants"), ottoman.latin_skeleton(F.col("w")).alias("skeleton"))
+
+
+@query
+def soft_stem_lookup(spark, sf):
+    """J02."""
+    return lexicon.soft_stems(doc_words(spark, sf), doc_words(spark, sf).where("k rlike '[kpç]$'"))
+
+
+@query
+def number_words(spark, sf):
+    """Number words in one piece, split."""
+    words = doc_words(spark, sf).union(given(spark))
+    return words.select("k", F.array_join(ottoman.number_parts(F.col("k")), " ").alias("parts")).where("parts is not null")
+
+
+def _spelling_types(spark, sf) -> DataFrame:
+    """(source, k, w, n, hit): the spellings of each work, right where they are the majority over all works."""
+    pairs = vocabulary.counts(doc_tokens(spark, sf, "source"), "source", "k", "w").withColumn("source", F.coalesce("source", F.lit("")))
+    voted = vocabulary.majority(doc_pairs(spark, sf), 0, 1).select("k", "spelling")
+    return pairs.join(voted, "k").withColumn("hit", F.col("w") == F.col("spelling"))
+
+
+@query
+def weighted_accuracy(spark, sf):
+    """Accuracy of the majority spelling by the length of the word, and in total."""
+    rows = _spelling_types(spark, sf).withColumn("size", F.least(F.length("k"), F.lit(12)))
+    return evaluate.accuracy(rows, "size", "hit", "n")
+
+
+@query
+def work_total_rollup(spark, sf):
+    """The same per work, with the total."""
+    return evaluate.accuracy(_spelling_types(spark, sf), "source", "hit", "n")
+
+
+@query
+def diff_groups(spark, sf):
+    """differences of lines of neighbouring documents, grouped."""
+    return evaluate.diff_groups(align_tokens(spark, sf).withColumn("kind", F.lit("line")), "kind", "id", "par", "left_pos")

@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 from divit.functions.normalize import EASTERN, ROMAN, VOWELS, WORD
+from divit.functions.ottoman import _CONSONANTS, APOSTROPHES, LATIN_SOUND, MACRON, NUMBER_TAIL, NUMBERS, PLAIN, SUFFIX_TAILS
+from divit.operators.lexicon import FLAT_EXCLUDED
+
+#: Keys that the queries add to the tables' words: circumflexes, macrons, apostrophes, doubles and number words.
+GIVEN = ["âhiret", "kâr", "îman", "ûlâ", "mes'ul", "kur'an", "Ali'nin", "kādir", "‘ilim", "şiddet", "hürriyyet", "onbir", "yirmiüçüncü", "dördyüz", "birbiri", "kırkikinci"]
 
 _LOWER = "lower(translate({0}, 'İI', 'iı'))"
 _FLAT = "translate({0}, 'âîûÂÎÛ', 'aiuAIU')"
@@ -30,6 +35,8 @@ _D = _tokens("d", "documents")
 _DS = _tokens("d", "documents", "doc_id, source")
 _B = _tokens("b", "benchmark")
 _BW = "bw AS (SELECT DISTINCT k FROM b)"
+_GIVEN_LIST = ", ".join("'" + g.replace("'", "''") + "'" for g in GIVEN)
+_GIVEN = f"dg AS (SELECT k FROM dw UNION ALL SELECT unnest([{_GIVEN_LIST}]))"
 _DW = "dw AS (SELECT DISTINCT k FROM d)"
 _PAIRS = "pairs AS (SELECT k, w, count(*) AS n FROM d GROUP BY k, w)"
 
@@ -42,16 +49,16 @@ _AMBIGUOUS = """ranked AS (SELECT k, w, n, row_number() OVER (PARTITION BY k ORD
 amb AS (SELECT * FROM (SELECT k, max(CASE WHEN r = 1 THEN w END) AS "first", max(CASE WHEN r = 1 THEN n END) AS n1, max(CASE WHEN r = 2 THEN w END) AS "second", max(CASE WHEN r = 2 THEN n END) AS n2, CAST(max(total) AS BIGINT) AS total FROM ranked WHERE r <= 2 GROUP BY k) WHERE total >= 6 AND n2 >= 3 AND n2 >= total * CAST(0.05 AS DOUBLE))"""
 _LEX = ",\n".join([
     _tokens("c", "conversations"), "bp AS (SELECT k, w, count(*) AS n FROM b GROUP BY k, w)", "cp AS (SELECT k, w, count(*) AS n FROM c GROUP BY k, w)", _majority("bm", "bp", 0, 1), _majority("cm", "cp", 0, 1),
-    "lex AS (SELECT k, spelling, 0 AS priority FROM bm UNION ALL SELECT k, spelling, 1 FROM cm WHERE k NOT IN (SELECT k FROM bm))"])
+    "lex AS (SELECT k, spelling, 1 AS priority FROM bm UNION ALL SELECT k, spelling, 0 FROM cm WHERE k NOT IN (SELECT k FROM bm))"])
 _NEAR = "near AS (SELECT *, coalesce(lag(k) OVER q, '#') AS l1, coalesce(lead(k) OVER q, '#') AS r1, coalesce(lag(k, 2) OVER q, '#') AS l2, coalesce(lead(k, 2) OVER q, '#') AS r2 FROM d WINDOW q AS (PARTITION BY doc_id, par ORDER BY pos))"
 _UNKNOWN = "unknown AS (SELECT k FROM dw WHERE k NOT IN (SELECT k FROM bw))"
 _BLOCKS = f"""blocks AS (SELECT u.k, bw.k AS entry FROM unknown u JOIN bw ON {_SKELETON.format('u.k')} = {_SKELETON.format('bw.k')} AND left(u.k, 1) = left(bw.k, 1)
 WHERE length({_SKELETON.format('u.k')}) >= 2 AND u.k <> bw.k)"""
-_ENDS = "ends AS (SELECT k, left(k, length(k) - size) AS root, right(k, size) AS suffix FROM dw, (SELECT unnest([2, 3, 4]) AS size) WHERE length(k) >= size + 2),\ncand AS (SELECT suffix, count(*) AS words FROM ends GROUP BY suffix HAVING count(*) >= 20)"
+_ENDS = "ends AS (SELECT k, left(k, length(k) - size) AS root, right(k, size) AS suffix FROM dw, (SELECT unnest([2, 3, 4, 5, 6, 7, 8]) AS size) WHERE length(k) >= size + 2),\ncand AS (SELECT suffix, count(*) AS words FROM ends GROUP BY suffix HAVING count(*) >= 20)"
 
 
-def _index(derived: str) -> str:
-    return _with(_D, _DW) + f"SELECT derived, min(k) AS k FROM (SELECT {derived.format('k')} AS derived, k FROM dw) WHERE derived <> k AND derived NOT IN (SELECT k FROM dw) GROUP BY derived"
+def _index(derived: str, more: str = "") -> str:
+    return _with(_D, _DW, _GIVEN) + f"SELECT derived, min(k) AS k FROM (SELECT {derived.format('k')} AS derived, k FROM dg) WHERE derived <> k AND derived NOT IN (SELECT k FROM dg){more} GROUP BY derived"
 
 
 def _bigrams(name: str) -> str:
@@ -61,6 +68,22 @@ def _bigrams(name: str) -> str:
 _EASTERN = f"translate(translate(translate(regexp_replace(regexp_replace(text, '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), ',;?', '،؛؟'), chr(1), ','), '{EASTERN[0]}', '{EASTERN[1]}')"
 _NUMERALS = ", ".join(f"('{k}', {v})" for k, v in ROMAN.items())
 
+_TYPES = _with(_DS, _PAIRS, _majority("m", "pairs", 0, 1), "ty AS (SELECT coalesce(d.source, '') AS source, d.k, d.w, count(*) AS n, any_value(m.spelling) = d.w AS hit FROM d JOIN m ON d.k = m.k GROUP BY ALL)").replace("GROUP BY ALL)", "GROUP BY 1, d.k, d.w)")
+
+
+def _accuracy(by: str, name: str) -> str:
+    return f"""SELECT "{name}", is_total, types, right_types, weight, right_weight, round(CAST(right_types AS DOUBLE) / types, 6) AS type_accuracy, round(CAST(right_weight AS DOUBLE) / weight, 6) AS accuracy FROM (
+SELECT g AS "{name}", CAST(grouping(g) AS INTEGER) AS is_total, count(*) AS types, CAST(sum(CAST(hit AS BIGINT)) AS BIGINT) AS right_types, CAST(sum(n) AS BIGINT) AS weight, CAST(coalesce(sum(n) FILTER (WHERE hit), 0) AS BIGINT) AS right_weight FROM (SELECT *, {by} AS g FROM ty) GROUP BY ROLLUP (g))"""
+
+
+def _once(text: str, letters: str) -> str:
+    for c in letters:
+        text = f"regexp_replace({text}, '{c}+', '{c}', 'g')"
+    return text
+
+
+_NAMES = "|".join(NUMBERS)
+
 ORACLE: dict[str, str] = {
     "token_freq": _with(_D) + "SELECT k, count(*) AS n FROM d GROUP BY k",
     "token_freq_by_source": _with(_DS) + "SELECT k, source, count(*) AS n FROM d GROUP BY k, source",
@@ -75,10 +98,10 @@ ORACLE: dict[str, str] = {
     "changed_spellings": _with(_D, _PAIRS, _majority("m", "pairs"), _B, "bp AS (SELECT k, w, count(*) AS n FROM b GROUP BY k, w)", _majority("bm", "bp", 0, 1)) + "SELECT m.k, bm.spelling AS before, m.spelling AS after, m.n FROM m JOIN bm ON m.k = bm.k WHERE m.spelling <> bm.spelling",
     "phrase_majority": _with(_DS, _NEAR, "pairs AS (SELECT l1 || ' ' || k AS k, w, count(*) AS n FROM near WHERE l1 <> '#' GROUP BY 1, 2)", _majority("m", "pairs")) + "SELECT k, spelling, n, total FROM m",
     "prioritized_lexicon": _with(_B, _LEX) + "SELECT k, spelling, priority FROM lex",
-    "flat_index": _index(_FLAT),
+    "flat_index": _index(_FLAT, " AND length(derived) >= 4 AND derived NOT IN (" + ", ".join(f"'{x}'" for x in FLAT_EXCLUDED) + ")"),
     "apostrophe_index": _index(_BARE),
     "exact_or_flat_lookup": _with(_D, _DW, _B, _BW, f"soft AS (SELECT {_FLAT.format('k')} AS f, min(k) AS soft FROM bw GROUP BY 1)") + f"SELECT dw.k, coalesce(bw.k, soft) AS found, CASE WHEN bw.k IS NOT NULL THEN 'exact' WHEN soft IS NOT NULL THEN 'flat' ELSE 'none' END AS how FROM dw LEFT JOIN bw ON dw.k = bw.k LEFT JOIN soft ON {_FLAT.format('dw.k')} = f",
-    "longest_prefix_root": _with(_D, _DW, _B, _BW) + "SELECT k, root, substring(k, length(root) + 1) AS suffix FROM (SELECT dw.k, max_by(bw.k, length(bw.k)) AS root FROM dw JOIN (SELECT unnest(range(1, 9)) AS cut) ON length(dw.k) - cut >= 3 JOIN bw ON bw.k = left(dw.k, length(dw.k) - CAST(cut AS INTEGER)) GROUP BY dw.k)",
+    "longest_prefix_root": _with(_D, _DW, _B, _BW) + "SELECT k, root, substring(k, length(root) + 1) AS suffix FROM (SELECT dw.k, max_by(bw.k, length(bw.k)) AS root FROM dw JOIN (SELECT unnest(range(1, 26)) AS cut) ON length(dw.k) - cut >= 3 JOIN bw ON bw.k = left(dw.k, length(dw.k) - CAST(cut AS INTEGER)) GROUP BY dw.k)",
     "phrase_ngram_join": _with(_tokens("d", "(SELECT doc_id AS d_id, text FROM documents)", "d_id"), _tokens("b", "(SELECT item_id AS b_id, text FROM benchmark)", "b_id")) + f"SELECT k, count(*) AS n FROM ({_bigrams('d')}) WHERE k IN ({_bigrams('b')}) GROUP BY k",
     "skeleton_blocks": _with(_D, _DW, _B, _BW, _UNKNOWN, _BLOCKS) + "SELECT k, entry FROM blocks",
     "fuzzy_top3_levenshtein": _with(_D, _DW, _B, _BW, _UNKNOWN, _BLOCKS) + f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY distance, entry) AS INTEGER) AS rank FROM (SELECT k, entry, CAST(levenshtein({_LETTERWISE.format('k')}, {_LETTERWISE.format('entry')}) AS INTEGER) AS distance FROM blocks)) WHERE rank <= 3",
@@ -97,7 +120,8 @@ scored AS (SELECT z.k, z.source, z.l1, z.r1, z.w, z.f, z.s, z.n, z.side, coalesc
 chosen AS (SELECT w, n, CASE WHEN max(score) FILTER (WHERE side = 2) > max(score) FILTER (WHERE side = 1) THEN s ELSE f END AS chosen, CASE WHEN max(o) FILTER (WHERE side = 2) > max(o) FILTER (WHERE side = 1) THEN s ELSE f END AS major FROM scored GROUP BY k, source, l1, r1, w, f, s, n)""")
     + "SELECT CASE WHEN chosen = w AND major = w THEN 'both_right' WHEN chosen = w THEN 'fixed' WHEN major = w THEN 'broken' ELSE 'both_wrong' END AS outcome, CAST(sum(n) AS BIGINT) AS n FROM chosen GROUP BY 1",
     "foreign_islands": _with(_DS, _B, _BW) + "SELECT doc_id, par, min(pos) AS first_pos, count(*) AS length FROM (SELECT doc_id, par, pos, pos - row_number() OVER (PARTITION BY doc_id, par ORDER BY pos) AS run FROM d WHERE k NOT IN (SELECT k FROM bw)) GROUP BY doc_id, par, run HAVING count(*) >= 2",
-    "concordance_2": _with(_DS, _NEAR, _B, _BW) + "SELECT doc_id, par, pos, k, concat_ws(' ', l2, l1, w, r1, r2) AS line FROM near WHERE k IN (SELECT k FROM bw WHERE length(k) <= 4)",
+    "concordance_5": _with(_DS, _B, _BW, "near5 AS (SELECT *, " + ", ".join(f"coalesce({f}(k, {i}) OVER q, '#') AS {t}{i}" for f, t in (("lag", "l"), ("lead", "r")) for i in range(1, 6)) + " FROM d WINDOW q AS (PARTITION BY doc_id, par ORDER BY pos))")
+    + "SELECT doc_id, par, pos, k, concat_ws(' ', l5, l4, l3, l2, l1, w, r1, r2, r3, r4, r5) AS line FROM near5 WHERE k IN (SELECT k FROM bw)",
     "suffix_candidates": _with(_D, _DW, _ENDS) + "SELECT suffix, words FROM cand",
     "root_vote": _with(_D, _DW, _ENDS) + "SELECT root, count(*) AS evidence FROM ends WHERE suffix IN (SELECT suffix FROM cand) AND root IN (SELECT k FROM dw) GROUP BY root HAVING count(*) >= 2",
     "kfold_accuracy": _with(_D, _PAIRS, "top AS (SELECT k, CAST(max_by(w, row(n, w)) <> k AS BIGINT) AS cap, right(k, 3) AS e, CAST('0x' || left(md5(k), 6) AS BIGINT) % 5 AS fold FROM pairs WHERE length(k) > 3 GROUP BY k)", "g AS (SELECT x.e, x.fold, CAST(coalesce(sum(y.cap), 0) * 2 > count(y.k) AS BIGINT) AS guess FROM (SELECT DISTINCT e, fold FROM top) x LEFT JOIN top y ON x.e = y.e AND x.fold <> y.fold GROUP BY x.e, x.fold)") + 'SELECT t.fold, count(*) AS words, CAST(sum(CAST(g.guess = t.cap AS BIGINT)) AS BIGINT) AS "right" FROM top t JOIN g ON t.e = g.e AND t.fold = g.fold GROUP BY t.fold',
@@ -105,10 +129,22 @@ chosen AS (SELECT w, n, CASE WHEN max(score) FILTER (WHERE side = 2) > max(score
     "coverage_rollup": _with(_tokens("d", "documents", "lang"), _B, _LEX) + "SELECT lang, is_total, tokens, covered, round(CAST(covered AS DOUBLE) / tokens, 6) AS ratio FROM (SELECT x.lang, CAST(grouping(x.lang) AS INTEGER) AS is_total, count(*) AS tokens, count(lex.k) AS covered FROM (SELECT coalesce(lang, '') AS lang, k FROM d) x LEFT JOIN lex ON x.k = lex.k GROUP BY ROLLUP (x.lang))",
     "stratified_estimate": _with(_D, _B, _BW, "r AS (SELECT k, CAST(count(*) AS DOUBLE) AS n, k NOT IN (SELECT k FROM bw) AS wrong FROM d GROUP BY k)", "s AS (SELECT coalesce(sum(n) FILTER (WHERE n >= 200 AND wrong), 0) AS e, avg(CAST(wrong AS DOUBLE)) FILTER (WHERE n < 200) AS t, coalesce(sum(n) FILTER (WHERE n < 200), 0) AS m, sum(n) AS a FROM r)") + "SELECT round((e + t * m) / a, 6) AS error_rate, round(t, 6) AS tail_rate FROM s",
     "line_diff_keys": _with(_DS) + "SELECT md5(ptext) AS line, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM d_p GROUP BY ptext HAVING count(DISTINCT doc_id) > 1",
-    "eastern_digit_texts": f"SELECT item_id, {_EASTERN} AS text FROM benchmark",
+    "eastern_digit_texts": f"SELECT doc_id, {_EASTERN} AS text FROM documents",
     "roman_numbers": _with(_D) + f"SELECT CAST(value AS BIGINT) AS value, count(*) AS n FROM d JOIN (VALUES {_NUMERALS}) AS r(numeral, value) ON d.w = r.numeral GROUP BY 1",
     "chapter_chunks": _with(_DS) + "SELECT doc_id, chapter, count(*) AS n_lines, md5(string_agg(ptext, chr(10) ORDER BY i)) AS body_md5 FROM (SELECT *, CAST((i - 1) // 200 + 1 AS BIGINT) AS chapter FROM (SELECT doc_id, ptext, row_number() OVER (PARTITION BY doc_id ORDER BY par) AS i FROM d_p)) GROUP BY doc_id, chapter",
     "registry_latest": "SELECT conv_id, role, max_by(text, row(turn, text)) AS text, max(turn) AS turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, role",
-    "unknown_rank": _with(_D, _B, _LEX) + "SELECT k, count(*) AS n, max(CAST(w = k AS INTEGER)) AS lower FROM d WHERE k NOT IN (SELECT k FROM lex) GROUP BY k ORDER BY n DESC, k LIMIT 500",
-    "verse_lookup": "SELECT c.conv_id, c.turn, d.doc_id, c.text FROM documents d JOIN conversations c ON c.conv_id = d.doc_id % 100 AND c.turn = 1",
+    "unknown_rank": _with(_D, _B, _LEX) + "SELECT k, count(*) AS n, max(CAST(w = k AS INTEGER)) AS lower FROM d WHERE k NOT IN (SELECT k FROM lex) GROUP BY k ORDER BY n DESC, k LIMIT 100000",
+    "verse_lookup": "SELECT a.conv_id, a.turn AS from_turn, b.turn, b.text FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1",
+    "word_forms": _with(_D, f"ws AS (SELECT DISTINCT w FROM d UNION ALL SELECT unnest([{_GIVEN_LIST}]))", f"ks AS (SELECT w, translate({_LOWER.format('w')}, '’`ʼ', '''''''') AS key FROM ws)")
+    + f"""SELECT w, key, translate(key, '{PLAIN[0]}', '{PLAIN[1]}') AS plain,
+CASE WHEN len(string_split(key, '''')) = 2 AND string_split(key, '''')[1] <> '' AND string_split(key, '''')[2] <> '' AND string_split(key, '''')[2] NOT IN ({', '.join(f"'{x}'" for x in SUFFIX_TAILS)}) THEN replace(key, '''', '') END AS hamza_less,
+translate(w, '{MACRON[0]}', '{MACRON[1]}') AS circumflex, trim(regexp_replace(translate({_LOWER.format('w')}, '{APOSTROPHES}‐', '{"''" * len(APOSTROPHES)}-'), '\\s+', ' ', 'g')) AS phrase,
+translate(regexp_replace({_once('key', LATIN_SOUND[0])}, '[^{LATIN_SOUND[0]}]', '', 'g'), '{LATIN_SOUND[0]}', '{LATIN_SOUND[1]}') AS sound,
+{_once(f"regexp_replace({_FLAT.format(_LOWER.format('w'))}, '[^{_CONSONANTS}]', '', 'g')", _CONSONANTS.replace('y', ''))} AS consonants,
+translate({_once(f"regexp_replace({_FLAT.format('lower(w)')}, '[^a-zçğışöü]', '', 'g')", 'abcdefghijklmnopqrstuvwxyzçğş')}, 'aeıioöuü', '') AS skeleton FROM ks""",
+    "soft_stem_lookup": _with(_D, _DW, "lx AS (SELECT k FROM dw WHERE right(k, 1) IN ('k', 'p', 'ç'))") + "SELECT k, stem FROM (SELECT k, left(k, length(k) - 1) || translate(right(k, 1), 'ğbc', 'kpç') AS stem FROM dw WHERE right(k, 1) IN ('ğ', 'b', 'c')) WHERE stem IN (SELECT k FROM lx) AND k NOT IN (SELECT k FROM lx)",
+    "number_words": _with(_D, _DW, _GIVEN, f"h AS (SELECT k, regexp_extract(k, '^(?:{_NAMES})+') AS head FROM dg)", f"p AS (SELECT k, regexp_extract_all(head, '{_NAMES}') AS parts, substring(k, length(head) + 1) AS rest FROM h)")
+    + f"SELECT k, array_to_string(parts, ' ') || rest AS parts FROM p WHERE len(parts) >= 2 AND regexp_full_match(rest, '(?:{NUMBER_TAIL})?') AND NOT list_contains(parts[:-2], 'dörd') AND NOT (parts[1] = 'bir' AND parts[2] = 'bir')",
+    "weighted_accuracy": _TYPES + _accuracy("least(length(k), 12)", "size"),
+    "work_total_rollup": _TYPES + _accuracy("source", "source"),
 }

@@ -1,4 +1,4 @@
-"""Readers of text, EPUB and HTML files, tab-separated lexicons, and writers of text and EPUB. Bytes reach Python in Arrow batches."""
+"""Readers of text, EPUB and HTML files, tab-separated lexicons and logs, and a writer of text. Bytes reach Python in Arrow batches."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from divit.functions.normalize import eastern_digits
+from divit.functions.normalize import eastern_digits, turkish_lower
 
 
 class _Text(HTMLParser):
@@ -95,3 +95,81 @@ def chapters(lines: DataFrame, by: str, order: str, text: str, size: int = 200)
 def write_txt(df: DataFrame, path: str, text: str = "text") -> None:
     """Text files with Eastern digits."""
     df.select(eastern_digits(F.col(text)).alias("value")).write.text(path)
+
+
+def read_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(k) of a file with a key a line, lower-cased; comments and blank lines go."""
+    rows = spark.read.text(path).select(turkish_lower(F.trim("value")).alias("k"))
+    return rows.where("k <> '' and not startswith(k, '#')").distinct()
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(latin, spelling, n) of tab-separated word pairs.
+
+    A Latin side with a blank, hyphen, digit or Arabic letter goes, and so does a spelling with anything but Arabic script and blanks. Short rows and counts that
+    are no numbers go.
+    """
+    p = F.split("value", "\t")
+    rows = spark.read.text(path).where(F.size(p) >= 3).select(F.trim(p[0]).alias("latin"), F.trim(p[1]).alias("spelling"), F.trim(p[2]).try_cast("long").alias("n"))
+    return rows.where("latin <> '' and n is not null").where(~F.col("latin").rlike("[\\s\\-\\d\\u0600-\\u06FF]")).where(F.col("spelling").rlike("^[\\u0600-\\u06FF ]+$"))
+
+
+def read_registry(spark: SparkSession, *paths: str, columns: int = 6) -> DataFrame:
+    """(k, fields) of registry files in their order: the last line of a key wins, short rows are padded with empty fields."""
+    rows = None
+    for i, path in enumerate(paths):
+        p = F.split("value", "\t")
+        part = spark.read.text(path).select("value", F.lit(i).alias("file"), F.monotonically_increasing_id().alias("line"))
+        part = part.where("value <> '' and not startswith(value, '#')").select(turkish_lower(F.trim(p[0])).alias("k"), "file", "line", F.transform(F.sequence(F.lit(1), F.lit(columns - 1)), lambda j: F.coalesce(F.get(p, j), F.lit(""))).alias("fields"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("k").agg(F.max_by("fields", F.struct("file", "line")).alias("fields"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line, fields of `schema`) of JSON lines, each with its place; broken lines have null fields."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), F.from_json("value", schema).alias("j"))
+    w = Window.partitionBy("file").orderBy("at")
+    return rows.select("file", (F.row_number().over(w) - 1).alias("line"), "j.*")
+
+
+class _Spans(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, str]] = []
+        self.open: list[tuple[bool, str, list[str]]] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "span":
+            named = dict(attrs)
+            self.open.append(("kelime-grup" in (named.get("class") or "").split() and "data-latince" in named, named.get("data-latince") or "", []))
+
+    def handle_endtag(self, tag):
+        if tag == "span" and self.open:
+            wanted, latin, parts = self.open.pop()
+            if wanted:
+                self.found.append((latin, "".join(parts).strip()))
+
+    def handle_data(self, data):
+        for _, _, parts in self.open:
+            parts.append(data)
+
+
+def word_spans(html: Column) -> Column:
+    """The (latin, spelling) pairs of a page's annotated word groups, inner ones first; null gives none."""
+
+    @pandas_udf("array<struct<latin:string,spelling:string>>")
+    def spans(pages: pd.Series) -> pd.Series:
+        def of(page):
+            parser = _Spans()
+            parser.feed(page or "")
+            parser.close()
+            return [{"latin": a, "spelling": b} for a, b in parser.found]
+
+        return pages.map(of)
+
+    return spans(html)
+
+
+def payload(value: Column, item: str) -> Column:
+    """The items of a JSON text that is either a bare list or an object with a list in `data`; anything else gives null."""
+    return F.coalesce(F.when(F.trim(value).startswith("["), F.from_json(value, f"array<{item}>")), F.from_json(value, f"data array<{item}>")["data"])
