@@ -26,6 +26,7 @@ once; cells are grouped by partial aggregation, members meet only pivots, and a
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import zlib
@@ -33,11 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import fresh, quoted, release, remove, settle, small_batches
+from .shared import fresh, quoted, release, remove, settle, settle_by, small_batches
 from .subspace_dedup import _forest
 from .textbytes import mix, shingle_sets, steps
 
@@ -272,36 +273,40 @@ def _region(percent: int):
     return run
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int, order=None) -> DataFrame:
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _compare(pairs: DataFrame, sets: list[DataFrame], percent: int, order=None) -> DataFrame:
     """The pairs (a, b) that link, or with an order all of them with b's regions. A document with many partners is dealt out in chunks."""
     many = pairs.groupBy("a").count().where(f"count > {CHUNK}")
     pairs = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("count", F.lit(1)) / CHUNK)).alias("chunk"))
-    theirs = pairs.join(sets.withColumnRenamed("doc", "b"), "b").select("a", "chunk", "b", "set")
-    own = pairs.select("a", "chunk").distinct().join(sets.withColumnRenamed("doc", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "set")
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = own.unionByName(theirs).repartition(n, "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    firsts = pairs.select("a", "chunk").distinct()
+    theirs = [pairs.join(s.withColumnRenamed("doc", "b"), "b").select("a", "chunk", "b", "set") for s in sets]
+    own = [firsts.join(s.withColumnRenamed("doc", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "set") for s in sets]
+    both = functools.reduce(DataFrame.unionByName, own + theirs).repartition(_parts(pairs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
     run, schema = _compared(percent, order)
     return both.mapInArrow(run, schema)
 
 
 class _Sets:
-    """The sets of the documents that meet in pairs, hashed from their texts when they first do."""
+    """The sets of the documents that meet in pairs, hashed from their texts when they first do and kept dealt out by document."""
 
     def __init__(self, rows: DataFrame, texts: DataFrame, words: int) -> None:
-        self.rows, self.texts, self.words, self.known = rows, texts, words, None
+        self.rows, self.texts, self.words, self.known = rows, texts, words, []
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        """(doc, set) of all documents in pairs(a, b), and perhaps of others."""
+    def of(self, pairs: DataFrame) -> list[DataFrame]:
+        """Tables (doc, set), each document in one, with all documents in pairs(a, b) and perhaps others."""
         ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-        if self.known is not None:
-            ids = ids.join(self.known.select("doc"), "doc", "left_anti")
+        for table in self.known:
+            ids = ids.join(table.select("doc"), "doc", "left_anti")
         wanted = settle(self.rows.join(ids.withColumnRenamed("doc", "name"), "name", "left_semi").groupBy("name").agg(F.min("key").alias("key")), "wanted")
         if n := wanted.count():
             run, schema = _whole(self.words)
             texts = self.texts.join(F.broadcast(wanted) if n <= WANTED else wanted, "key").select(F.col("name").alias("doc"), "text")
-            new = settle(texts.mapInArrow(run, schema).dropDuplicates(["doc"]), "sets")
-            self.known = new if self.known is None else self.known.unionByName(new)
-        return self.known if self.known is not None else ids.select("doc", F.lit(None).cast("binary").alias("set"))
+            n = _parts(pairs.sparkSession)
+            self.known.append(settle_by(texts.mapInArrow(run, schema).repartition(n, "doc").dropDuplicates(["doc"]), "sets", "doc", n))
+        return self.known or [ids.select("doc", F.lit(None).cast("binary").alias("set"))]
 
 
 def _named(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -350,10 +355,10 @@ def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[D
     texts = source.where("text is not null").select("key", "text")
 
     run, schema = _windows(words, percent, depth, order)
-    copies = settle(texts.mapInArrow(run, schema), "windows")
-    copies_by = copies.repartition("cell")  # one shuffle for the grouping and the join
-    met = copies_by.groupBy("cell").agg(F.min("doc").alias("pivot"), F.max("doc").alias("high"), F.count("*").alias("members")).where("pivot < high").drop("high")
-    open_ = settle(copies_by.join(met.hint("merge"), "cell").groupBy("cell", "doc", "n", "rank").agg(F.min("pivot").alias("pivot"), F.min("members").alias("members")), "open")
+    n = _parts(spark)
+    copies = settle_by(texts.mapInArrow(run, schema).repartition(n, "cell"), "windows", "cell", n)  # one shuffle for the grouping and the join
+    met = copies.groupBy("cell").agg(F.min("doc").alias("pivot"), F.max("doc").alias("high"), F.count("*").alias("members")).where("pivot < high").drop("high")
+    open_ = settle(copies.join(met.hint("merge"), "cell").groupBy("cell", "doc", "n", "rank").agg(F.min("pivot").alias("pivot"), F.min("members").alias("members")), "open")
     remove(copies)
     release(spark)
     sets = _Sets(rows, texts, words)
@@ -387,7 +392,6 @@ def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[D
         near = _mixed(_named(parts.where("cells is not null").withColumnRenamed("b", "doc"), classes), ["a"])
         held = near.groupBy("a").agg(((F.count("*") <= REGION) & (F.sum(F.length("apart")) <= REGION_BYTES)).alias("fits"))
         near = settle(near.join(held, "a"), "near")
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         inside = near.where("fits").select("a", "doc", "cls", "n", "apart").repartition(n, "a").sortWithinPartitions("a", "doc").mapInArrow(_region(percent), "a long, b long")
         if not (inside := settle(inside, "inside")).isEmpty():
             links = links.unionByName(inside)

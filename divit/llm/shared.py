@@ -46,6 +46,16 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_by(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
+    """settle() for rows that are dealt out to n partitions by `key`: what joins or groups them by it later need not move them again."""
+    spark = df.sparkSession
+    name = f"divit_{label}_{uuid.uuid4().hex}"
+    df.write.option("compression", "none").option("path", f"{shared_dir(spark)}/divit/{name}").format("parquet").bucketBy(n, key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # the name alone: the files are outside the catalogue's folder
+    return table
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished phases."""
     gc.collect()
