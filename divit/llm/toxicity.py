@@ -91,7 +91,8 @@ def _frequencies(words):
             for part in steps(batch, "text"):
                 _, term, _ = _terms(part.column("text"))
                 at = np.searchsorted(known, term)
-                at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == term)]
+                near = at < len(known)
+                at = at[near][known[at[near]] == term[near]]
                 count += np.bincount(at, minlength=len(known))
         at = np.flatnonzero(count)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(count[at])], names=["word", "n"])
