@@ -2,19 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import settle
 
+#: Up to so many edges (8 MB) are joined by one task of an executor; more go by rounds of joins, with the same result.
+ONE_TASK = 500_000
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place that each of n places reaches over the links (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new[root]
+    return root
+
+
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    edges = [np.stack([batch.column(c).to_numpy() for c in ("a", "b")]) for batch in batches]
+    if edges:
+        nodes, place = np.unique(np.concatenate(edges, axis=1), return_inverse=True)
+        a, b = place.reshape(2, -1)
+        yield pa.record_batch([pa.array(nodes), pa.array(nodes[forest(len(nodes), a, b)])], names=["node", "root"])
+
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """edges(a, b long) -> (node, root): the smallest node that each node of an edge reaches.
 
-    Nulls and loops are left out; repeated edges count once. The number of rounds grows with the
-    logarithm of the longest path. No empty edge table gives rows.
+    Nulls and loops are left out; repeated edges count once. Up to `one_task` edges are joined by one task; of more
+    the number of rounds grows with the logarithm of the longest path. No empty edge table gives rows.
     """
-    open_ = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    open_ = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges")
+    if open_.count() <= one_task:
+        return settle(open_.coalesce(1).mapInArrow(_at_once, "node long, root long"), "roots")
+    open_ = settle(open_.distinct(), "edges")
     roots = None
     while not open_.isEmpty():
         hook = open_.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))

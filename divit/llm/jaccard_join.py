@@ -37,9 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, forest
 from .shared import fresh, quoted, release, remove, settle, settle_by, small_batches
-from .subspace_dedup import _forest
 from .textbytes import mix, shingle_sets, steps
 
 CHUNK, SMALL, LEVELS, SEEN = 256, 64, 3, 100_000
@@ -192,22 +191,22 @@ def _whole(words: int):
 def _compared(percent: int, order):
     """Exact comparison of a document with its candidates; its own row comes first in each group.
 
-    With an order of pivots, each candidate's part in the region of the document and in that of the empty set too.
+    Of the members of a `star`, also each one's part in the region of the document and in that of the empty set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = None if order is None else order.value
+        weight = order.value
         for (a, _), rows in _groups(batches, ("a", "chunk")):
             own, usual, out, held = None, 0.0, [], 0
             for r in rows:
                 s = np.frombuffer(r["set"], np.uint64)
                 if r["b"] is None:
                     own = s
-                    if weight is not None:
+                    if r["star"]:
                         usual = np.median(np.exp2(weight[(own & np.uint64(len(weight) - 1)).astype(np.int64)] / 4.0))
                     continue
                 linked = _linked(own, s, percent)
-                if weight is None:
+                if not r["star"]:
                     if linked:
                         out.append((a, r["b"], True, len(s), False, None, None))
                     continue
@@ -266,7 +265,7 @@ def _region(percent: int):
                 i, j = np.nonzero((100 + percent) * (size[some, None] + size - 2 * both[some]) <= (100 - percent) * (n[some, None] + n))
                 i += at
                 new = (i < j) & (cls[i] != cls[j])
-                root = _forest(len(ids), np.append(i[new], np.arange(len(ids))), np.append(j[new], root))
+                root = forest(len(ids), np.append(i[new], np.arange(len(ids))), np.append(j[new], root))
             moved = np.flatnonzero(root != np.arange(len(ids)))
             yield pa.record_batch([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["a", "b"])
 
@@ -277,13 +276,13 @@ def _parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _compare(pairs: DataFrame, sets: list[DataFrame], percent: int, order=None) -> DataFrame:
-    """The pairs (a, b) that link, or with an order all of them with b's regions. A document with many partners is dealt out in chunks."""
+def _compare(pairs: DataFrame, sets: list[DataFrame], percent: int, order) -> DataFrame:
+    """Those of pairs(a, b, star) that link, and all of a star with b's regions. A document with many partners is dealt out in chunks."""
     many = pairs.groupBy("a").count().where(f"count > {CHUNK}")
-    pairs = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("count", F.lit(1)) / CHUNK)).alias("chunk"))
-    firsts = pairs.select("a", "chunk").distinct()
-    theirs = [pairs.join(s.withColumnRenamed("doc", "b"), "b").select("a", "chunk", "b", "set") for s in sets]
-    own = [firsts.join(s.withColumnRenamed("doc", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "set") for s in sets]
+    pairs = pairs.join(many, "a", "left").select("a", "b", "star", F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("count", F.lit(1)) / CHUNK)).alias("chunk"))
+    firsts = pairs.groupBy("a", "chunk").agg(F.max("star").alias("star"))
+    theirs = [pairs.join(s.withColumnRenamed("doc", "b"), "b").select("a", "chunk", "b", "star", "set") for s in sets]
+    own = [firsts.join(s.withColumnRenamed("doc", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "star", "set") for s in sets]
     both = functools.reduce(DataFrame.unionByName, own + theirs).repartition(_parts(pairs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
     run, schema = _compared(percent, order)
     return both.mapInArrow(run, schema)
@@ -314,6 +313,11 @@ def _named(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes.select(F.col("node").alias("doc"), F.col("root").alias("cls")), "doc", "left").withColumn("cls", F.coalesce("cls", "doc"))
 
 
+def _edges(classes: DataFrame) -> DataFrame:
+    """The links that hold classes together."""
+    return classes.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def _mixed(rows: DataFrame, key: list[str]) -> DataFrame:
     """Those of rows(key, cls, ...) whose key has two classes."""
     return rows.join(rows.groupBy(*key).agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select(*key), key, "left_semi")
@@ -365,28 +369,26 @@ def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[D
 
     # Around pivots first: links contract documents into classes.
     met = open_.where("doc <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("c"))
-    met = settle(met.where(f"c >= {depth}").select("a", "b"), "star")
-    links = settle(_compare(met, sets.of(met), percent).select("a", "b"), "found")
-    classes = settle(components(links), "classes")
+    met = settle(met.where(f"c >= {depth}").select("a", "b", F.lit(False).alias("star")), "star")
+    classes = components(_compare(met, sets.of(met), percent, order).select("a", "b"))
 
     # Then small cells pair by pair, and large ones by regions and again.
     level = 0
     while not open_.isEmpty():
         last = level == LEVELS
-        named = _named(open_, classes)
-        small = _pairs_in(named if last else named.where(f"members <= {SMALL}"), last)
-        small = _likely(small, percent, depth if level == 0 else 1)
-        small = settle(small, "pairs")
-        found = _compare(small, sets.of(small), percent).select("a", "b")
-        big = settle(_mixed(named.where(f"members > {SMALL}"), ["cell"]).where(F.lit(not last)), "big")
-        met = settle(big.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "members")
+        named = settle(_mixed(_named(open_, classes), ["cell"]), "named")
+        small = _likely(_pairs_in(named if last else named.where(f"members <= {SMALL}"), last), percent, depth if level == 0 else 1)
+        big = named.where(f"members > {SMALL}").where(F.lit(not last))
+        met = big.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
+        met = settle(small.withColumn("star", F.lit(False)).unionByName(met.withColumn("star", F.lit(True))), "pairs")
+        if met.isEmpty():
+            break
         parts = settle(_compare(met, sets.of(met), percent, order), "regions")
-        found = settle(found.unionByName(parts.where("linked").select("a", "b")), "found")
         release(spark)
+        found = parts.where("linked").select("a", "b")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            classes = settle(components(links), "classes")
-        if last:
+            classes = components(_edges(classes).unionByName(found))
+        if last or big.isEmpty():
             break
         # Only regions and cells that still hold two classes go on.
         near = _mixed(_named(parts.where("cells is not null").withColumnRenamed("b", "doc"), classes), ["a"])
@@ -394,8 +396,7 @@ def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[D
         near = settle(near.join(held, "a"), "near")
         inside = near.where("fits").select("a", "doc", "cls", "n", "apart").repartition(n, "a").sortWithinPartitions("a", "doc").mapInArrow(_region(percent), "a long, b long")
         if not (inside := settle(inside, "inside")).isEmpty():
-            links = links.unionByName(inside)
-            classes = settle(components(links), "classes")
+            classes = components(_edges(classes).unionByName(inside))
         near = near.where("not fits").select(F.explode("cells").alias("cell"), "doc", "n", F.lit(0).alias("rank"))
         far = _mixed(_named(parts.where("far").withColumnRenamed("b", "doc"), classes), ["a"]).select(F.col("a").alias("pivot"), "doc")
         far = big.join(far, ["pivot", "doc"], "left_semi").select("cell", "doc", "n")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, forest
 from .shared import settle, small_batches
 
 WIDTH, CELL, TILE = 8, 8192, 1024
@@ -73,22 +73,6 @@ def _copies(t: float, grid: int):
     return run
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest place that each of n places reaches over the links (a, b)."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new[root]
-    return root
-
-
 def _joined(cosine: float, t: float):
     """Links of one (label, block, cell, part): how many each vector has, and a spanning forest."""
 
@@ -129,7 +113,7 @@ def _joined(cosine: float, t: float):
                     i, j = i[~first], j[~first]
                 if len(i):
                     links += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-                    root = _forest(len(ids), np.concatenate([i, np.arange(len(ids))]), np.concatenate([j, root]))
+                    root = forest(len(ids), np.concatenate([i, np.arange(len(ids))]), np.concatenate([j, root]))
             k = np.flatnonzero(links)
             if len(k):
                 yield pa.record_batch([pa.array(ids[k]), pa.array(ids[root[k]]), pa.array(links[k])], names=["a", "b", "n"])

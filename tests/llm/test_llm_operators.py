@@ -341,3 +341,17 @@ def test_planted_keys_are_found(spark):
     assert sum(len(x.spans) for x in scan_secrets(spark.createDataFrame(lone, "doc_id long, text string")).collect()) >= 4
     left = {x.doc_id: x.text for x in redact(df).collect()}
     assert all((keys[i] in left[i]) == (found[i] == 0) for i in range(60))
+
+
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_by_rounds_and_by_one_task(spark, one_task):
+    from divit.llm.graph import components as reached
+
+    rng = np.random.default_rng(5)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(i, i + 1) for i in range(100, 160)] + [(7, 7), (None, 3)]
+    links += links[:5]
+    got = {r.node: r.root for r in reached(spark.createDataFrame(links, "a long, b long"), one_task).collect()}
+    own = [(a, b) for a, b in links if a is not None and a != b]
+    root = components(161, own)
+    assert got == {n: int(root[n]) for pair in own for n in pair}
+    assert reached(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
