@@ -217,6 +217,39 @@ def loo_outcomes(spark, sf):
     return context.outcomes(context.leave_one_out(toks, vocabulary.ambiguous(doc_pairs(spark, sf))))
 
 
+def _bayes_spots(spark, sf):
+    """(occurrences of ambiguous keys by source and context, ambiguous keys)."""
+    first = vocabulary.ambiguous(doc_pairs(spark, sf)).select("k", "first")
+    toks = doc_tokens(spark, sf, "source", around=2).where("source is not null")
+    return vocabulary.counts(toks, "k", "source", "w", *context.AROUND).join(first.select("k"), "k", "left_semi"), first
+
+
+def _bayes_outcomes(spark, sf):
+    spots, first = _bayes_spots(spark, sf)
+    return context.threshold_outcomes(spots, context.bayes_choice(spots, spots, first, "source"), "source")
+
+
+@query
+def nb_choice(spark, sf):
+    """The documents' model chooses spellings in conversations."""
+    spots, first = _bayes_spots(spark, sf)
+    talk = tokens(table(spark, sf, "conversations"), around=2).join(first.select("k"), "k", "left_semi")
+    found = context.bayes_choice(talk, spots, first, least=2, real=True)
+    return found.select("k", *context.AROUND, "chosen", "margin", "evidence", context.at_threshold(F.lit(1.0)).alias("taken"))
+
+
+@query
+def nb_outcomes(spark, sf):
+    """A24."""
+    return _bayes_outcomes(spark, sf).groupBy("threshold", "outcome").agg(F.sum("n").alias("n"))
+
+
+@query
+def threshold_pick(spark, sf):
+    """A25."""
+    return context.threshold_pick(_bayes_outcomes(spark, sf))
+
+
 @query
 def foreign_islands(spark, sf):
     """Runs of words that the benchmark lacks."""

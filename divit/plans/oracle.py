@@ -56,6 +56,36 @@ _BLOCKS = f"""blocks AS (SELECT u.k, bw.k AS entry FROM unknown u JOIN bw ON {_S
 WHERE length({_SKELETON.format('u.k')}) >= 2 AND u.k <> bw.k)"""
 _ENDS = "ends AS (SELECT k, left(k, length(k) - size) AS root, right(k, size) AS suffix FROM dw, (SELECT unnest([2, 3, 4, 5, 6, 7, 8]) AS size) WHERE length(k) >= size + 2),\ncand AS (SELECT suffix, count(*) AS words FROM ends GROUP BY suffix HAVING count(*) >= 20)"
 
+_CONTEXT = "l1, r1, l2, r2"
+_FEATURES = "unnest(['L1:' || l1, 'R1:' || r1, 'L2:' || l2, 'R2:' || r2]) AS feature"
+
+
+def _bayes(spots: str, work: bool, least: int, shown: str) -> str:
+    """Common table expressions from seen (k, w, source, context, n): choice (the context of `spots`, usual, chosen, margin, evidence)."""
+    by, on = (", source", " AND y.source = x.source") if work else ("", "")
+    own, f_own = ("coalesce(y.n, 0)", "coalesce(y.n, 0)") if work else ("0", "0")
+    join = f"LEFT JOIN sp y ON y.k = x.k AND y.c = t.c{on}" if work else ""
+    f_join = f"LEFT JOIN feats y ON y.k = x.k AND y.c = x.c AND y.feature = x.feature{on}" if work else ""
+    return f"""feats AS (SELECT k, w AS c{by}, feature, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, {_FEATURES} FROM seen) GROUP BY ALL),
+f_all AS (SELECT k, c, feature, CAST(sum(n) AS BIGINT) AS n FROM feats GROUP BY ALL HAVING sum(n) >= {least}),
+sp AS (SELECT k, w AS c{by}, CAST(sum(n) AS BIGINT) AS n FROM seen GROUP BY ALL),
+ctx AS (SELECT DISTINCT k{by}, {_CONTEXT} FROM {spots}),
+cands AS (SELECT x.*, t.c, t.n - {own} AS c_n FROM (SELECT DISTINCT k{by} FROM ctx) x JOIN (SELECT k, c, CAST(sum(n) AS BIGINT) AS n FROM sp GROUP BY ALL) t ON t.k = x.k {join}),
+priors AS (SELECT *, ln(CAST(c_n AS DOUBLE) / CAST(sum(c_n) OVER (PARTITION BY k{by}) AS DOUBLE)) AS prior FROM cands WHERE c_n > 0),
+met AS (SELECT x.*, coalesce(z.n, 0) - {f_own} AS f_n FROM (SELECT e.*, p.c, p.c_n, p.prior FROM (SELECT *, {_FEATURES} FROM ctx) e JOIN priors p USING (k{by})) x
+  LEFT JOIN f_all z ON z.k = x.k AND z.c = x.c AND z.feature = x.feature {f_join}),
+scored AS (SELECT m.k{by}, {_CONTEXT}, c, first(a."first") AS f, round(first(prior) + sum(ln((f_n + CAST(0.1 AS DOUBLE)) / (c_n + CAST(5 AS DOUBLE)))), 9) AS score, max({shown}) AS evidence
+  FROM met m JOIN amb a ON m.k = a.k GROUP BY m.k{by}, {_CONTEXT}, c),
+choice AS (SELECT k{by}, {_CONTEXT}, f, b.c AS chosen, round(b.score - base, 6) AS margin, b.evidence AS evidence FROM (
+  SELECT k{by}, {_CONTEXT}, f, min_by({{'c': c, 'score': score, 'evidence': evidence}}, row(-score, c <> f, c)) AS b, max(score) FILTER (WHERE c = f) AS base FROM scored GROUP BY k{by}, {_CONTEXT}, f) WHERE base IS NOT NULL)"""
+
+
+_SEEN = f"seen AS (SELECT k, w, source, {_CONTEXT}, count(*) AS n FROM near WHERE source IS NOT NULL AND k IN (SELECT k FROM amb) GROUP BY ALL)"
+_TAKEN = "CASE WHEN margin >= {0} AND evidence >= 2 THEN chosen ELSE f END"
+_OUTCOMES = _with(_DS, _NEAR, _PAIRS, _AMBIGUOUS, _SEEN, _bayes("seen", True, 1, "f_n"), f"""tried AS (SELECT *, {_TAKEN.format('threshold')} AS taken FROM
+  (SELECT s.k, s.w, s.n, c.f, c.chosen, c.margin, c.evidence, CAST(unnest([1, 2, 3, 4, 5]) AS DOUBLE) AS threshold FROM seen s JOIN choice c USING (k, source, {_CONTEXT}))),
+kinds AS (SELECT threshold, k, n, CASE WHEN taken = f AND w = f THEN 'kept_right' WHEN taken = f THEN 'kept_wrong' WHEN taken = w THEN 'fixed' WHEN w = f THEN 'broken' ELSE 'wrong_to_wrong' END AS outcome FROM tried)""")
+
 
 def _index(derived: str, more: str = "") -> str:
     return _with(_D, _DW, _GIVEN) + f"SELECT derived, min(k) AS k FROM (SELECT {derived.format('k')} AS derived, k FROM dg) WHERE derived <> k AND derived NOT IN (SELECT k FROM dg){more} GROUP BY derived"
@@ -119,6 +149,14 @@ scored AS (SELECT z.k, z.source, z.l1, z.r1, z.w, z.f, z.s, z.n, z.side, coalesc
   FROM cands z LEFT JOIN o ON z.k = o.k AND z.source = o.source AND z.c = o.w LEFT JOIN lo ON z.k = lo.k AND z.source = lo.source AND z.l1 = lo.l1 AND z.c = lo.w LEFT JOIN ro ON z.k = ro.k AND z.source = ro.source AND z.r1 = ro.r1 AND z.c = ro.w),
 chosen AS (SELECT w, n, CASE WHEN max(score) FILTER (WHERE side = 2) > max(score) FILTER (WHERE side = 1) THEN s ELSE f END AS chosen, CASE WHEN max(o) FILTER (WHERE side = 2) > max(o) FILTER (WHERE side = 1) THEN s ELSE f END AS major FROM scored GROUP BY k, source, l1, r1, w, f, s, n)""")
     + "SELECT CASE WHEN chosen = w AND major = w THEN 'both_right' WHEN chosen = w THEN 'fixed' WHEN major = w THEN 'broken' ELSE 'both_wrong' END AS outcome, CAST(sum(n) AS BIGINT) AS n FROM chosen GROUP BY 1",
+    "nb_choice": _with(_DS, _NEAR, _PAIRS, _AMBIGUOUS, _SEEN, _tokens("c", "conversations", "conv_id, turn"), _NEAR.replace("near AS", "talk_near AS").replace("FROM d ", "FROM c ").replace("doc_id", "conv_id, turn"),
+                       "talk AS (SELECT * FROM talk_near WHERE k IN (SELECT k FROM amb))", _bayes("talk", False, 2, "CASE WHEN feature[4:] <> '#' THEN f_n ELSE 0 END"))
+    + f"SELECT k, {_CONTEXT}, chosen, margin, evidence, {_TAKEN.format('1')} AS taken FROM choice",
+    "nb_outcomes": _OUTCOMES + "SELECT threshold, outcome, CAST(sum(n) AS BIGINT) AS n FROM kinds GROUP BY ALL",
+    "threshold_pick": _OUTCOMES + """, sums AS (SELECT threshold, k, coalesce(sum(n) FILTER (WHERE outcome = 'fixed'), 0) AS good, coalesce(sum(n) FILTER (WHERE outcome IN ('broken', 'wrong_to_wrong')), 0) AS bad FROM kinds GROUP BY ALL),
+kept AS (SELECT threshold, count(*) AS words, CAST(sum(good) AS BIGINT) AS fixed FROM sums WHERE bad = 0 AND good >= 3 GROUP BY threshold),
+every AS (SELECT e.threshold, coalesce(words, 0) AS words, coalesce(fixed, 0) AS fixed FROM (SELECT CAST(unnest([1, 2, 3, 4, 5]) AS DOUBLE) AS threshold) e LEFT JOIN kept ON e.threshold = kept.threshold)
+SELECT threshold, words, fixed, row_number() OVER (ORDER BY fixed DESC, threshold) = 1 AS picked FROM every""",
     "foreign_islands": _with(_DS, _B, _BW) + "SELECT doc_id, par, min(pos) AS first_pos, count(*) AS length FROM (SELECT doc_id, par, pos, pos - row_number() OVER (PARTITION BY doc_id, par ORDER BY pos) AS run FROM d WHERE k NOT IN (SELECT k FROM bw)) GROUP BY doc_id, par, run HAVING count(*) >= 2",
     "concordance_5": _with(_DS, _B, _BW, "near5 AS (SELECT *, " + ", ".join(f"coalesce({f}(k, {i}) OVER q, '#') AS {t}{i}" for f, t in (("lag", "l"), ("lead", "r")) for i in range(1, 6)) + " FROM d WINDOW q AS (PARTITION BY doc_id, par ORDER BY pos))")
     + "SELECT doc_id, par, pos, k, concat_ws(' ', l5, l4, l3, l2, l1, w, r1, r2, r3, r4, r5) AS line FROM near5 WHERE k IN (SELECT k FROM bw)",

@@ -85,3 +85,31 @@ def test_arrivals(spark, tmp_path):
     q = run_arrivals(spark, str(tmp_path / "in"), "text string", tokens, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_bayes_choice_by_hand(spark):
+    import math
+
+    model = spark.createDataFrame([("k", "a", "x", "#", "#", "#", 3), ("k", "b", "y", "#", "#", "#", 2)], "k string, w string, l1 string, r1 string, l2 string, r2 string, n long")
+    first = spark.createDataFrame([("k", "a")], "k string, first string")
+    seen = spark.createDataFrame([("k", "y", "#", "#", "#"), ("k", "x", "#", "#", "#"), ("k", "z", "#", "#", "#"), (None, "x", "#", "#", "#")], "k string, l1 string, r1 string, l2 string, r2 string")
+    got = {r.l1: r for r in context.bayes_choice(seen, model, first, real=True).collect()}
+    score = lambda n, side, f: math.log(n / 5) + math.log((side + 0.1) / (n + 5)) + 3 * math.log((f + 0.1) / (n + 5))
+    assert set(got) == {"x", "y", "z"}
+    assert (got["y"].chosen, got["y"].evidence) == ("b", 2) and abs(got["y"].margin - (score(2, 2, 2) - score(3, 0, 3))) < 2e-6
+    assert (got["x"].chosen, got["x"].margin, got["x"].evidence) == ("a", 0.0, 3)
+    assert got["z"].evidence == 0  # edges of lines are no evidence
+    assert context.bayes_choice(seen.limit(0), model, first).count() == 0
+
+
+def test_threshold_outcomes_and_pick(spark):
+    around = ("x", "#", "#", "#")
+    spots = spark.createDataFrame([("k", "s1", *around, "b", 4), ("k", "s1", *around, "a", 1), ("j", "s1", *around, "b", 3)], "k string, source string, l1 string, r1 string, l2 string, r2 string, w string, n long")
+    choices = spark.createDataFrame([("k", "s1", *around, "a", "b", 2.5, 2), ("j", "s1", *around, "a", "b", 1.5, 9)],
+                                    "k string, source string, l1 string, r1 string, l2 string, r2 string, first string, chosen string, margin double, evidence long")
+    per = context.threshold_outcomes(spots, choices, "source")
+    got = {(r.threshold, r.k, r.outcome): r.n for r in per.collect()}
+    assert got[2.0, "k", "fixed"] == 4 and got[2.0, "k", "broken"] == 1 and got[3.0, "k", "kept_wrong"] == 4 and got[3.0, "k", "kept_right"] == 1
+    assert got[1.0, "j", "fixed"] == 3 and got[2.0, "j", "kept_wrong"] == 3
+    picked = {r.threshold: (r.words, r.fixed, r.picked) for r in context.threshold_pick(per).collect()}
+    assert picked == {1.0: (1, 3, True), 2.0: (0, 0, False), 3.0: (0, 0, False), 4.0: (0, 0, False), 5.0: (0, 0, False)}
