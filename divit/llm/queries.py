@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collision_ann import nearest
+from .fill_middle import digests
 from .jaccard_join import jaccard_components
 from .language_id import identify_languages
 from .license_scan import scan_licenses
+from .media_columns import text_sounds
 from .mixing import mix_sources
 from .packing import pack_documents
 from .secret_scan import KINDS, scan_secrets
 from .subspace_dedup import near_duplicate_vectors
 from .toxicity import score_toxicity
 from .url_filter import filter_urls
+from .whitening import whiten
 
 #: The url rules of the contract: (verdict, host/path).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -81,6 +84,42 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.expr(line.format("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_packing, op4_embedding_near_dedup, op5_source_mixing, op6_license_scan, op7_url_filter, op8_nearest_neighbours, op9_language_id, op10_secret_scan)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for filling in its middle, and restored."""
+    return digests(_table(spark, sf_dir, "documents"))
 
-ORACLE: dict[str, str] = {}
+
+def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a sound file that is kept in chunks and read back."""
+    return text_sounds(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, whitened along their first 32 components."""
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_toxicity, op3_packing, op4_embedding_near_dedup, op5_source_mixing, op6_license_scan, op7_url_filter,
+        op8_nearest_neighbours, op9_language_id, op10_secret_scan, op11_fill_middle, op12_media_columns, op13_embedding_whitening,
+    )
+}
+
+#: Sentinels, cuts and outputs of the fill-in-the-middle query; the text itself stands for what is restored.
+_FILL = """
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+num AS (SELECT doc_id, t, length(t) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM drawn),
+cut AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM num
+),
+parts AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+ORACLE: dict[str, str] = {"op11_fill_middle": _FILL}
