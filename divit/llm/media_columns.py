@@ -4,6 +4,9 @@ A rolling gear hash over the last 32 bytes cuts each payload where its content s
 it stands. A payload is kept as the ordered list of its chunks' digests; each chunk is kept once, compressed, in a table dealt out by digest.
 Lists of equal payloads are stored once too. Reading joins the lists with the chunks, puts the chunks of a payload in order and verifies the digest of the whole.
 
+Payloads are on the move by halves: chunks are stored in `ROUNDS` classes of digests, one after the other, and payloads are read in as many classes, so that at no time
+more than a share of the bytes lies in shuffle files beside the store.
+
 Digests that stand for more than one in `HOT` of all references meet their chunk by a broadcast of those chunks (fewer than `HOT`, each of `MOST` bytes at
 most); all others by a join that moves references only, as the chunks lie dealt out already.
 """
@@ -20,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fresh, quoted, release, settle, settle_by, small_batches
@@ -29,6 +32,8 @@ from .textbytes import steps
 #: Least, usual and most bytes of a chunk.
 LEAST, USUAL, MOST = 1024, 4096, 16384
 HOT = 256
+#: Classes of digests, by their first byte.
+ROUNDS = 2
 #: The text payload is padded with spaces to a multiple of this.
 UNIT = 192
 HEADER = 44
@@ -87,11 +92,16 @@ def as_it_is(value: bytes | None) -> bytes:
 
 @dataclass
 class MediaStore:
-    """rows: the stored rows with their media digest; lists: (media, at, digest, size), once per distinct payload; data: (digest, data), once per distinct chunk."""
+    """rows: the stored rows with their media digest; lists: (media, at, digest, size), once per distinct payload; data: for each class of digests (digest, data), once per distinct chunk."""
 
     rows: DataFrame
     lists: DataFrame
-    data: DataFrame
+    data: list[DataFrame]
+
+
+def _class(digest: str) -> Column:
+    """The class of a digest column: its first byte modulo the number of classes."""
+    return F.conv(F.hex(F.substring(digest, 1, 1)), 16, 10).cast("int") % ROUNDS
 
 
 def store_media(df: DataFrame, column: str, wrap: Callable[[bytes | None], bytes] = as_it_is) -> MediaStore:
@@ -121,22 +131,26 @@ def store_media(df: DataFrame, column: str, wrap: Callable[[bytes | None], bytes
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1]) + "m binary, l array<struct<digest:binary,size:int>>"
     told = settle(plain.mapInArrow(listed, schema), "media_rows")
     rows = told.drop("l").toDF(*others, name)
-    lists = told.select("m", "l").groupBy("m").agg(F.first("l").alias("l")).selectExpr("m as media", "posexplode(l) as (at, c)").selectExpr("media", "at", "c.digest", "c.size")
+    lists = settle(told.select("m", "l").groupBy("m").agg(F.first("l").alias("l")).selectExpr("m as media", "posexplode(l) as (at, c)").selectExpr("media", "at", "c.digest", "c.size"), "media_lists")
 
-    def data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=5)
-        for batch in batches:
-            for part in steps(batch, "v", 1 << 20):
-                own = {}
-                for v in pc.unique(part.column("v").cast(pa.large_binary())).to_pylist():
-                    own |= {d: c for d, c in chunks(wrap(v))}
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([pack.compress(c) for c in own.values()], pa.binary())], names=["digest", "data"])
+    def data(number: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pack = zstandard.ZstdCompressor(level=5)
+            for batch in batches:
+                for part in steps(batch, "v", 1 << 20):
+                    own = {}
+                    for v in pc.unique(part.column("v").cast(pa.large_binary())).to_pylist():
+                        own |= {d: c for d, c in chunks(wrap(v)) if d[0] % ROUNDS == number}
+                    yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([pack.compress(c) for c in own.values()], pa.binary())], names=["digest", "data"])
+
+        return run
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    single = df.select(values.alias("v")).mapInArrow(data, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
-    store = MediaStore(rows, lists, settle_by(single, "chunks", "digest", n))
-    release(spark)
-    return store
+    n, parts = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+    for number in range(ROUNDS):
+        single = df.select(values.alias("v")).mapInArrow(data(number), "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
+        parts.append(settle_by(single, "chunks", "digest", n))
+        release(spark)
+    return MediaStore(rows, lists, parts)
 
 
 def met(left: DataFrame, right: DataFrame, key: str, hot: int = HOT) -> DataFrame:
@@ -148,10 +162,14 @@ def met(left: DataFrame, right: DataFrame, key: str, hot: int = HOT) -> DataFram
     return few_left.join(right.hint("merge"), key).unionByName(left.join(F.broadcast(hot_right), key))
 
 
-def _ordered(store: MediaStore) -> DataFrame:
+def _ordered(store: MediaStore, lists: DataFrame) -> DataFrame:
     """The chunks of each payload next to one another and in order."""
-    n = int(store.data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met(store.lists, store.data, "digest").select("media", "at", "size", "data").repartition(n, "media").sortWithinPartitions("media", "at")
+    spark = lists.sparkSession
+    found = None
+    for number, data in enumerate(store.data):
+        part = met(lists.where(_class("digest") == number), data, "digest").select("media", "at", "size", "data")
+        found = part if found is None else found.unionByName(part)
+    return found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "media").sortWithinPartitions("media", "at")
 
 
 class Broken(ValueError):
@@ -255,7 +273,7 @@ def _read(kind: type[_Whole], types: list[tuple[str, pa.DataType]], flush: int)
 
 def read_payloads(store: MediaStore) -> DataFrame:
     """(media, payload): each distinct payload that isn't empty, once, put together from its chunks and verified."""
-    return _ordered(store).mapInArrow(_read(_Payload, [("media", pa.binary()), ("payload", pa.binary())], 16), "media binary, payload binary")
+    return _ordered(store, store.lists).mapInArrow(_read(_Payload, [("media", pa.binary()), ("payload", pa.binary())], 16), "media binary, payload binary")
 
 
 def read_sounds(store: MediaStore) -> DataFrame:
@@ -265,7 +283,12 @@ def read_sounds(store: MediaStore) -> DataFrame:
     128, and the counts of 16 classes of loudness.
     """
     types = [("media", pa.binary()), ("media_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())]
-    return _ordered(store).mapInArrow(_read(_Sound, types, 1024), "media binary, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    schema, out = "media binary, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string", None
+    for number in range(ROUNDS):
+        told = settle(_ordered(store, store.lists.where(_class("media") == number)).mapInArrow(_read(_Sound, types, 1024), schema), "sounds")
+        out = told if out is None else out.unionByName(told)
+        release(told.sparkSession)
+    return out
 
 
 def text_sounds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,6 +300,4 @@ def text_sounds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(quoted(text_col)).cast("string")
     slim = docs.select(F.col(quoted(id_col)).alias("doc"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
     store = store_media(slim, "text", text_media)
-    told = settle(read_sounds(store), "sounds")
-    release(docs.sparkSession)
-    return met(store.rows, told, "media").select(F.col("doc").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")
+    return met(store.rows, read_sounds(store), "media").select(F.col("doc").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")

@@ -144,17 +144,18 @@ def test_media_store_keeps_chunks_once_and_verifies(spark):
     df = spark.createDataFrame([(i, v, "x", "y") for i, v in enumerate(values)], "id int, clip binary, media string, `a.b` string")
     store = MC.store_media(df, "clip")
     assert store.rows.columns == ["id", "media", "a.b", "media_"] and store.rows.count() == len(values)
-    n = store.data.count()
-    assert n == store.data.select("digest").distinct().count() == len({d for v in values for d, _ in MC.chunks(v or b"")}) < store.lists.count()
+    data = store.data[0].union(store.data[1])
+    n = data.count()
+    assert n == data.select("digest").distinct().count() == len({d for v in values for d, _ in MC.chunks(v or b"")}) < store.lists.count()
     back = {bytes(x.media): bytes(x.payload) for x in MC.read_payloads(store).collect()}
     for x in store.rows.collect():
         v = values[x.id] or b""
         assert bytes(x["media_"]) == hashlib.sha256(v).digest() and (not v or back[bytes(x["media_"])] == v)
-    lost = MC.MediaStore(store.rows, store.lists, store.data.where(F.col("digest") != store.data.orderBy("digest").first().digest))
+    lost = MC.MediaStore(store.rows, store.lists, [store.data[0].where(F.col("digest") != store.data[0].orderBy("digest").first().digest), store.data[1]])
     with pytest.raises(Exception, match="missing|make it up"):
         MC.read_payloads(lost).collect()
     empty = MC.store_media(df.limit(0), "clip")
-    assert empty.rows.count() == empty.data.count() == MC.read_payloads(empty).count() == 0
+    assert empty.rows.count() == empty.data[0].count() == MC.read_payloads(empty).count() == 0
 
 
 def test_joins_of_hot_digests(spark):
