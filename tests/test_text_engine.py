@@ -1,0 +1,28 @@
+"""The text engine's queries against their SQL, and its operators by hand cases, brute force and on odd rows."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from divit.plans import text_engine
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(text_engine.QUERIES))
+def test_query_and_sql_agree(spark, sf, duck, name):
+    df = text_engine.QUERIES[name](spark, sf)
+    cols = sorted(df.columns)
+    got = sorted(repr(tuple(r)) for r in df.select(*cols).collect())
+    assert got
+    if name in text_engine.ORACLE:
+        found = duck.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({text_engine.ORACLE[name]})").fetchall()
+        assert got == sorted(repr(tuple(r)) for r in found)
