@@ -7,7 +7,8 @@ uniformity over the alphabet (folded until five are expected in a cell), a runs
 serial correlation; the three p-values combine by Fisher's method. Random strings have uniform p-values, other strings
 p-values near 0. So over the distinct strings of all documents, per encoding and length class, twice the number above 1/2 estimates the
 random strings, and the least threshold at which the others' share among the accepted is at most `rate` is taken. Shares of small classes are
-shrunk towards those of all classes together, so that a lone secret is judged by these.
+shrunk towards those of all classes together, and these towards a prior in which half of the strings are random, by one formula for any number of strings:
+a lone secret is judged by the prior.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _WORDS = ("passw", "secret", "token", "api_key", "apikey")
 
 #: Runs shorter than SHORTEST give the chi-squared test fewer than four cells of five expected digits. A class' shares are shrunk towards those of
-#: all classes, which count as FEW more strings.
-SHORTEST, BINS, FEW, LONE = 20, 20, 20, 0.01
+#: all classes, which count as FEW more strings, and these towards the prior in the same way. Natural strings lie in the first bin of the prior.
+SHORTEST, BINS, FEW = 20, 100, 60
+PRIOR = [0.5 + 0.5 / BINS] + [0.5 / BINS] * (BINS - 1)
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
 _DIGITS = "0123456789"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -144,11 +146,8 @@ def thresholds(scanned: DataFrame, rate: float) -> dict[tuple[str, int], float]:
     for r in distinct.groupBy("k", "l", "b").count().collect():
         bins.setdefault((r.k, r.l), [0] * BINS)[r.b] = r["count"]
     out = {}
-    whole = [sum(c) for c in zip(*bins.values())]
+    whole = [FEW * p + sum(c) for p, *c in zip(PRIOR, *bins.values())]
     for key, own in bins.items():
-        if sum(whole) < FEW:  # too few strings in all tables to estimate shares: accept what the tests don't reject at the level LONE
-            out[key] = LONE
-            continue
         n = [c + FEW * w / sum(whole) for c, w in zip(own, whole)]
         random = 2 * sum(n[BINS // 2 :])
         ok = [i for i in range(BINS // 2 + 1) if (kept := sum(n[i:])) and 1 - min(kept, random * (1 - i / BINS)) / kept <= rate]
