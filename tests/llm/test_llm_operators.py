@@ -299,7 +299,7 @@ def test_propagation_is_personalised_pagerank(spark):
 
     links = [("trust", "a", "b"), ("trust", "b", "c"), ("trust", "c", "a"), ("trust", "b", "d"), ("distrust", "x", "a"), ("distrust", "a", "x")]
     seeds = [("trust", "a", 3.0), ("distrust", "x", 2.0)]
-    got = {(r.kind, r.host): r.mass for r in propagate(spark.createDataFrame(links, "kind string, src string, dst string"), spark.createDataFrame(seeds, "kind string, host string, seed double"), left=1e-6).collect()}
+    got = {(r.kind, r.host): r.mass for r in propagate(spark.createDataFrame(links, "kind string, src string, dst string").selectExpr("*", "1.0D as weight"), spark.createDataFrame(seeds, "kind string, host string, seed double"), left=1e-6).collect()}
     mass = {(k, h): 0.15 * s for k, h, s in seeds}
     for _ in range(200):
         new = {(k, h): 0.15 * s for k, h, s in seeds}
@@ -321,6 +321,33 @@ def test_distrust_runs_along_links_of_other_hosts_and_all_ancestors(spark):
     assert rows[3].distrust > 0 and rows[6].distrust > 0 and rows[7].host == "" and rows[8].path == ""
 
 
+def test_strangers_keep_their_verdict(spark):
+    from divit.llm.url_filter import filter_urls
+
+    def verdicts(pages, rules):
+        return {r.page_id: r.verdict for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+
+    pages = [(i, f"http://spam.co.uk/en/{i}", "") for i in range(10)] + [(50, "http://a.co.uk/", ""), (51, "http://www.spam.co.uk/x", '<a href="http://spam.co.uk:80/en/1">'), (52, "http://c.uk:8080/", '<a href="//SPAM.co.uk/">')]
+    got = verdicts(pages, [("block", "spam.co.uk/en/")])
+    assert all(got[i] == "block" for i in range(10)) and (got[50], got[51], got[52]) == ("allow", "block", "block")
+    pages = [(i, f"http://9.1.2.3/bad{i}", "") for i in range(10)] + [(50, "http://10.1.2.3/x", ""), (51, "http://1.2.3/x", "")]
+    assert {verdicts(pages, [("block", "9.1.2.3/bad")])[i] for i in (50, 51)} == {"allow"}
+    pages = [(i, f"http://bad.host.io/{i}", "") for i in range(10)] + [(50, "http://host.io/", ""), (51, "http://other.host.io/", "")]
+    assert verdicts(pages, [("block", "bad.host.io/")])[51] == "allow"  # neighbours of one real parent
+
+
+def test_secret_thresholds_have_no_switch(spark):
+    """One more string never turns the thresholds over: they move little from 1 to 60 random strings."""
+    from divit.llm.secret_scan import BINS, thresholds
+
+    def cut(n):
+        more = [(1, [(0, 24, "alnum", (i + 0.5) / n, i)]) for i in range(n)]
+        return thresholds(spark.createDataFrame(more, "doc long, more array<struct<start:int,end:int,kind:string,p:double,name:bigint>>"), 0.1)["alnum", 4]
+
+    cuts = [cut(n) for n in (1, 5, 19, 20, 21, 60)]
+    assert all(c <= 2 / BINS for c in cuts) and cuts == sorted(cuts, reverse=True)
+
+
 def test_planted_keys_are_found(spark):
     import random
 
