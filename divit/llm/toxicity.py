@@ -13,6 +13,7 @@ pooling adjacent violators. A score depends on the text alone: equal texts score
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,10 +197,9 @@ def _scored(shared, k: int, knots, keep: bool):
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
                 place = np.minimum(np.searchsorted(known, term), max(0, len(known) - 1))
                 hit = known[place] == term if len(known) else np.zeros(len(term), bool)
-                name = np.bincount(row, weights=(mix(term ^ mix(times.astype(np.uint64))) >> np.uint64(24)).astype(np.float64), minlength=part.num_rows)
                 votes, near = [], []
-                for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    key = (float(name[i]), b - a)  # sums of 40-bit numbers are exact below 2**53
+                for a, b in zip(cuts, cuts[1:]):
+                    key = hashlib.blake2b(term[a:b].tobytes() + times[a:b].tobytes(), digest_size=16).digest()
                     if key not in seen:
                         h = hit[a:b]
                         found = index.nearest(place[a:b][h], times[a:b][h], k, times[a:b][~h])
