@@ -4,7 +4,8 @@ Inner products become distances by one more coordinate (the largest norm's rest)
 inner product. `HASHES` single projections give sorted arrays. Around a query's projection a window opens in each of them and widens round by
 round (virtual rehashing: nothing is hashed anew); each vector that enters a window collides once. Vectors with at least `THRESHOLD` collisions
 are verified by their exact inner product in double precision, and the rounds end when `SHARE` of an index segment and k vectors more
-have been verified. Segments of about `SEGMENT` vectors are indexed side by side, queries come in blocks of `QUERIES`, and each query's
+have been verified. Vectors of like norms (`NORMS` classes for each doubling of the square) are indexed together, each class with a largest norm of its own, so that the
+added coordinate stays small whatever the norms of a table are. Segments of about `SEGMENT` vectors of a class are indexed side by side, queries come in blocks of `QUERIES`, and each query's
 best of all segments are merged. `SHARE` is set by recall: on vectors without any structure the 20 nearest are hardly nearer than
 others; tests hold recall against brute force.
 """
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle, small_batches
+from .shared import quoted, settle, small_batches
 from .subspace_dedup import _usable
 
 HASHES, THRESHOLD, SHARE, STEP, WIDTH = 64, 34, 0.5, 1.15, 0.9
-SEGMENT, QUERIES = 8192, 1024
+SEGMENT, QUERIES, NORMS = 8192, 1024, 2
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,17 +122,24 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, id_col: str = "vec_id
     spark = vectors.sparkSession
     small_batches(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
+    rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("vec"))
     plain = "id long, dim int, sq double, raw binary"
     index = settle(rows.mapInArrow(_plain, plain), "index")
-    asked = vectors.where(queries).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec")).mapInArrow(_plain, plain)
+    asked = vectors.where(queries).select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("vec")).mapInArrow(_plain, plain)
     asked = settle(asked.groupBy("id", "dim").agg(F.min("raw").alias("raw")), "queries")
-    n, largest = index.agg(F.count("*"), F.max("sq")).first()
-    segments, blocks = max(1, -(-n // SEGMENT)), max(1, -(-asked.count() // QUERIES))
-    norm = F.lit(float(largest or 1.0)).alias("largest")
-    deal = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.select("dim", F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int").alias("segment"), deal(blocks).alias("block"), F.lit(False).alias("query"), "id", norm, "raw")
-    right = asked.select("dim", deal(segments).alias("segment"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("query"), "id", norm, "raw")
+    like = F.floor(F.log2("sq") * NORMS + 0.5).cast("int")  # norms about 1 lie in the middle of a class
+    index = index.withColumn("like", like)
+    classes, at = [], 0
+    for r in index.groupBy("dim", "like").agg(F.count("*").alias("n"), F.max("sq").alias("largest")).orderBy("dim", "like").collect():  # a row for each class of norms: a few thousand at most
+        parts = -(-r.n // SEGMENT)
+        classes.append((r.dim, r.like, at, parts, r.largest))
+        at += parts
+    segments, blocks = max(1, at), max(1, -(-asked.count() // QUERIES))
+    table = F.broadcast(spark.createDataFrame(classes, "dim int, like int, first int, parts int, largest double"))
+    deal = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = index.join(table, ["dim", "like"]).select("dim", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("segment"), deal.alias("block"), F.lit(False).alias("query"), "id", "largest", "raw")
+    every = F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1))
+    right = asked.join(table, "dim").select("dim", every.alias("segment"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("query"), "id", "largest", "raw")
     dealt = left.unionByName(right).repartition(max(n_parts, segments * blocks), "dim", "segment", "block").sortWithinPartitions("dim", "segment", "block", "query", "id")
     found = dealt.mapInArrow(_searched(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

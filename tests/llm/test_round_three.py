@@ -215,3 +215,24 @@ def test_whitening_in_several_passes(spark, monkeypatch):
     rows = [(i, [float(np.float32(c)) for c in r.normal(size=7)]) for i in range(50)]
     monkeypatch.setattr(WH, "SUMS", 9)
     check_whitening(WH.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect(), rows)
+
+
+@pytest.mark.parametrize("spread", ["one long", "lognormal 0.5", "lognormal 1"])
+def test_recall_on_unequal_norms(spark, spread):
+    from divit.llm.collision_ann import nearest
+
+    r = np.random.Generator(np.random.PCG64(6))
+    x = np.array([v.embedding for v in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect() if v.embedding], np.float64)
+    scale = np.where(np.arange(len(x)) == 7, 3.0, 1.0) if spread == "one long" else np.exp(r.normal(size=len(x)) * float(spread.split()[1]))
+    x = (x * scale[:, None]).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = {}
+    for row in nearest(df, "vec_id % 20 = 0").collect():
+        found.setdefault(row.query_id, set()).add(row.vec_id)
+    hits = 0
+    for q in found:
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-score)[:20].tolist()))
+    print(spread, hits / (20 * len(found)))
+    assert hits / (20 * len(found)) >= 0.9
