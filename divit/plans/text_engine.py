@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from divit.functions.letters import by_letters
-from divit.operators import cascade, claims, ownership, phrases, suffix_chains, suffix_rules, transliterate, vocabulary
+from divit.operators import alignment, cascade, claims, ownership, phrases, suffix_chains, suffix_rules, transliterate, verbs, vocabulary
 from divit.operators.text import paragraphs, tokens
 from divit.plans.catalogue import bench_words, doc_words, table
 from divit.plans.text_engine_sql import ACCENTS, ARTICLES, BLOCKERS, TURNERS
@@ -63,6 +63,12 @@ def chain_spelling(spark, sf):
     return found.select("k", "root", "sound", "spelling", F.array_join("parts", "+").alias("chain"))
 
 
+@query
+def verb_split(spark, sf):
+    """Words of documents that end as verbs do, with the longest ending that fits."""
+    return verbs.verb_forms(doc_words(spark, sf))
+
+
 def _bench_phrases(spark, sf) -> DataFrame:
     """Runs of two and three words, one blank between them, of a benchmark line."""
     cut = phrases.pieces(paragraphs(table(spark, sf, "benchmark"), "item_id"), "item_id")
@@ -112,6 +118,15 @@ def transliterate_documents(spark, sf):
     return transliterate.transliterate(lines, _letter_lexicon(spark, sf), spelled, "doc_id", "par")
 
 
+@query
+def unknown_suggestions(spark, sf):
+    """Words of documents that the benchmark lacks, with their number, the benchmark words in letters that fit best, and the veto of the best; no SQL twin, as the costs are aligned."""
+    n = tokens(table(spark, sf, "documents")).groupBy("k").agg(F.count(F.lit(1)).alias("seen")).join(bench_words(spark, sf), "k", "left_anti").where("length(k) >= 4")
+    entries = tokens(table(spark, sf, "benchmark")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).select(by_letters(F.translate("k", "'’", "")).alias("entry"), "n")
+    found = alignment.suggestions(n.select("k"), entries, most=3.0)
+    return found.join(n, "k").select("k", "seen", "entry", "n", F.round("cost", 6).alias("cost"), F.round("score", 6).alias("score"), "rank", alignment.veto(F.col("k"), F.col("entry")).alias("veto"))
+
+
 def _accent_pairs(spark, sf) -> DataFrame:
     """(k, made, right): words without their accents, and the spelling that most of their occurrences have (twice or more, in 70 % or more)."""
     toks = tokens(table(spark, sf, "documents"))

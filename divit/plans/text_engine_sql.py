@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from divit.functions.normalize import CIRCUMFLEX, LETTERS, ROMAN
 from divit.functions.ottoman import APOSTROPHES
+from divit.functions.verb_endings import NEGATED, NO_VERB, endings
 from divit.functions.suffixes import ALL_VOWELS, BACK, CONSONANTS, HARD, POSSESSIVE_CASE, forms, suffix_rows, transitions
 from divit.operators.lexicon import FLAT_EXCLUDED
 from divit.operators.phrases import SUFFIXED
@@ -68,6 +69,12 @@ WHERE NOT s.hard OR substring(p.rest, length(p.rest) - length(s.suffix), 1) IN (
     return ",\n".join(out) + f",\npeeled AS ({found})"
 
 
+_VERBS = f"""endings(ending, spelling, condition) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in endings())}),
+verbs AS (SELECT k, max_by(row(stem, ending, spelling)::STRUCT(stem VARCHAR, ending VARCHAR, spelling VARCHAR), row(length(ending), condition)) AS b FROM (SELECT dw.k, left(dw.k, length(dw.k) - length(e.ending)) AS stem, substring(dw.k, length(dw.k) - length(e.ending), 1) AS last, e.* FROM dw JOIN endings e ON right(dw.k, length(e.ending)) = e.ending AND length(dw.k) - length(e.ending) >= 2)
+WHERE regexp_matches(stem, '[aeıioöuü]') AND CASE condition WHEN 'vowel' THEN last IN ({_quoted('aeıioöuü')}) WHEN 'consonant' THEN last NOT IN ({_quoted('aeıioöuü')}) WHEN 'hard' THEN last IN ({_quoted(HARD)}) WHEN 'soft' THEN last NOT IN ({_quoted(HARD)}) WHEN 'r' THEN last = 'r' ELSE true END
+AND (ending NOT IN ({_quoted(NEGATED)}) OR right(stem, 2) IN ('me', 'ma')) AND NOT (ending IN ({_quoted(NO_VERB)}) AND right(stem, 2) = 'ek' AND length(stem) >= 5) GROUP BY k)"""
+
+
 def _by_letter(s: str, back: str) -> str:
     inner = f"translate(left({s}, length({s}) - 1), 'oöuüûiıîaâe', 'وووووییی' || 'اا')"
     last = f"translate(right({s}, 1), 'oöuüûiıîaeâ', 'وووووییی' || 'ههاا')"
@@ -137,14 +144,15 @@ ORACLE: dict[str, str] = {
     "suffix_peel": _with(_D, _DW, _B, _BW, _peel()) + "SELECT k, root, array_to_string(parts, '+') AS parts FROM peeled",
     "deep_roots": _with(_D, _DW, _B, _BW, _TRIED, _STEPS, _walk(5, 5, True), _ROOTED) + "SELECT k, root, array_to_string(parts, '+') AS parts FROM rooted",
     "chain_spelling": _with(_D, _DW, _B, _BW, _TRIED, _STEPS, _walk(5, 5, True), _ROOTED, _SLOTTED) + f"SELECT k, root, array_to_string(parts, '+') AS chain, sound, {_spelled('root', 'parts', 'sound')} AS spelling FROM slots",
+    "verb_split": _with(_D, _DW, _VERBS) + "SELECT k, b.stem AS stem, b.ending AS ending, b.spelling AS spelling, left(b.ending, 1) = 'y' AND right(b.stem, 1) <> 'e' AND right(b.stem, 2) <> 'ma' AS glide FROM verbs",
     "phrase_covered_tokens": _with(_SPANS) + "SELECT doc_id, count(*) AS phrases, CAST(sum(stop - start) AS BIGINT) AS covered, CAST(max(length(phrase)) AS INTEGER) AS longest FROM spans GROUP BY doc_id",
     "claim_layers": _with(_SPANS, _RAW, "on_phrase AS (SELECT doc_id, par, unnest(range(start, stop)) AS pos FROM spans)",
                           f"inner_ AS (SELECT r.doc_id, CASE WHEN r.w IN ({_quoted(n for n in ROMAN if len(n) > 1)}) THEN 'numeral' ELSE 'short' END AS layer FROM raw r ANTI JOIN on_phrase o ON o.doc_id = r.doc_id AND o.par = r.par AND o.pos = r.pos WHERE length(r.w) = 2 OR r.w IN ({_quoted(n for n in ROMAN if len(n) > 1)}))")
     + "SELECT doc_id, layer, count(*) AS claims, CAST(sum(n) AS BIGINT) AS words FROM (SELECT doc_id, 'phrase' AS layer, stop - start AS n FROM spans UNION ALL SELECT doc_id, layer, 1 FROM inner_) GROUP BY doc_id, layer",
-    "word_layers": _with(_D, _DW, _B, _BW, _TRIED, _STEPS, _walk(5, 5, True), _ROOTED, _peel(),
+    "word_layers": _with(_D, _DW, _B, _BW, _TRIED, _STEPS, _walk(5, 5, True), _ROOTED, _peel(), _VERBS,
                          f"fl AS (SELECT DISTINCT {_FLAT.format('k')} AS f FROM bw WHERE {_FLAT.format('k')} NOT IN ({_quoted(FLAT_EXCLUDED)}))",
                          f"ap AS (SELECT k FROM dw WHERE regexp_matches(k, '[''’]') AND regexp_extract(k, '^(.*?)[''’](.*)$', 1) IN (SELECT k FROM bw) AND regexp_matches(regexp_extract(k, '^(.*?)[''’](.*)$', 2), '{SUFFIXED}'))",
-                         f"""how AS (SELECT k, CASE WHEN k IN (SELECT k FROM bw) THEN 'exact' WHEN {_FLAT.format('k')} IN (SELECT f FROM fl) THEN 'circumflex' WHEN k IN (SELECT k FROM ap) THEN 'apostrophe' WHEN k IN (SELECT k FROM peeled) THEN 'peeled' WHEN k IN (SELECT k FROM rooted) THEN 'rooted' ELSE 'letters' END AS layer FROM dw)""")
+                         f"""how AS (SELECT k, CASE WHEN k IN (SELECT k FROM bw) THEN 'exact' WHEN {_FLAT.format('k')} IN (SELECT f FROM fl) THEN 'circumflex' WHEN k IN (SELECT k FROM ap) THEN 'apostrophe' WHEN k IN (SELECT k FROM peeled) THEN 'peeled' WHEN k IN (SELECT k FROM rooted) AND k NOT IN (SELECT k FROM verbs) THEN 'rooted' WHEN k IN (SELECT k FROM verbs) THEN 'verb' ELSE 'letters' END AS layer FROM dw)""")
     + 'SELECT layer, count(*) AS words, CAST(sum(length(k)) AS BIGINT) AS letters, min(k) AS "first", max(k) AS "last" FROM how GROUP BY layer',
     "learned_suffix_rules": _with(_D, _PAIRS, _RULES) + "SELECT s, t1, t2, good, broken, applied FROM rules",
     "nearest_owner_6": _with(_tokens("d", "documents", "doc_id"), _CLAUSE)

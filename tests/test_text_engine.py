@@ -255,3 +255,84 @@ def test_letters(spark):
     want = {"tuz": "طوز", "süt": "سوت", "ayak": "آیاق", "deniz": "دنیز", "gaga": "غاغه", "kâse": "كاسه", "saat": "ساهت", "ırmak": "ایرماق", "": "", "sos": "صوس", "test": "تست"}
     got = {r.k: r.s for r in spark.createDataFrame([(k,) for k in want] + [(None,)], "k string").select("k", by_letters(F.col("k")).alias("s")).collect()}
     assert got == want | {None: None}
+
+
+def plain_cost(latin, arabic):
+    """The alignment cost, pair by pair."""
+    from functools import lru_cache
+
+    from divit.operators.alignment import CONSONANT, LONG, SHORT
+
+    n, m = len(latin), len(arabic)
+
+    @lru_cache(None)
+    def best(i, j):
+        if (i, j) == (n, m):
+            return 0
+        out = []
+        c, a = latin[i : i + 1], arabic[j : j + 1]
+        if c and a:
+            ok = a in CONSONANT.get(c, "") and not (c == "t" and a == "د" and i < n - 1)
+            ok |= c == "e" and a in "اآ" and i == 0
+            ok |= c in "aeâ" and a == "ی" and (i, j) == (n - 1, m - 1)
+            ok |= (c in SHORT or c in LONG) and i == 0 and j <= 1 and a in "اآع"
+            ok |= a in LONG.get(c, "") or a in SHORT.get(c, "") or (c in "ae" and a in "هة" and j == m - 1)
+            if ok:
+                out.append(best(i + 1, j + 1))
+                if c not in SHORT and c not in LONG and latin[i + 1 : i + 2] == c:
+                    out.append(best(i + 2, j + 1))
+        if c:
+            out.append(best(i + 1, j) + (1 if c in SHORT and i in (0, n - 1) else 0 if c in SHORT or (c == "y" and i and latin[i - 1] == "i") else 1 if c in LONG else 2))
+        if a:
+            out.append(best(i, j + 1) + (0 if a in "عءئؤأ" or (a == "ا" and i == j == 0) or (a == "ل" and j and arabic[j - 1] == "ا") else 1 if a in "اویآ" else 2))
+        return min(out)
+
+    return best(0, 0)
+
+
+def test_alignment_costs_against_brute_force(spark):
+    import random
+
+    from divit.operators.alignment import accepted, alignment_cost, costs, suggestions, veto
+
+    r = random.Random(9)
+    latin = ["".join(r.choices("abtdkmiîeâuyysşq", k=r.randrange(0, 8))) for _ in range(400)]
+    arabic = ["".join(r.choices("ابتدقكمیعلاوسشهةx", k=r.randrange(0, 7))) for _ in range(400)]
+    assert costs(latin, arabic).tolist() == [plain_cost(a, b) for a, b in zip(latin, arabic)]
+    assert costs([], []).tolist() == []
+    df = spark.createDataFrame([(a, b) for a, b in zip(latin[:50], arabic[:50])] + [(None, "x"), ("x", None)], "k string, y string")
+    assert [x.c for x in df.select(alignment_cost("k", "y").alias("c")).collect()] == [plain_cost(a, b) for a, b in zip(latin[:50], arabic[:50])] + [None, None]
+    words = spark.createDataFrame([("kitâb",), ("kitâb",), ("kalem",), ("mürüvvet",), (None,), ("a",)], "k string")
+    entries = spark.createDataFrame([("كتاب", 400), ("كتاب", 100), ("كاتب", 900), ("قلم", 300), ("كلم", 300), ("مروت", 150), ("مروة", 90), (None, 3), ("صفر", 0)], "entry string, n long")
+    found = suggestions(words, entries)
+    assert [(x.k, x.entry, x.n) for x in found.where("rank = 1").orderBy("k").collect()] == [("kalem", "كلم", 300), ("kitâb", "كتاب", 500), ("mürüvvet", "مروت", 150)]
+    assert {(x.k, x.entry) for x in accepted(found).collect()} == {("kalem", "قلم"), ("kitâb", "كتاب"), ("mürüvvet", "مروت")}
+    cases = {("kalem", "كلم"): "front k", ("nâme", "نامه"): None, ("melâmet", "ملائمت"): "inner ayn", ("elma", "الما"): "article", ("nâme", "نام"): "unwritten end", ("râgıb", "راكب"): "no g", ("takvîm", "تقوم"): "unwritten long vowel"}
+    rows = spark.createDataFrame(list(cases), "k string, y string")
+    assert {(x.k, x.y): x.v for x in rows.select("k", "y", veto(rows.k, rows.y).alias("v")).collect()} == cases
+
+
+def test_verb_endings_against_brute_force(spark):
+    import random
+
+    from divit.functions.verb_endings import endings
+    from divit.operators.verbs import verb_forms
+
+    table = endings()
+    assert len({(e, c) for e, _, c in table}) == len(table)
+    r = random.Random(1)
+    words = sorted({"".join(r.choices("abkdeımrt", k=r.randrange(1, 6))) + r.choice(table)[0] for _ in range(400)} | {"dialektik", "tik", "x"})
+
+    def plain(w):
+        for e, s, c in sorted(table, key=lambda x: -len(x[0])):
+            stem = w[: -len(e)]
+            if not w.endswith(e) or len(stem) < 2 or not any(v in stem for v in "aeıioöuü"):
+                continue
+            last = stem[-1]
+            fits = {"vowel": last in "aeıioöuü", "consonant": last not in "aeıioöuü", "hard": last in "çfhkpsşt", "soft": last not in "çfhkpsşt", "r": last == "r", "any": True}[c]
+            if fits and not (e in ("dın", "din", "dun", "dün", "tın", "tin", "tun", "tün") and stem[-2:] not in ("me", "ma")) and not (e in ("tik", "tık") and stem.endswith("ek") and len(stem) >= 5):
+                return stem, e, s
+        return None
+
+    df = spark.createDataFrame([(w,) for w in [*words, words[0]]] + [(None,), ("",)], "k string")
+    assert {x.k: (x.stem, x.ending, x.spelling) for x in verb_forms(df).collect()} == {w: p for w in words if (p := plain(w))}
