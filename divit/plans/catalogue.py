@@ -11,7 +11,7 @@ from divit.functions.normalize import eastern_digits, flat, no_apostrophe, ottom
 from divit.functions import ottoman
 from divit.operators import compare, context, evaluate, lexicon, suffix, vocabulary
 from divit.operators.text import paragraphs, tokens
-from divit.plans.oracle import GIVEN
+from divit.plans.oracle import GIVEN, NUMERALS
 from divit.plans.oracle import ORACLE as ORACLE
 from divit.sources.files import chapters, html_text
 
@@ -109,8 +109,8 @@ def majority_spelling(spark, sf):
 
 @query
 def majority_expand_keys(spark, sf):
-    """The natural key first, derived keys only where no key is natural."""
-    voted = vocabulary.majority(doc_pairs(spark, sf))
+    """The natural key first, derived keys only where no key is natural; the given keys count five times each."""
+    voted = vocabulary.majority(doc_pairs(spark, sf).unionByName(given(spark).select("k", F.col("k").alias("w"), F.lit(5).cast("long").alias("n"))))
     keys = F.explode(F.array_distinct(F.array("k", flat(F.col("k")), no_apostrophe(F.col("k")), flat(no_apostrophe(F.col("k")))))).alias("derived")
     rows = voted.select(keys, (F.col("k")).alias("k"), "spelling").withColumn("rank", (F.col("derived") != F.col("k")).cast("int"))
     return rows.groupBy("derived").agg(F.min(F.struct("rank", "k", "spelling")).alias("b")).select("derived", "b.k", "b.spelling", "b.rank")
@@ -330,8 +330,9 @@ def eastern_digit_texts(spark, sf):
 
 @query
 def roman_numbers(spark, sf):
-    """T10."""
-    toks = doc_tokens(spark, sf).select(roman_number(F.col("w")).cast("long").alias("value")).where("value is not null")
+    """T10, with the numerals of NUMERALS, since texts hold few."""
+    words = doc_tokens(spark, sf).select("w").union(spark.createDataFrame([(n,) for n in NUMERALS], "w string"))
+    toks = words.select(roman_number(F.col("w")).cast("long").alias("value")).where("value is not null")
     return vocabulary.counts(toks, "value")
 
 

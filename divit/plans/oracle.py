@@ -9,6 +9,9 @@ from divit.operators.lexicon import FLAT_EXCLUDED
 #: Keys that the queries add to the tables' words: circumflexes, macrons, apostrophes, doubles and number words.
 GIVEN = ["âhiret", "kâr", "îman", "ûlâ", "mes'ul", "kur'an", "Ali'nin", "kādir", "‘ilim", "şiddet", "hürriyyet", "onbir", "yirmiüçüncü", "dördyüz", "birbiri", "kırkikinci"]
 
+#: Numerals that roman_numbers adds.
+NUMERALS = ["IX", "XIV", "IX", "xx", "IIII", "XX"]
+
 _LOWER = "lower(translate({0}, 'İI', 'iı'))"
 _FLAT = "translate({0}, 'âîûÂÎÛ', 'aiuAIU')"
 _BARE = "replace(replace({0}, '''', ''), '’', '')"
@@ -123,7 +126,7 @@ ORACLE: dict[str, str] = {
     "vocab_symdiff": _with(_D, _DW, _B, _BW) + "SELECT coalesce(dw.k, bw.k) AS k, CASE WHEN bw.k IS NULL THEN 'left' ELSE 'right' END AS side FROM dw FULL JOIN bw ON dw.k = bw.k WHERE dw.k IS NULL OR bw.k IS NULL",
     "pair_counts": _with(_D) + "SELECT k, w, count(*) AS n FROM d GROUP BY k, w",
     "majority_spelling": _with(_D, _PAIRS, _majority("m", "pairs")) + "SELECT k, spelling, n, total FROM m",
-    "majority_expand_keys": _with(_D, _PAIRS, _majority("m", "pairs")) + f"""SELECT derived, b.k AS k, b.spelling AS spelling, b.rank AS rank FROM (SELECT derived, min({{'rank': CAST(derived <> k AS INTEGER), 'k': k, 'spelling': spelling}}) AS b FROM (
+    "majority_expand_keys": _with(_D, _PAIRS, f"more AS (SELECT k, w, n FROM pairs UNION ALL SELECT g, g, 5 FROM (SELECT unnest([{_GIVEN_LIST}]) AS g))", _majority("m", "more")) + f"""SELECT derived, b.k AS k, b.spelling AS spelling, b.rank AS rank FROM (SELECT derived, min({{'rank': CAST(derived <> k AS INTEGER), 'k': k, 'spelling': spelling}}) AS b FROM (
   SELECT DISTINCT unnest([k, {_FLAT.format('k')}, {_BARE.format('k')}, {_FLAT.format(_BARE.format('k'))}]) AS derived, k, spelling FROM m) GROUP BY derived)""",
     "changed_spellings": _with(_D, _PAIRS, _majority("m", "pairs"), _B, "bp AS (SELECT k, w, count(*) AS n FROM b GROUP BY k, w)", _majority("bm", "bp", 0, 1)) + "SELECT m.k, bm.spelling AS before, m.spelling AS after, m.n FROM m JOIN bm ON m.k = bm.k WHERE m.spelling <> bm.spelling",
     "phrase_majority": _with(_DS, _NEAR, "pairs AS (SELECT l1 || ' ' || k AS k, w, count(*) AS n FROM near WHERE l1 <> '#' GROUP BY 1, 2)", _majority("m", "pairs")) + "SELECT k, spelling, n, total FROM m",
@@ -168,7 +171,7 @@ SELECT threshold, words, fixed, row_number() OVER (ORDER BY fixed DESC, threshol
     "stratified_estimate": _with(_D, _B, _BW, "r AS (SELECT k, CAST(count(*) AS DOUBLE) AS n, k NOT IN (SELECT k FROM bw) AS wrong FROM d GROUP BY k)", "s AS (SELECT coalesce(sum(n) FILTER (WHERE n >= 200 AND wrong), 0) AS e, avg(CAST(wrong AS DOUBLE)) FILTER (WHERE n < 200) AS t, coalesce(sum(n) FILTER (WHERE n < 200), 0) AS m, sum(n) AS a FROM r)") + "SELECT round((e + t * m) / a, 6) AS error_rate, round(t, 6) AS tail_rate FROM s",
     "line_diff_keys": _with(_DS) + "SELECT md5(ptext) AS line, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM d_p GROUP BY ptext HAVING count(DISTINCT doc_id) > 1",
     "eastern_digit_texts": f"SELECT doc_id, {_EASTERN} AS text FROM documents",
-    "roman_numbers": _with(_D) + f"SELECT CAST(value AS BIGINT) AS value, count(*) AS n FROM d JOIN (VALUES {_NUMERALS}) AS r(numeral, value) ON d.w = r.numeral GROUP BY 1",
+    "roman_numbers": _with(_D) + f"SELECT CAST(value AS BIGINT) AS value, count(*) AS n FROM (SELECT w FROM d UNION ALL SELECT unnest({NUMERALS})) AS x JOIN (VALUES {_NUMERALS}) AS r(numeral, value) ON x.w = r.numeral GROUP BY 1",
     "chapter_chunks": _with(_DS) + "SELECT doc_id, chapter, count(*) AS n_lines, md5(string_agg(ptext, chr(10) ORDER BY i)) AS body_md5 FROM (SELECT *, CAST((i - 1) // 200 + 1 AS BIGINT) AS chapter FROM (SELECT doc_id, ptext, row_number() OVER (PARTITION BY doc_id ORDER BY par) AS i FROM d_p)) GROUP BY doc_id, chapter",
     "registry_latest": "SELECT conv_id, role, max_by(text, row(turn, text)) AS text, max(turn) AS turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, role",
     "unknown_rank": _with(_D, _B, _LEX) + "SELECT k, count(*) AS n, max(CAST(w = k AS INTEGER)) AS lower FROM d WHERE k NOT IN (SELECT k FROM lex) GROUP BY k ORDER BY n DESC, k LIMIT 100000",
