@@ -236,3 +236,35 @@ def test_recall_on_unequal_norms(spark, spread):
         hits += len(found[q] & set(np.argsort(-score)[:20].tolist()))
     print(spread, hits / (20 * len(found)))
     assert hits / (20 * len(found)) >= 0.9
+
+
+def test_jaccard_join_through_all_levels(spark, monkeypatch):
+    """Cells of two and regions of three documents: every level works, and no link is lost."""
+    import re
+
+    from divit.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "SMALL", 2)
+    monkeypatch.setattr(J, "REGION", 3)
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    passage = r.choices(words, k=30)
+    texts = []
+    for _ in range(12):
+        base = r.choices(words, k=r.randrange(20, 60)) + (passage if r.random() < 0.5 else [])
+        for k in range(r.choice([1, 2, 6])):
+            own = list(base)
+            for _ in range(k // 2):
+                own[r.randrange(len(own))] = r.choice(words)
+            texts.append(" ".join(own))
+    texts += [texts[0]] * 3 + ["", "w1 w2"]
+    sets = [{tuple(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} if (w := re.findall(r"\S+", t)) else set() for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            x = len(sets[i] & sets[j])
+            if sets[i] and 100 * x >= 90 * (len(sets[i]) + len(sets[j]) - x):
+                a, b = root[i], root[j]
+                root = [min(a, b) if v in (a, b) else v for v in root]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=3, percent=90).collect()}
+    assert got == {i: (len(sets[i]), root[i]) for i in range(len(texts))} and len(set(root)) < len(root)
