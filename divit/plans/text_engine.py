@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from divit.functions.letters import by_letters
-from divit.operators import alignment, cascade, claims, ownership, phrases, suffix_chains, suffix_rules, transliterate, verbs, vocabulary
+from divit.operators import alignment, cascade, claims, ownership, phrases, suffix_chains, suffix_rules, transliterate, variants, verbs, vocabulary
 from divit.operators.text import paragraphs, tokens
 from divit.plans.catalogue import bench_words, doc_words, table
 from divit.plans.text_engine_sql import ACCENTS, ARTICLES, BLOCKERS, TURNERS
@@ -69,6 +69,12 @@ def verb_split(spark, sf):
     return verbs.verb_forms(doc_words(spark, sf))
 
 
+@query
+def variant_hits(spark, sf):
+    """Words of documents that the benchmark lacks, with their first variant that it has."""
+    return variants.variant_lookup(doc_words(spark, sf), bench_words(spark, sf))
+
+
 def _bench_phrases(spark, sf) -> DataFrame:
     """Runs of two and three words, one blank between them, of a benchmark line."""
     cut = phrases.pieces(paragraphs(table(spark, sf, "benchmark"), "item_id"), "item_id")

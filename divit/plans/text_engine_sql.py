@@ -9,6 +9,7 @@ from divit.functions.suffixes import ALL_VOWELS, BACK, CONSONANTS, HARD, POSSESS
 from divit.operators.lexicon import FLAT_EXCLUDED
 from divit.operators.phrases import SUFFIXED
 from divit.operators.suffix_chains import LONGEST, PEELED_ONLY
+from divit.operators.variants import HARDENED, PLACES, ROUNDED
 from divit.plans.oracle import _B, _BW, _D, _DW, _LOWER, _tokens
 
 #: Accented letters of the tables' languages and their plain forms; words that own, words that come between, and words that turn an owner to themselves.
@@ -138,6 +139,13 @@ _CLAUSE = f"""cl AS (SELECT doc_id, par, clause, list_transform(regexp_extract_a
 ct AS (SELECT doc_id, par, clause, unnest(range(len(keys))) AS pos, unnest(keys) AS k FROM cl),
 near AS (SELECT *, last_value(CASE WHEN k IN ({_quoted(ARTICLES + BLOCKERS)}) THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id, par, clause ORDER BY pos ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS owner_pos FROM ct)"""
 
+_VARIANTS = f"""un AS (SELECT k, string_split(k, '') AS cs FROM dw WHERE k NOT IN (SELECT k FROM bw)),
+pl AS (SELECT k, cs, list_filter(range(2, len(cs) + 1), lambda i: cs[i] = 'p' OR (cs[i] IN ('t', 'ç') AND (i = len(cs) OR cs[i + 1] NOT IN ({_quoted(ALL_VOWELS)})))) AS places FROM un),
+sv AS (SELECT k, mask, array_to_string(list_transform(cs, lambda c, i: CASE WHEN list_contains(places, i) AND (mask >> CAST(len(places) - list_position(places, i) AS BIGINT)) % 2 = 1 THEN translate(c, '{HARDENED[0]}', '{HARDENED[1]}') ELSE c END), '') AS variant
+  FROM (SELECT *, unnest(range(1, CAST(2 ** len(places) AS BIGINT))) AS mask FROM pl WHERE len(places) BETWEEN 1 AND {PLACES})),
+rv AS (SELECT k, i, left(k, i - 1) || translate(cs[i], '{ROUNDED[0]}', '{ROUNDED[1]}') || substring(k, i + 1) AS variant FROM (SELECT *, unnest(range(2, len(cs) + 1)) AS i FROM un) WHERE cs[i] IN ({_quoted(ROUNDED[0])})),
+vs AS (SELECT k, variant, 'soft' AS kind, row(0, bit_count(mask), -mask) AS turn FROM sv UNION ALL SELECT k, variant, 'rounded', row(1, 0, i) FROM rv)"""
+
 ORACLE: dict[str, str] = {
     "legal_chain_split": _with(_D, _DW, _B, _BW, _TRIED, _STEPS, _walk(5, LONGEST, False)) + "SELECT tail, array_to_string(parts, '+') AS parts FROM chains",
     "tail_split": _with(_D, _DW, _B, _BW, _TRIED, _STEPS, _KNOWN, _SPLIT) + "SELECT tail, array_to_string(parts, '+') AS parts FROM split3",
@@ -145,6 +153,7 @@ ORACLE: dict[str, str] = {
     "deep_roots": _with(_D, _DW, _B, _BW, _TRIED, _STEPS, _walk(5, 5, True), _ROOTED) + "SELECT k, root, array_to_string(parts, '+') AS parts FROM rooted",
     "chain_spelling": _with(_D, _DW, _B, _BW, _TRIED, _STEPS, _walk(5, 5, True), _ROOTED, _SLOTTED) + f"SELECT k, root, array_to_string(parts, '+') AS chain, sound, {_spelled('root', 'parts', 'sound')} AS spelling FROM slots",
     "verb_split": _with(_D, _DW, _VERBS) + "SELECT k, b.stem AS stem, b.ending AS ending, b.spelling AS spelling, left(b.ending, 1) = 'y' AND right(b.stem, 1) <> 'e' AND right(b.stem, 2) <> 'ma' AS glide FROM verbs",
+    "variant_hits": _with(_D, _DW, _B, _BW, _VARIANTS) + "SELECT k, min_by(variant, turn) AS variant, min_by(kind, turn) AS kind FROM vs WHERE variant IN (SELECT k FROM bw) GROUP BY k",
     "phrase_covered_tokens": _with(_SPANS) + "SELECT doc_id, count(*) AS phrases, CAST(sum(stop - start) AS BIGINT) AS covered, CAST(max(length(phrase)) AS INTEGER) AS longest FROM spans GROUP BY doc_id",
     "claim_layers": _with(_SPANS, _RAW, "on_phrase AS (SELECT doc_id, par, unnest(range(start, stop)) AS pos FROM spans)",
                           f"inner_ AS (SELECT r.doc_id, CASE WHEN r.w IN ({_quoted(n for n in ROMAN if len(n) > 1)}) THEN 'numeral' ELSE 'short' END AS layer FROM raw r ANTI JOIN on_phrase o ON o.doc_id = r.doc_id AND o.par = r.par AND o.pos = r.pos WHERE length(r.w) = 2 OR r.w IN ({_quoted(n for n in ROMAN if len(n) > 1)}))")

@@ -336,3 +336,31 @@ def test_verb_endings_against_brute_force(spark):
 
     df = spark.createDataFrame([(w,) for w in [*words, words[0]]] + [(None,), ("",)], "k string")
     assert {x.k: (x.stem, x.ending, x.spelling) for x in verb_forms(df).collect()} == {w: p for w in words if (p := plain(w))}
+
+
+def test_variants_against_brute_force(spark):
+    import itertools
+    import random
+
+    from divit.operators.variants import variant_lookup, variants
+
+    r = random.Random(8)
+    words = sorted({"".join(r.choices("aptçouüöbd", k=r.randrange(1, 8))) for _ in range(200)} | {"p", "t", "u", "apptpçt"})
+
+    def plain(w):
+        places = [i for i, c in enumerate(w) if i and (c == "p" or (c in "tç" and (i == len(w) - 1 or w[i + 1] not in "aeıioöuüâîû")))]
+        out = []
+        if 0 < len(places) <= 4:
+            for n in range(1, len(places) + 1):
+                for some in itertools.combinations(places, n):
+                    out.append("".join({"p": "b", "t": "d", "ç": "c"}[c] if i in some else c for i, c in enumerate(w)))
+        return out + [w[:i] + {"u": "o", "o": "u", "ü": "ö", "ö": "ü"}[c] + w[i + 1 :] for i, c in enumerate(w) if i and c in "uoüö"]
+
+    got = {}
+    df = spark.createDataFrame([(w,) for w in [*words, words[0], "", None]], "k string")
+    for x in sorted(variants(df).collect(), key=lambda x: (x.k, tuple(x.turn))):
+        got.setdefault(x.k, []).append(x.variant)
+    assert got == {w: p for w in words if (p := plain(w))}
+    known = {v for w in words[::3] for v in plain(w)[-2:]}
+    lexicon = spark.createDataFrame([(v,) for v in known], "k string")
+    assert {x.k: x.variant for x in variant_lookup(df, lexicon).collect()} == {w: v for w in words if w not in known and (v := next((p for p in plain(w) if p in known), None))}
