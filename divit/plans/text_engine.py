@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from divit.functions.letters import by_letters
-from divit.operators import alignment, cascade, claims, ownership, phrases, suffix_chains, suffix_rules, transliterate, variants, verbs, vocabulary
+from divit.operators import alignment, cascade, claims, context, ownership, phrases, suffix_chains, suffix_rules, transliterate, variants, verbs, vocabulary
 from divit.operators.text import paragraphs, tokens
-from divit.plans.catalogue import bench_words, doc_words, table
+from divit.plans.catalogue import bench_words, doc_pairs, doc_tokens, doc_words, table
 from divit.plans.text_engine_sql import ACCENTS, ARTICLES, BLOCKERS, TURNERS
 from divit.plans.text_engine_sql import ORACLE as ORACLE
 
@@ -153,6 +153,13 @@ def fold_rule_accuracy(spark, sf):
     return suffix_rules.fold_accuracy(_accent_pairs(spark, sf))
 
 
+@query
+def feature_counts(spark, sf):
+    """The neighbours of each spelling of ambiguous words, per work."""
+    toks = doc_tokens(spark, sf, "source", around=1).where("source is not null")
+    return context.feature_counts(toks.join(vocabulary.ambiguous(doc_pairs(spark, sf)).select("k"), "k", "left_semi"), "source")
+
+
 @query
 def nearest_owner_6(spark, sf):
     """Words of five letters or more whose nearest article or pronoun among the six words before them in the clause is an article."""

@@ -10,6 +10,8 @@ from divit.operators.lexicon import FLAT_EXCLUDED
 from divit.operators.phrases import SUFFIXED
 from divit.operators.suffix_chains import LONGEST, PEELED_ONLY
 from divit.operators.variants import HARDENED, PLACES, ROUNDED
+from divit.plans.oracle import _AMBIGUOUS, _DS, _NEAR
+from divit.plans.oracle import _PAIRS as _PAIRS_ALL
 from divit.plans.oracle import _B, _BW, _D, _DW, _LOWER, _tokens
 
 #: Accented letters of the tables' languages and their plain forms; words that own, words that come between, and words that turn an owner to themselves.
@@ -164,6 +166,7 @@ ORACLE: dict[str, str] = {
                          f"""how AS (SELECT k, CASE WHEN k IN (SELECT k FROM bw) THEN 'exact' WHEN {_FLAT.format('k')} IN (SELECT f FROM fl) THEN 'circumflex' WHEN k IN (SELECT k FROM ap) THEN 'apostrophe' WHEN k IN (SELECT k FROM peeled) THEN 'peeled' WHEN k IN (SELECT k FROM rooted) AND k NOT IN (SELECT k FROM verbs) THEN 'rooted' WHEN k IN (SELECT k FROM verbs) THEN 'verb' ELSE 'letters' END AS layer FROM dw)""")
     + 'SELECT layer, count(*) AS words, CAST(sum(length(k)) AS BIGINT) AS letters, min(k) AS "first", max(k) AS "last" FROM how GROUP BY layer',
     "learned_suffix_rules": _with(_D, _PAIRS, _RULES) + "SELECT s, t1, t2, good, broken, applied FROM rules",
+    "feature_counts": _with(_DS, _NEAR, _PAIRS_ALL, _AMBIGUOUS) + "SELECT k, w, source, feature, count(*) AS n FROM (SELECT k, w, source, unnest(['L1:' || l1, 'R1:' || r1]) AS feature FROM near WHERE source IS NOT NULL AND k IN (SELECT k FROM amb)) GROUP BY ALL",
     "nearest_owner_6": _with(_tokens("d", "documents", "doc_id"), _CLAUSE)
     + f"""SELECT x.doc_id, x.par, CAST(x.clause AS INTEGER) AS clause, CAST(x.pos AS INTEGER) AS pos, x.k, CAST(x.owner_pos AS INTEGER) AS owner_pos FROM near x JOIN ct o ON o.doc_id = x.doc_id AND o.par = x.par AND o.clause = x.clause AND o.pos = x.owner_pos
 LEFT JOIN ct t ON t.doc_id = x.doc_id AND t.par = x.par AND t.clause = x.clause AND t.pos = x.owner_pos + 1 WHERE length(x.k) >= 5 AND o.k IN ({_quoted(ARTICLES)}) AND NOT (x.owner_pos + 1 < x.pos AND coalesce(t.k, '') IN ({_quoted(TURNERS)}))""",
