@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components, forest
-from .shared import fresh, quoted, release, remove, settle, settle_by, small_batches
+from .shared import fresh, quoted, release, remove, settle, settle_by, small_batches, trimmed
 from .textbytes import mix, shingle_sets, steps
 
 CHUNK, SMALL, LEVELS, SEEN = 256, 64, 3, 100_000
@@ -115,8 +115,8 @@ def _summed(last: bool):
 
 def _order(tables: DataFrame) -> np.ndarray:
     """The logarithm of each cell's count in eighths: one byte a cell, summed in two levels on the executors."""
-    part = tables.withColumn("grp", F.monotonically_increasing_id() % 16).repartition(SLOTS * 4, "slot", "grp").mapInArrow(_summed(False), "slot int, counts binary")
-    log = part.withColumn("grp", F.lit(0).cast("long")).repartition(SLOTS, "slot").mapInArrow(_summed(True), "slot int, counts binary")
+    part = tables.withColumn("grp", F.monotonically_increasing_id() % 16).repartition(SLOTS * 4, "slot", "grp").mapInArrow(trimmed(_summed(False)), "slot int, counts binary")
+    log = part.withColumn("grp", F.lit(0).cast("long")).repartition(SLOTS, "slot").mapInArrow(trimmed(_summed(True)), "slot int, counts binary")
     out = np.zeros((SLOTS, (1 << ORDER_BITS) // SLOTS), np.uint8)
     for row in log.collect():  # SLOTS rows of bounded size
         out[row.slot] = np.frombuffer(zlib.decompress(row.counts), np.uint8)
@@ -285,7 +285,7 @@ def _compare(pairs: DataFrame, sets: list[DataFrame], percent: int, order) -> Da
     own = [firsts.join(s.withColumnRenamed("doc", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "star", "set") for s in sets]
     both = functools.reduce(DataFrame.unionByName, own + theirs).repartition(_parts(pairs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
     run, schema = _compared(percent, order)
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(trimmed(run), schema)
 
 
 class _Sets:
@@ -304,7 +304,7 @@ class _Sets:
             run, schema = _whole(self.words)
             texts = self.texts.join(F.broadcast(wanted) if n <= WANTED else wanted, "key").select(F.col("name").alias("doc"), "text")
             n = _parts(pairs.sparkSession)
-            self.known.append(settle_by(texts.mapInArrow(run, schema).repartition(n, "doc").dropDuplicates(["doc"]), "sets", "doc", n))
+            self.known.append(settle_by(texts.mapInArrow(trimmed(run), schema).repartition(n, "doc").dropDuplicates(["doc"]), "sets", "doc", n))
         return self.known or [ids.select("doc", F.lit(None).cast("binary").alias("set"))]
 
 
@@ -353,14 +353,14 @@ def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[D
     spark = source.sparkSession
     small_batches(spark)
     run, schema = _signatures(words)
-    first = settle(source.mapInArrow(run, schema), "signatures")
+    first = settle(source.mapInArrow(trimmed(run), schema), "signatures")
     rows = first.where("slot is null").select("doc", "key", "size", "name")
     order = spark.sparkContext.broadcast(_order(first.where("slot is not null").select("slot", "counts")))
     texts = source.where("text is not null").select("key", "text")
 
     run, schema = _windows(words, percent, depth, order)
     n = _parts(spark)
-    copies = settle_by(texts.mapInArrow(run, schema).repartition(n, "cell"), "windows", "cell", n)  # one shuffle for the grouping and the join
+    copies = settle_by(texts.mapInArrow(trimmed(run), schema).repartition(n, "cell"), "windows", "cell", n)  # one shuffle for the grouping and the join
     met = copies.groupBy("cell").agg(F.min("doc").alias("pivot"), F.max("doc").alias("high"), F.count("*").alias("members")).where("pivot < high").drop("high")
     open_ = settle(copies.join(met.hint("merge"), "cell").groupBy("cell", "doc", "n", "rank").agg(F.min("pivot").alias("pivot"), F.min("members").alias("members")), "open")
     remove(copies)
@@ -394,7 +394,7 @@ def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[D
         near = _mixed(_named(parts.where("cells is not null").withColumnRenamed("b", "doc"), classes), ["a"])
         held = near.groupBy("a").agg(((F.count("*") <= REGION) & (F.sum(F.length("apart")) <= REGION_BYTES)).alias("fits"))
         near = settle(near.join(held, "a"), "near")
-        inside = near.where("fits").select("a", "doc", "cls", "n", "apart").repartition(n, "a").sortWithinPartitions("a", "doc").mapInArrow(_region(percent), "a long, b long")
+        inside = near.where("fits").select("a", "doc", "cls", "n", "apart").repartition(n, "a").sortWithinPartitions("a", "doc").mapInArrow(trimmed(_region(percent)), "a long, b long")
         if not (inside := settle(inside, "inside")).isEmpty():
             classes = components(_edges(classes).unionByName(inside))
         near = near.where("not fits").select(F.explode("cells").alias("cell"), "doc", "n", F.lit(0).alias("rank"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,6 +29,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def trimmed(run: Callable) -> Callable:
+    """An Arrow function whose worker gives freed memory back to the system when a task ends, as workers live on between stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def quoted(column: str) -> str:
     """A column's name for F.col, whatever it holds."""
     return "`" + column.replace("`", "``") + "`"

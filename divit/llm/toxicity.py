@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import quoted, settle, small_batches
+from .shared import quoted, settle, small_batches, trimmed
 from .textbytes import LOWER, Hasher, flat, mix, spans, steps
 
 TAUGHT, EXAMPLES, NEIGHBOURS, BLOCK, PULL = 20_000, 1_024, 25, 64, 3.0
@@ -245,7 +245,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", taug
     teach = teach.groupBy("t_doc").agg(F.min("label").alias("label"))
     drawn = settle(teach.orderBy(F.xxhash64(F.lit(7), "t_doc"), "t_doc").limit(taught), "drawn")
     texts = rows.join(F.broadcast(drawn), F.col("doc") == F.col("t_doc")).where("text is not null").select("text", "label", "doc")  # at most `taught` ids of 12 bytes
-    marked = texts.mapInArrow(_alike, "text string, label int, doc long, alike long")
+    marked = texts.mapInArrow(trimmed(_alike), "text string, label int, doc long, alike long")
     texts = settle(marked.groupBy("alike").agg(F.min_by(F.struct("text", "label", "doc"), F.struct("doc", "text")).alias("r")).select("r.*"), "labelled")
     chosen = texts.select(F.xxhash64(F.lit(9), "doc").alias("turn"), "doc").orderBy("turn", "doc").limit(examples).select(F.col("doc").alias("e_doc"))
     texts = settle(texts.join(F.broadcast(chosen), F.col("doc") == F.col("e_doc"), "left").select("text", "label", "doc", F.col("e_doc").isNotNull().cast("int").alias("indexed")), "labelled")
@@ -253,7 +253,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", taug
     n, pos = totals["n"], totals["pos"] or 0
     prior = pos / n if n else 0.49
 
-    support = texts.mapInArrow(_support, "term long, n long, pos long, indexed long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n", "pos", "indexed")))
+    support = texts.mapInArrow(trimmed(_support), "term long, n long, pos long, indexed long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n", "pos", "indexed")))
     vocabulary = support.where("indexed > 0").select("term", "n", "pos").toPandas()  # the words of the examples
     known = vocabulary["term"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(known)
@@ -266,22 +266,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: str = "true", taug
         lean = np.where((has >= SUPPORT) & (of / pos > (has - of) / (n - pos)), np.sqrt(np.maximum(ratio, 0.0)), 0.0)
     words = spark.sparkContext.broadcast(known)
     df = np.zeros(len(known))
-    counted = rows.select("text").mapInArrow(_frequencies(words), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.select("text").mapInArrow(trimmed(_frequencies(words)), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     df[counted["word"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
     total = docs.count()
     scale = (np.log((1 + total) / (1 + df)) + 1) * (1 + PULL * lean)
 
-    sample = sorted(texts.where("indexed = 1").mapInArrow(_vectors, "doc long, label int, terms array<long>, times array<long>").collect(), key=lambda r: (r.doc, r.terms))  # at most `examples` vectors
+    sample = sorted(texts.where("indexed = 1").mapInArrow(trimmed(_vectors), "doc long, label int, terms array<long>, times array<long>").collect(), key=lambda r: (r.doc, r.terms))  # at most `examples` vectors
     sample = [r for r in sample if r.terms]
     vectors = [(np.searchsorted(known, np.array(r.terms, np.int64).view(np.uint64)), np.array(r.times, np.float64)) for r in sample]
     index = BlockMaxIndex(vectors, scale, float(np.log((1 + total) / 2) + 1))
     others = spark.sparkContext.broadcast(vectors)
     shared = spark.sparkContext.broadcast((index, np.array([r.label for r in sample], np.float64), prior, [r.doc for r in sample], known))
-    alone = spark.range(0, len(sample), 1, max(1, len(sample) // 128)).mapInArrow(_alone(shared, others, neighbours), "vote double, label long").collect()  # a row per example
+    alone = spark.range(0, len(sample), 1, max(1, len(sample) // 128)).mapInArrow(trimmed(_alone(shared, others, neighbours)), "vote double, label long").collect()  # a row per example
     others.destroy()
     words.destroy()
     cells = [(v, 1.0, float(y)) for v, y in sorted((r.vote, r.label) for r in alone)]
     knots = _calibration(cells, prior)
-    out = rows.mapInArrow(_scored(shared, neighbours, knots, evidence), "doc long, key long, score double, evidence array<struct<example:long,cosine:double,label:int>>")
+    out = rows.mapInArrow(trimmed(_scored(shared, neighbours, knots, evidence)), "doc long, key long, score double, evidence array<struct<example:long,cosine:double,label:int>>")
     out = out.select(F.col("doc").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "key")
     return out.drop(*([] if evidence else ["evidence"]), *([] if key else ["key"]))
