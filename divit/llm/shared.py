@@ -55,11 +55,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write a phase's rows to the shared folder and read them back: cuts the lineage and survives lost executors."""
+def settle(df: DataFrame, label: str, codec: str = "none") -> DataFrame:
+    """Write a phase's rows to the shared folder and read them back: cuts the lineage and survives lost executors.
+
+    Without a codec as a rule: most rows are hashes, which nothing compresses, and codecs hold memory outside the heap.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/divit/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "none").parquet(path)  # mostly hashes, which nothing compresses; and codecs hold memory outside the heap
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

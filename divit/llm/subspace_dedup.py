@@ -42,6 +42,16 @@ def _usable(values, dims=None) -> np.ndarray | None:
     return x if np.isfinite(x).all() and np.isfinite(n := float(x @ x)) and n > 0 else None
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """A vector's bytes, as 32-bit floats where these hold it exactly: it is copied into many cells."""
+    short = x.astype(np.float32) if np.abs(x).max() < 3e38 else x
+    return short.tobytes() if (short == x).all() else x.tobytes()
+
+
+def _unpacked(raw: list[bytes], dim: int) -> np.ndarray:
+    return np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64).astype(np.float64) for r in raw])
+
+
 def _copies(t: float, grid: int):
     """One row per block for the cell that a vector owns and one for each neighbouring cell that its radius touches."""
 
@@ -57,7 +67,7 @@ def _copies(t: float, grid: int):
                         continue
                     d = len(x)
                     y = (x / np.linalg.norm(x)) @ turn.setdefault(d, rotation(d))
-                    raw = x.tobytes()
+                    raw = _packed(x)
                     for b, (lo, hi) in enumerate(_cuts(d)):
                         radius = math.sqrt(t * (hi - lo) / d) + 1e-9
                         lead = y[lo : min(hi, lo + grid)]
@@ -85,7 +95,7 @@ def _joined(cosine: float, t: float):
             group = list(group)
             ids = np.array([r[5] for r in group])
             mine = np.array([r[6] for r in group])
-            x = np.frombuffer(b"".join(r[7] for r in group), np.float64).reshape(len(group), dim)
+            x = _unpacked([r[7] for r in group], dim)
             del group
             x = x / np.sqrt((x * x).sum(1))[:, None]
             y = x @ rotation(dim)
@@ -140,9 +150,10 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str
     copies = rows.where("label is not null and vec is not null").select("uid", "label", "vec")
     cells = copies.mapInArrow(_copies(t, grid), "label long, dim int, block int, cell string, uid long, own boolean, raw binary")
     key = ["label", "dim", "block", "cell"]
-    cells = settle(cells, "cells")
-    parts = cells.groupBy(*key).agg(F.ceil(F.count("*") / CELL).alias("parts"), F.max("own").alias("any")).where("any").drop("any")
-    dealt = cells.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = settle(cells, "cells", "snappy")  # the copies of a vector lie side by side
+    hot = cells.groupBy(*key).agg(F.ceil(F.count("*") / CELL).alias("parts")).where("parts > 1")  # one in CELL of the copies at most
+    dealt = cells.join(F.broadcast(hot), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.withColumn("mine", F.col("own") & (F.pmod(F.xxhash64("uid"), F.col("parts")) == F.col("part")))
     dealt = dealt.repartition(n_parts, *key, "part").sortWithinPartitions(*key, "part", "uid")
     found = settle(dealt.select(*key, "part", "uid", "mine", "raw").mapInArrow(_joined(cosine, t), "a long, b long, n long"), "links")
