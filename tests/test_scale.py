@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from divit.operators import context
+from divit.operators.skew import cut, few
 from divit.operators.text import tokens, word_counts
 
 TEXTS = [("a", "Iğdır İzmir IĞDIR\n \t\r\nİzmir'in ığdır"), ("b", None), ("b", ""), (None, "ÉTÉ été İI"), ("a", "x\n\nIx 12 ?"), ("a", "\t\n \r")]
@@ -17,3 +19,27 @@ def test_keys_are_the_same_with_and_without_neighbours(spark):
     df = spark.createDataFrame(TEXTS, "source string, text string")
     assert sorted(map(str, tokens(df, around=2).select("par", "pos", "w", "k").collect())) == sorted(map(str, tokens(df).select("par", "pos", "w", "k").collect()))
     assert [r["k"] for r in tokens(df.where("text like 'Iğ%'"), around=1).orderBy("par", "pos").collect()] == ["ığdır", "izmir", "ığdır", "izmir'in", "ığdır"]
+
+
+def test_cut_tables_are_files(spark):
+    df = spark.range(5).withColumn("spot", F.monotonically_increasing_id())
+    kept = cut(df)
+    assert kept.inputFiles() and kept.count() == 5 and kept.schema.names == ["id", "spot"]
+    assert cut(df.where("id < 0")).count() == 0
+    assert sorted(r["id"] for r in few(df, 2).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_carried_occurrences_are_those_that_a_join_finds(spark):
+    rows = [("k", w, s, l1, "#", "#", "#", n) for w, s, l1, n in [("k", "a", "x", 3), ("K", "a", "x", 2), ("K", "b", "y", 4), ("k", "b", "x", 1), ("k", "c", "z", 5), ("K", "c", None, 1)]]
+    spots = spark.createDataFrame(rows, "k string, w string, source string, l1 string, r1 string, l2 string, r2 string, n long")
+    first = spark.createDataFrame([("k", "k")], "k string, first string")
+    plain = context.threshold_outcomes(spots.where("l1 is not null"), context.bayes_choice(spots, spots, first, "source"), "source")
+    carried = context.tried_outcomes(context.bayes_choice(spots.where("l1 is not null"), spots, first, "source", carry=("w", "n")))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, carried.collect()))
+
+
+def test_spellings_left_out_stand_in_columns(spark):
+    toks = spark.createDataFrame([("k", w, s, "x", "y") for w, s in [("k", "a"), ("K", "b"), ("K", "b"), ("k", "c")]], "k string, w string, source string, l1 string, r1 string")
+    found = context.leave_one_out(toks, spark.createDataFrame([("k", "k", "K")], "k string, first string, second string"))
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["source"], r["w"]): (r["chosen"], r["majority"], r["n"]) for r in found.collect()} == {("a", "k"): ("K", "K", 1), ("b", "K"): ("k", "k", 2), ("c", "k"): ("K", "K", 1)}
