@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import io
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from divit.functions.normalize import eastern_digits, turkish_lower
 
@@ -41,15 +45,30 @@ def strip_markup(html: str | None) -> str:
 
 
 def html_text(html: Column) -> Column:
-    """The text of a page, one line per run; scripts and styles go. Null gives the empty text."""
+    """The text of a page, one line per run; scripts and styles go. Null gives the empty text.
 
-    @pandas_udf("string")
-    def strip(pages: pd.Series) -> pd.Series:
-        return pages.map(strip_markup)
+    Pages reach Python a few megabytes at a time, are parsed one by one, and workers give freed memory back when a task ends.
+    """
+    SparkSession.active().conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+    @arrow_udf("string")
+    def strip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            yield pa.array([strip_markup(page.as_py()) for page in pages], pa.string())
+        pages = None
+        give_back()
 
     return strip(html)
 
 
+def give_back() -> None:
+    """Hand a worker's freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def read_txt(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of UTF-8 files; bytes that are not UTF-8 are dropped."""
 
