@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from divit.functions.normalize import squeeze
+from divit.operators.text import line_array
 
 
 def train_minus_test(pars: DataFrame, is_test: str) -> DataFrame:
@@ -40,6 +41,36 @@ def align(pairs: DataFrame, left: str = "a", right: str = "b", key: str = "id",
     return pairs.select(*names, left, right).mapInPandas(run, f"{key} {kind}, {f'{line} long, ' if line else ''}op string, left_pos long, right_pos long, left string, right string")
 
 
+def neighbour_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, par, a, b): the lines of each document beside those of the next id, null where one of them lacks the line or has it blank.
+
+    Whole texts travel, once as left and once as right, and are cut into lines where they meet. Of documents with one id each line meets each line; a line
+    that no document of the other id has comes once a document.
+    """
+    left = docs.select(F.col(doc).alias("id"), F.col(text).alias("a"), F.monotonically_increasing_id().alias("na"))
+    right = docs.select((F.col(doc) - 1).alias("id"), F.col(text).alias("b"), F.monotonically_increasing_id().alias("nb"))
+    w = Window.partitionBy("id")
+    met = left.join(right, "id").select("id", "na", "nb", line_array(F.col("a")).alias("a"), line_array(F.col("b")).alias("b"))
+    met = met.withColumn("pairs", F.count(F.lit(1)).over(w)).withColumn("lead_a", F.col("na") == F.min("na").over(w)).withColumn("lead_b", F.col("nb") == F.min("nb").over(w))
+
+    def held(c: str) -> Column:
+        places = F.transform(F.col(c), lambda x, i: F.when(x.isNotNull(), i.cast("long")))
+        return F.array_distinct(F.flatten(F.collect_set(F.when(F.col("pairs") > 1, F.array_compact(places))).over(w)))
+
+    met = met.withColumn("in_a", held("a")).withColumn("in_b", held("b"))
+    last = F.greatest(F.size("a"), F.size("b"))
+    places = F.when(last > 0, F.sequence(F.lit(0), last - 1))
+
+    def counts(x: Column) -> Column:
+        both = x["a"].isNotNull() & x["b"].isNotNull()
+        only_a = x["b"].isNull() & x["a"].isNotNull() & F.col("lead_b") & ~F.array_contains("in_b", x["par"])
+        only_b = x["a"].isNull() & x["b"].isNotNull() & F.col("lead_a") & ~F.array_contains("in_a", x["par"])
+        return both | only_a | only_b
+
+    rows = F.transform(places, lambda i: F.struct(i.cast("long").alias("par"), F.get("a", i).alias("a"), F.get("b", i).alias("b")))
+    return met.select("id", F.inline(F.filter(rows, counts)))
+
+
 def coverage_rollup(toks: DataFrame, lexicon: DataFrame, by: str) -> DataFrame:
     """(by, is_total, tokens, covered, ratio) per group and in total. The lexicon joins the token counts, not the tokens."""
     n = toks.groupBy(by, "k").agg(F.count(F.lit(1)).alias("n"))

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from divit.functions.normalize import WORD, turkish_lower
 
 EDGE = "#"
+NOT_BLANK = "[^ \\t\\r]"
 
 
 def paragraphs(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """One row per non-blank line: `keep`, par (line number from 0), ptext. Null texts give none."""
     lines = df.select(*keep, F.posexplode(F.split(F.col(text), "\n", -1)).alias("par", "ptext"))
-    return lines.where(F.col("ptext").rlike("[^ \\t\\r]")).withColumn("par", F.col("par").cast("long"))
+    return lines.where(F.col("ptext").rlike(NOT_BLANK)).withColumn("par", F.col("par").cast("long"))
+
+
+def line_array(text: Column) -> Column:
+    """The lines of a text in their order, null where they are blank; a null text has none."""
+    return F.transform(F.coalesce(F.split(text, "\n", -1), F.array().cast("array<string>")), lambda x: F.when(x.rlike(NOT_BLANK), x))
 
 
 def tokens(df: DataFrame, *keep: str, text: str = "text", around: int = 0) -> DataFrame:
