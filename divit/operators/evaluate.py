@@ -41,11 +41,11 @@ def diff_groups(opcodes: DataFrame, source: str, *place: str) -> DataFrame:
 
     Equal tokens are no differences. `place` is the first one as text, of which null parts are left out.
     """
-    where = F.concat_ws(":", *(F.col(p).cast("string") for p in place))
-    order = F.struct(*(F.col(p).alias(f"p{i}") for i, p in enumerate(place)), where.alias("text"))
-    grouped = opcodes.where("op <> 'equal'").withColumn("o", order).groupBy(source, "left", "right")
-    # Only the least place of a group is kept, so that a common difference gathers no list of all its places.
-    return grouped.agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first")).select(source, "left", "right", "n", F.col("first.text").alias("place")).orderBy(F.desc("n"), "left", "right")
+    # Only the least place of a group is kept, so that a common difference gathers no list of all its places; its text is made once a group.
+    order = F.struct(*(F.col(p).alias(f"p{i}") for i, p in enumerate(place)))
+    grouped = opcodes.where("op <> 'equal'").withColumn("o", order).groupBy(source, "left", "right").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first"))
+    text = F.concat_ws(":", *(F.col(f"first.p{i}").cast("string") for i in range(len(place))))
+    return grouped.select(source, "left", "right", "n", text.alias("place")).orderBy(F.desc("n"), "left", "right")
 
 
 def matching_rules(toks: DataFrame, rules: DataFrame) -> DataFrame:
