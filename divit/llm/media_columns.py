@@ -4,8 +4,8 @@ A rolling gear hash over the last 32 bytes cuts each payload where its content s
 it stands. A payload is kept as the ordered list of its chunks' digests; each chunk is kept once, compressed, in a table dealt out by digest.
 Lists of equal payloads are stored once too. Reading joins the lists with the chunks, puts the chunks of a payload in order and verifies the digest of the whole.
 
-Payloads are on the move by halves: chunks are stored in `ROUNDS` classes of digests, one after the other, and payloads are read in as many classes, so that at no time
-more than a share of the bytes lies in shuffle files beside the store.
+Payloads are on the move by quarters: chunks are stored, and payloads read, in `TURNS` classes of digests, one after the other, and the shuffle files of a turn are
+removed before the next begins, so that at no time more than a share of the bytes lies in shuffle files beside the store.
 
 Digests that stand for more than one in `HOT` of all references meet their chunk by a broadcast of those chunks (fewer than `HOT`, each of `MOST` bytes at
 most); all others by a join that moves references only, as the chunks lie dealt out already.
@@ -26,14 +26,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, quoted, release, settle, settle_by, small_batches
+from .shared import fresh, quoted, settle, settle_turns_by, small_batches, tidy
 from .textbytes import steps
 
 #: Least, usual and most bytes of a chunk.
 LEAST, USUAL, MOST = 1024, 4096, 16384
 HOT = 256
-#: Classes of digests, by their first byte.
+#: Tables of chunks, by the first byte of their digests.
 ROUNDS = 2
+#: Turns in which chunks are stored and payloads are read, by the first byte of their digests; a multiple of ROUNDS.
+TURNS = 4
 #: The text payload is padded with spaces to a multiple of this.
 UNIT = 192
 HEADER = 44
@@ -92,16 +94,16 @@ def as_it_is(value: bytes | None) -> bytes:
 
 @dataclass
 class MediaStore:
-    """rows: the stored rows with their media digest; lists: (media, at, digest, size), once per distinct payload; data: for each class of digests (digest, data), once per distinct chunk."""
+    """rows: the stored rows with their media digest; lists: (media, at, digest, size), once per distinct payload; data: for each of `ROUNDS` classes of digests (digest, data), once per distinct chunk."""
 
     rows: DataFrame
     lists: DataFrame
     data: list[DataFrame]
 
 
-def _class(digest: str) -> Column:
+def _class(digest: str, classes: int = ROUNDS) -> Column:
     """The class of a digest column: its first byte modulo the number of classes."""
-    return F.conv(F.hex(F.substring(digest, 1, 1)), 16, 10).cast("int") % ROUNDS
+    return F.conv(F.hex(F.substring(digest, 1, 1)), 16, 10).cast("int") % classes
 
 
 def store_media(df: DataFrame, column: str, wrap: Callable[[bytes | None], bytes] = as_it_is) -> MediaStore:
@@ -129,28 +131,29 @@ def store_media(df: DataFrame, column: str, wrap: Callable[[bytes | None], bytes
 
     plain = df.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others)), values.alias("v"))
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1]) + "m binary, l array<struct<digest:binary,size:int>>"
-    told = settle(plain.mapInArrow(listed, schema), "media_rows")
-    rows = told.drop("l").toDF(*others, name)
-    lists = settle(told.select("m", "l").groupBy("m").agg(F.first("l").alias("l")).selectExpr("m as media", "posexplode(l) as (at, c)").selectExpr("media", "at", "c.digest", "c.size"), "media_lists")
+    with tidy(spark):
+        told = settle(plain.mapInArrow(listed, schema), "media_rows")
+        lists = settle(told.select("m", "l").groupBy("m").agg(F.first("l").alias("l")).selectExpr("m as media", "posexplode(l) as (at, c)").selectExpr("media", "at", "c.digest", "c.size"), "media_lists")
 
-    def data(number: int) -> Callable:
+    def data(turn: int) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pack = zstandard.ZstdCompressor(level=5)
             for batch in batches:
                 for part in steps(batch, "v", 1 << 20):
                     own = {}
                     for v in pc.unique(part.column("v").cast(pa.large_binary())).to_pylist():
-                        own |= {d: c for d, c in chunks(wrap(v)) if d[0] % ROUNDS == number}
+                        own |= {d: c for d, c in chunks(wrap(v)) if d[0] % TURNS == turn}
                     yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([pack.compress(c) for c in own.values()], pa.binary())], names=["digest", "data"])
 
         return run
 
-    n, parts = int(spark.conf.get("spark.sql.shuffle.partitions")), []
-    for number in range(ROUNDS):
-        single = df.select(values.alias("v")).mapInArrow(data(number), "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
-        parts.append(settle_by(single, "chunks", "digest", n))
-        release(spark)
-    return MediaStore(rows, lists, parts)
+    def single(turn: int) -> DataFrame:
+        return df.select(values.alias("v")).mapInArrow(data(turn), "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with tidy(spark):
+        parts = [settle_turns_by((single(turn) for turn in range(number, TURNS, ROUNDS)), "chunks", "digest", n) for number in range(ROUNDS)]
+    return MediaStore(told.drop("l").toDF(*others, name), lists, parts)
 
 
 def met(left: DataFrame, right: DataFrame, key: str, hot: int = HOT) -> DataFrame:
@@ -284,10 +287,10 @@ def read_sounds(store: MediaStore) -> DataFrame:
     """
     types = [("media", pa.binary()), ("media_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())]
     schema, out = "media binary, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string", None
-    for number in range(ROUNDS):
-        told = settle(_ordered(store, store.lists.where(_class("media") == number)).mapInArrow(_read(_Sound, types, 1024), schema), "sounds")
-        out = told if out is None else out.unionByName(told)
-        release(told.sparkSession)
+    with tidy(store.lists.sparkSession):
+        for turn in range(TURNS):
+            told = settle(_ordered(store, store.lists.where(_class("media", TURNS) == turn)).mapInArrow(_read(_Sound, types, 1024), schema), "sounds")
+            out = told if out is None else out.unionByName(told)
     return out
 
 

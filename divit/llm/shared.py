@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,14 +68,35 @@ def settle(df: DataFrame, label: str, codec: str = "none") -> DataFrame:
 
 def settle_by(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
     """settle() for rows that are dealt out to n partitions by `key`: what joins or groups them by it later need not move them again."""
-    spark = df.sparkSession
+    return settle_turns_by([df], label, key, n)
+
+
+def settle_turns_by(frames: Iterable[DataFrame], label: str, key: str, n: int) -> DataFrame:
+    """settle_by() for frames of like columns that are written one after the other, so that only one is on the move at a time. At least one."""
     name = f"divit_{label}_{uuid.uuid4().hex}"
-    df.write.option("compression", "none").option("path", f"{shared_dir(spark)}/divit/{name}").format("parquet").bucketBy(n, key).saveAsTable(name)
+    for df in frames:
+        spark = df.sparkSession
+        df.write.mode("append").option("compression", "none").option("path", f"{shared_dir(spark)}/divit/{name}").format("parquet").bucketBy(n, key).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"drop table {name}")  # the name alone: the files are outside the catalogue's folder
     return table
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What is written inside has its shuffle files removed as soon as it ends; else they stay until the driver collects garbage and the cleaner gets to them.
+
+    Not for frames that are evaluated more than once inside: write them with settle().
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished phases."""
     gc.collect()
