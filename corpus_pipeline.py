@@ -12,7 +12,7 @@ from divit.llm.jaccard_join import near_duplicates_removed
 from divit.llm.mixing import mixed
 from divit.llm.packing import pack_documents
 from divit.llm.secret_scan import redact
-from divit.llm.shared import fresh, settle
+from divit.llm.shared import fresh, release, remove, settle
 from divit.llm.toxicity import score_toxicity
 
 
@@ -65,7 +65,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        after = settle(stage(spark, docs, sf_dir), name, "snappy")
+        if docs is not before:
+            remove(docs)  # never the input
+        docs = after
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

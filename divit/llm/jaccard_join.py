@@ -38,14 +38,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components, forest
-from .shared import fresh, quoted, release, remove, settle, settle_by, small_batches, trimmed
+from .shared import fresh, quoted, remove, settle, settle_turns_by, small_batches, tidy, trimmed
 from .textbytes import mix, shingle_sets, steps
 
 CHUNK, SMALL, LEVELS, SEEN = 256, 64, 3, 100_000
 #: Regions of up to so many documents, and bytes of their differences, are joined in one piece; larger ones are cut into cells.
 REGION, REGION_BYTES = 2048, 32 << 20
-#: Up to so many ids are broadcast to pick texts (1.6 MB); more are joined by a shuffle.
-WANTED = 200_000
+#: About so many ids are broadcast at a time to pick texts, and so many marks of rows that go; more marks are joined by a shuffle of all rows.
+WANTED, MARKS = 200_000, 1_000_000
+#: What carries sets moves in turns, so that beside the tables only a share lies in shuffle files: windows always, sets from so many documents a turn, comparisons from so many pairs.
+WINDOW_TURNS, MOST_TURNS, SETS_TURN, PAIRS_TURN = 4, 8, 50_000, 100_000
 #: The order of pivots is a table of counts of all shingles of all documents, folded into 2**ORDER_BITS cells: its size never grows.
 ORDER_BITS, SLOTS = 21, 32
 
@@ -276,6 +278,24 @@ def _parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _turns(n: int, size: int) -> int:
+    return max(1, min(MOST_TURNS, -(-n // size)))
+
+
+def _class(column: str, turns: int):
+    """The turn of a row."""
+    return F.pmod(F.xxhash64(F.lit("turn"), F.col(column)), F.lit(turns))  # another hash than those that deal rows out
+
+
+def _compared_in_turns(pairs: DataFrame, sets: list[DataFrame], percent: int, order, label: str) -> DataFrame:
+    """_compare() of a written table of pairs, written: documents `a` class by class, as every pair moves a whole set."""
+    turns, out = _turns(pairs.count(), PAIRS_TURN), None
+    for turn in range(turns):
+        part = settle(_compare(pairs.where(_class("a", turns) == turn), sets, percent, order), label)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _compare(pairs: DataFrame, sets: list[DataFrame], percent: int, order) -> DataFrame:
     """Those of pairs(a, b, star) that link, and all of a star with b's regions. A document with many partners is dealt out in chunks."""
     many = pairs.groupBy("a").count().where(f"count > {CHUNK}")
@@ -302,9 +322,15 @@ class _Sets:
         wanted = settle(self.rows.join(ids.withColumnRenamed("doc", "name"), "name", "left_semi").groupBy("name").agg(F.min("key").alias("key")), "wanted")
         if n := wanted.count():
             run, schema = _whole(self.words)
-            texts = self.texts.join(F.broadcast(wanted) if n <= WANTED else wanted, "key").select(F.col("name").alias("doc"), "text")
-            n = _parts(pairs.sparkSession)
-            self.known.append(settle_by(texts.mapInArrow(trimmed(run), schema).repartition(n, "doc").dropDuplicates(["doc"]), "sets", "doc", n))
+            turns, parts = max(_turns(n, SETS_TURN), -(-n // WANTED)), _parts(pairs.sparkSession)  # ids are always broadcast, so no text is shuffled
+
+            def hashed(turn: int) -> DataFrame:
+                mine = wanted.where(_class("key", turns) == turn)
+                texts = self.texts.where(_class("key", turns) == turn).join(F.broadcast(mine), "key").select(F.col("name").alias("doc"), "text")
+                return texts.mapInArrow(trimmed(run), schema).repartition(parts, "doc").dropDuplicates(["doc"])
+
+            self.known.append(settle_turns_by((hashed(turn) for turn in range(turns)), "sets", "doc", parts))
+        remove(wanted)
         return self.known or [ids.select("doc", F.lit(None).cast("binary").alias("set"))]
 
 
@@ -348,8 +374,14 @@ def _pairs_in(named: DataFrame, last: bool) -> DataFrame:
 def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """source(doc, key, text) -> a row (doc, key, size, name of its set) for each of its rows, and (name, root) of the sets with links.
 
-    `key` is a hash of whatever tells the texts of rows apart.
+    `key` is a hash of whatever tells the texts of rows apart. Shuffle files go as each write ends, and tables when nothing reads them any more.
     """
+    with tidy(source.sparkSession):
+        return _joined(source, words, percent, depth)
+
+
+def _joined(source: DataFrame, words: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """_classes(), within tidy()."""
     spark = source.sparkSession
     small_batches(spark)
     run, schema = _signatures(words)
@@ -360,31 +392,36 @@ def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[D
 
     run, schema = _windows(words, percent, depth, order)
     n = _parts(spark)
-    copies = settle_by(texts.mapInArrow(trimmed(run), schema).repartition(n, "cell"), "windows", "cell", n)  # one shuffle for the grouping and the join
+    # Dealt out once for the grouping and the join. Equal texts share a turn.
+    copies = settle_turns_by((texts.where(_class("text", WINDOW_TURNS) == turn).mapInArrow(trimmed(run), schema).repartition(n, "cell") for turn in range(WINDOW_TURNS)), "windows", "cell", n)
     met = copies.groupBy("cell").agg(F.min("doc").alias("pivot"), F.max("doc").alias("high"), F.count("*").alias("members")).where("pivot < high").drop("high")
     open_ = settle(copies.join(met.hint("merge"), "cell").groupBy("cell", "doc", "n", "rank").agg(F.min("pivot").alias("pivot"), F.min("members").alias("members")), "open")
     remove(copies)
-    release(spark)
     sets = _Sets(rows, texts, words)
 
     # Around pivots first: links contract documents into classes.
     met = open_.where("doc <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("c"))
     met = settle(met.where(f"c >= {depth}").select("a", "b", F.lit(False).alias("star")), "star")
-    classes = components(_compare(met, sets.of(met), percent, order).select("a", "b"))
+    found = _compared_in_turns(met, sets.of(met), percent, order, "links")
+    classes = components(found.select("a", "b"))
+    remove(met), remove(found)
 
     # Then small cells pair by pair, and large ones by regions and again.
-    level = 0
+    level, rest = 0, []
     while not open_.isEmpty():
         last = level == LEVELS
         named = settle(_mixed(_named(open_, classes), ["cell"]), "named")
+        rest = [named]
         small = _likely(_pairs_in(named if last else named.where(f"members <= {SMALL}"), last), percent, depth if level == 0 else 1)
         big = named.where(f"members > {SMALL}").where(F.lit(not last))
         met = big.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
         met = settle(small.withColumn("star", F.lit(False)).unionByName(met.withColumn("star", F.lit(True))), "pairs")
         if met.isEmpty():
+            remove(met)
             break
-        parts = settle(_compare(met, sets.of(met), percent, order), "regions")
-        release(spark)
+        parts = _compared_in_turns(met, sets.of(met), percent, order, "regions")
+        remove(met)
+        rest = [named, parts]
         found = parts.where("linked").select("a", "b")
         if not found.isEmpty():
             classes = components(_edges(classes).unionByName(found))
@@ -397,7 +434,7 @@ def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[D
         inside = near.where("fits").select("a", "doc", "cls", "n", "apart").repartition(n, "a").sortWithinPartitions("a", "doc").mapInArrow(trimmed(_region(percent)), "a long, b long")
         if not (inside := settle(inside, "inside")).isEmpty():
             classes = components(_edges(classes).unionByName(inside))
-        near = near.where("not fits").select(F.explode("cells").alias("cell"), "doc", "n", F.lit(0).alias("rank"))
+        near_cells = near.where("not fits").select(F.explode("cells").alias("cell"), "doc", "n", F.lit(0).alias("rank"))
         far = _mixed(_named(parts.where("far").withColumnRenamed("b", "doc"), classes), ["a"]).select(F.col("a").alias("pivot"), "doc")
         far = big.join(far, ["pivot", "doc"], "left_semi").select("cell", "doc", "n")
         if level == 0:
@@ -406,11 +443,17 @@ def _classes(source: DataFrame, words: int, percent: int, depth: int) -> tuple[D
             both = far.where(twice).join(other, (F.col("doc") == F.col("o_doc")) & (F.col("cell") != F.col("o_cell")))
             both = both.select(F.xxhash64(F.least("cell", "o_cell"), F.greatest("cell", "o_cell")).alias("cell"), "doc", "n").distinct()
             far = both.unionByName(far.where(~twice))
-        named = settle(_named(near.unionByName(far.withColumn("rank", F.lit(0))), classes), "copies")
+        rest += [near, inside, open_]
+        named = settle(_named(near_cells.unionByName(far.withColumn("rank", F.lit(0))), classes), "copies")
         met = named.groupBy("cell").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min("doc").alias("pivot"), F.count("*").alias("members")).where("low < high")
         open_ = settle(named.drop("cls").join(met.drop("low", "high"), "cell"), "open")
+        for table in [*rest, named]:
+            remove(table)
+        rest = []
         level += 1
 
+    for table in [open_, *sets.known, *rest]:
+        remove(table)
     return rows, classes.select(F.col("node").alias("name"), "root")
 
 
@@ -449,13 +492,16 @@ def near_duplicates_removed(docs: DataFrame, words: int = 5, percent: int = 80,
     rows, roots = _classes(keyed.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.col(key).alias("key"), F.col(quoted(text_col)).cast("string").alias("text")), words, percent, depth)
     rows = rows.where("size > 0")
     named = rows.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    named = settle(named.groupBy("root", "key").agg(F.min("doc").alias("doc"), F.count("*").alias("times")), "rows")
+    with tidy(docs.sparkSession):
+        named = settle(named.groupBy("root", "key").agg(F.min("doc").alias("doc"), F.count("*").alias("times")), "rows")
     first = named.groupBy("root").agg(F.min("doc").alias("least"))
     firsts = named.join(first, "root").where("doc <=> least").groupBy("root").agg(F.min("key").alias("kept"))
     marked = named.join(firsts, "root").where("key <> kept or times > 1")
     # Few rows beside the texts: those that go, and those of which one of several equal ones stays.
-    marked = settle(marked.select(F.col("key").alias(at), (F.col("key") == F.col("kept")).alias(one)).distinct(), "marked")
-    marks = F.broadcast(marked) if marked.count() <= WANTED else marked
+    with tidy(docs.sparkSession):
+        marked = settle(marked.select(F.col("key").alias(at), (F.col("key") == F.col("kept")).alias(one)).distinct(), "marked")
+    remove(named)
+    marks = F.broadcast(marked) if marked.count() <= MARKS else marked
     met = keyed.join(marks, F.col(key) == F.col(at), "left")
     alone = met.where(F.col(at).isNull()).select(*columns)
     again = met.where(F.col(one)).dropDuplicates([key]).select(*columns)
